@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slovotok.llm import charforms, grouped_splits
+from slovotok.llm import charforms, encodings, grouped_splits
 from slovotok.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,15 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the splits came out."""
     return grouped_splits.split_report(p5_splits(spark, sf_dir))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with text that was decoded with a wrong encoding."""
+    return encodings.garbled(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@query("p8_restored")
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those documents with the encodings involved and the text as far as it can be restored."""
+    return encodings.garbled(table(spark, sf_dir, "documents"))
