@@ -30,7 +30,7 @@ LENGTH, BLOCK, STRIDE, PREFIX = 14, 8, 4, 4
 #: Bits of the block hash.
 BITS = 20
 #: Letters of an item that the strings found in a document must cover before it is aligned.
-COVER = 28
+COVER = 34
 #: Changed words in a row that a passage may hold, and words between two parts of one passage.
 GAP = 3
 #: A third of the item's words and ten; a word at either end of a passage may be changed and is then not seen.
@@ -113,6 +113,7 @@ class Search:
         self.words = [folded_words(t) for t in texts]
         streams = [self.stream([without_markup(t)])[0] for t in texts]
         at, of, pos = [], [], []
+        self.length = np.array([len(s) for s in streams], np.int64)
         base = 0
         for k, s in enumerate(streams):
             n = len(s) - 1  # Each stream ends in a 0.
@@ -136,14 +137,14 @@ class Search:
             self.bucket = np.searchsorted(last, np.arange((1 << BITS) + 1)).astype(np.int32)
             self.prefix = self.pack(self.letters)[self.at]
 
-    def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letters of texts, each followed by a 0; where each text begins."""
+    def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters of texts, each text followed by a 0; where each text begins; which character each letter was."""
         codes = self.table[np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         kept = codes > 0
         kept[ends] = True
-        count = np.cumsum(kept)
-        return codes[kept], np.concatenate([[0], count[ends[:-1]]]).astype(np.int64)
+        at = np.flatnonzero(kept)
+        return codes[at], np.concatenate([[0], np.searchsorted(at, ends[:-1]) + 1]).astype(np.int64), at
 
     @staticmethod
     def pack(letters: np.ndarray) -> np.ndarray:
@@ -194,29 +195,41 @@ class Search:
             where, string = where[same], string[same]
         return where, string
 
-    def candidates(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(text, item) pairs whose strings cover enough of the item."""
-        letters, starts = self.stream([without_markup(t) for t in texts])
+    def candidates(self, texts: list[str]) -> list[tuple[int, int, str]]:
+        """(text, item, part of the text) where strings close to each other cover enough of the item."""
+        plain = [without_markup(t) for t in texts]
+        letters, starts, chars = self.stream(plain)
         where, string = self.occurrences(letters)
         if not len(where):
             return []
         text = np.searchsorted(starts, where, "right") - 1
-        key = text.astype(np.int64) * len(self.ids) + self.of[string]
-        pos = self.pos[string].astype(np.int64)
-        both = np.unique(key * (1 << 32) + pos)
-        key, pos = both >> 32, both & 0xFFFFFFFF
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        step = np.where(new, LENGTH, np.minimum(np.diff(pos, prepend=0), LENGTH))
+        of, pos = self.of[string], self.pos[string]
+        order = np.lexsort((pos, where, of, text))
+        text, of, where, pos = text[order], of[order], where[order], pos[order]
+        # Strings further apart than the item is long are of different passages.
+        new = np.ones(len(where), bool)
+        new[1:] = (text[1:] != text[:-1]) | (of[1:] != of[:-1]) | (np.diff(where) > self.length[of[1:]])
+        cluster = np.cumsum(new) - 1
         first = np.flatnonzero(new)
+        order = np.lexsort((pos, cluster))
+        sorted_pos = pos[order]
+        step = np.where(new, LENGTH, np.minimum(np.diff(sorted_pos, prepend=0), LENGTH))
         cover = np.add.reduceat(step, first)
-        return [(int(k // len(self.ids)), int(k % len(self.ids))) for k in key[first[cover >= COVER]]]
-
-    def leaked(self, words: list[str], item: int) -> int:
-        """The most words of the item that one passage of a document has in order."""
+        last = np.concatenate([first[1:], [len(where)]]) - 1
+        begin = np.cumsum([0, *(len(t) + 1 for t in plain)])
+        out = []
+        for c in np.flatnonzero(cover >= COVER):
+            t, k = int(text[first[c]]), int(of[first[c]])
+            reach = int(2.5 * self.length[k]) + 100
+            lo = int(chars[where[first[c]]]) - int(begin[t]) - reach
+            hi = int(chars[where[last[c]]]) - int(begin[t]) + LENGTH + reach
+            out.append((t, k, plain[t][max(0, lo) : hi]))
+        return out
+
+    def leaked(self, part: str, item: int) -> int:
+        """The most words of the item that one passage of a part of a document has in order."""
         other = self.words[item]
-        if len(other) < WORDS:
-            return 0
-        return best_passage(words, other)
+        return best_passage(folded_words(part), other) if len(other) >= WORDS else 0
 
 
 def best_passage(words: list[str], item: list[str]) -> int:
@@ -295,11 +308,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, keep_all: bool = False) -
                 while to < len(texts) and (held == 0 or held + len(texts[to]) <= SLICE):
                     held += len(texts[to])
                     to += 1
-                words: dict[int, list[str]] = {}
-                for text, item in search.candidates(texts[at:to]):
-                    if text not in words:
-                        words[text] = folded_words(texts[at + text])
-                    n, of = search.leaked(words[text], item), len(search.words[item])
+                best: dict[tuple[int, int], int] = {}
+                for text, item, part in search.candidates(texts[at:to]):
+                    best[text, item] = max(best.get((text, item), 0), search.leaked(part, item))
+                for (text, item), n in best.items():
+                    of = len(search.words[item])
                     if keep_all or enough(n, of) and of >= WORDS:
                         out.append((ids[at + text], search.ids[item], n, of))
                 at = to

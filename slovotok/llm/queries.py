@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slovotok.llm import charforms, encodings, grouped_splits
+from slovotok.llm import charforms, encodings, grouped_splits, leaks, packing
 from slovotok.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,28 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those documents with the encodings involved and the text as far as it can be restored."""
     return encodings.garbled(table(spark, sf_dir, "documents"))
+
+
+@query("p6_packed")
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every piece of every text, for each capacity."""
+    windows = packing.stated_windows(table(spark, sf_dir, "token_windows"))
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), windows).withColumnRenamed("key", "doc_id")
+
+
+@query("p6_fill")
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.fill_report(p6_packed(spark, sf_dir), packing.stated_windows(table(spark, sf_dir, "token_windows")))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the test items that leaked into them."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+@query("p7_leaks")
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks with the number of the item's words that the passage has."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
