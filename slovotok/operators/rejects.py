@@ -92,7 +92,7 @@ def errors(rows: DataFrame) -> DataFrame:
     """(key, reason) of each bad record; `rows` come from parsed()."""
     shape = rows.filter(F.col("shape").isNotNull()).select("key", F.col("shape").alias("reason"))
     rules = rule_table(rows.sparkSession)
-    cells = rows.filter(F.col("shape").isNull()).select("key", "feed", F.posexplode("cells").alias("col0", "value"))
+    cells = rows.filter(F.col("shape").isNull()).select("key", "feed", F.posexplode_outer("cells").alias("col0", "value"))
     checked = cells.join(F.broadcast(rules), (cells["feed"] == rules["feed"]) & (cells["col0"] + 1 == rules["col"]))
     bad = checked.filter(~F.expr("value rlike must") | F.coalesce(F.expr("value rlike never"), F.lit(False)))
     value = bad.groupBy("key").agg(F.lit("value").alias("reason"))

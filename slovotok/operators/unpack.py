@@ -69,4 +69,5 @@ def unpack(rows: DataFrame, key: str, field: str) -> DataFrame:
             lambda v: v != "",
         ).alias("vals"),
     )
-    return picked.select(F.col("key").alias(key), F.posexplode("vals").alias("p", "val")).select(key, (F.col("p") + 1).cast("int").alias("pos"), "val")
+    # posexplode_outer: for posexplode the optimizer would add a filter that computes the values a second time.
+    return picked.select(F.col("key").alias(key), F.posexplode_outer("vals").alias("p", "val")).filter("val is not null").select(key, (F.col("p") + 1).cast("int").alias("pos"), "val")
