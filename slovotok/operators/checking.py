@@ -69,12 +69,12 @@ def raw_issues(docs: DataFrame, rules: Iterable[Rule], extra: dict[str, object]
     return reduce(DataFrame.unionByName, parts)
 
 
-# The words that begin a directive.
-_MARKERS = ("orthos-disable", "rulang-lint-disable")
+#: The words that begin a directive, before its scope; more can be given.
+MARKERS = ("slovotok-disable", "lint-disable")
 _SCOPES = ("next-line", "line", "file")
 
 
-def directives(text: Column) -> Column:
+def directives(text: Column, markers: tuple[str, ...] = MARKERS) -> Column:
     """The suppression directives of a text: an array of (line, scope, rules, s, e), s and e the stretch in characters from
     the marker to the end of its line. The first of each marker in a line counts; no rule ids, * or all mean all rules."""
     lines = F.split(text, "\n", -1)
@@ -86,7 +86,7 @@ def directives(text: Column) -> Column:
     def in_line(x: Column, i: Column) -> Column:
         line = F.regexp_replace(x["line"], r"\r+\z", "")
         found = []
-        for marker in _MARKERS:
+        for marker in markers:
             for scope in _SCOPES:
                 word = f"{marker}-{scope}"
                 at = F.instr(line, word)
@@ -103,7 +103,7 @@ def directives(text: Column) -> Column:
         return F.array_compact(F.array(*found))
 
     kind = "array<struct<line:int,scope:string,rules:array<string>,s:int,e:int>>"
-    present = text.contains(_MARKERS[0]) | text.contains(_MARKERS[1])
+    present = reduce(lambda a, b: a | b, [text.contains(m) for m in markers])
     return F.when(present, F.flatten(F.transform(zipped, in_line))).otherwise(F.array().cast(kind))
 
 

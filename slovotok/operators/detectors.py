@@ -70,17 +70,31 @@ def _one_line_space(token: Column) -> Column:
     return is_space(token) & ~F.coalesce(token.contains("\n"), F.lit(False))
 
 
-_LOW = F.col("low")
+def _S() -> Column:  # noqa: N802
+    return F.col("s")
+
+
+def _E() -> Column:  # noqa: N802
+    return F.col("e")
+
+
+def _T() -> Column:  # noqa: N802
+    return F.col("t")
+
+
+def _LOW() -> Column:  # noqa: N802
+    return F.col("low")
+
+
 _W = r"[\p{IsAlphabetic}\-‑–']"
 
 
 def _any_word(words: list[str]) -> Column:
     """Whether one of the words occurs, also with joiners that normalisation drops."""
     spelt = ["['‑–]*".join("\\" + c if c == "-" else c for c in w.lower()) for w in words if w]
-    return _LOW.rlike("(?:" + "|".join(spelt or ["(?!)"]) + ")")
+    return _LOW().rlike("(?:" + "|".join(spelt or ["(?!)"]) + ")")
 
 
-_S, _E, _T = F.col("s"), F.col("e"), F.col("t")
 
 
 def _spans(found: Column, rule: Rule, replacement: Callable[[Column], Column], start=lambda x: x["s"], end=lambda x: x["e"]) -> Column:
@@ -106,7 +120,7 @@ def _multiple_spaces(rule: Rule) -> Column:
           lambda r: F.col("text").rlike(r"[\p{IsWhite_Space}&&[^\n]][" + "".join("\\" + c for c in r.params["punctuation"]) + "]"))
 def _space_before(rule: Rule) -> list[Hit]:
     marks = "".join("\\" + c for c in rule.params["punctuation"])
-    return [Hit(_one_line_space(_T) & is_punctuation(F.col("n1")) & F.col("n1").rlike(f"^[{marks}]+$"), _S, _E + F.length("n1"), F.col("n1"))]
+    return [Hit(_one_line_space(_T()) & is_punctuation(F.col("n1")) & F.col("n1").rlike(f"^[{marks}]+$"), _S(), _E() + F.length("n1"), F.col("n1"))]
 
 
 @register("missing_whitespace_after_punctuation", "text", ("tokenization",))
@@ -118,10 +132,10 @@ def _missing_space(rule: Rule) -> Column:
 
 
 @register("repeated_word", "token", ("tokenization",),
-          lambda r: _LOW.rlike(rf"(?<!{_W})({_W}++)\p{{IsWhite_Space}}++\1(?!{_W})"))
+          lambda r: _LOW().rlike(rf"(?<!{_W})({_W}++)\p{{IsWhite_Space}}++\1(?!{_W})"))
 def _repeated(rule: Rule) -> list[Hit]:
-    same = is_word(_T) & is_space(F.col("p1")) & is_word(F.col("p2")) & (F.lower("p2") == F.lower(_T))
-    return [Hit(same, _S - F.length("p1") - F.length("p2"), _E, _T)]
+    same = is_word(_T()) & is_space(F.col("p1")) & is_word(F.col("p2")) & (F.lower("p2") == F.lower(_T()))
+    return [Hit(same, _S() - F.length("p1") - F.length("p2"), _E(), _T())]
 
 
 @register("missing_sentence_terminal", "text", ("sentence_boundaries",))
@@ -133,11 +147,11 @@ def _terminal(rule: Rule) -> Column:
 
 
 @register("particle_hyphen_missing", "token", ("tokenization",),
-          lambda r: _LOW.rlike(rf"\p{{IsWhite_Space}}(?:{'|'.join(x.lower() for x in r.params['particles'])})(?!{_W})"))
+          lambda r: _LOW().rlike(rf"\p{{IsWhite_Space}}(?:{'|'.join(x.lower() for x in r.params['particles'])})(?!{_W})"))
 def _particle_hyphen(rule: Rule) -> list[Hit]:
     bases, particles = [w.lower() for w in rule.params["bases"]], [w.lower() for w in rule.params["particles"]]
-    when = is_word(_T) & _one_line_space(F.col("n1")) & is_word(F.col("n2")) & F.lower(_T).isin(bases) & F.lower("n2").isin(particles)
-    return [Hit(when, _S, _E + F.length("n1") + F.length("n2"), F.concat(_T, F.lit("-"), F.col("n2")))]
+    when = is_word(_T()) & _one_line_space(F.col("n1")) & is_word(F.col("n2")) & F.lower(_T()).isin(bases) & F.lower("n2").isin(particles)
+    return [Hit(when, _S(), _E() + F.length("n1") + F.length("n2"), F.concat(_T(), F.lit("-"), F.col("n2")))]
 
 
 @register("separate_particle_hyphenated", "text", ("regex",))
@@ -163,13 +177,13 @@ def _clitic_guard(rule: Rule) -> str:
 
 
 @register("clitic_hyphen_missing", "token", ("tokenization", "word_formation"),
-          lambda r: _LOW.rlike(_clitic_guard(r)))
+          lambda r: _LOW().rlike(_clitic_guard(r)))
 def _clitic(rule: Rule) -> list[Hit]:
     if rule.params["group"] not in CLITICS:
         raise ValueError(f"unknown clitic group {rule.params['group']} in {rule.rule_id}")
     bases, particles = CLITICS[rule.params["group"]]
-    when = is_word(_T) & _one_line_space(F.col("n1")) & is_word(F.col("n2")) & F.lower(_T).isin(bases) & F.lower("n2").isin(particles)
-    return [Hit(when, _S, _E + F.length("n1") + F.length("n2"), F.concat(_T, F.lit("-"), F.col("n2")))]
+    when = is_word(_T()) & _one_line_space(F.col("n1")) & is_word(F.col("n2")) & F.lower(_T()).isin(bases) & F.lower("n2").isin(particles)
+    return [Hit(when, _S(), _E() + F.length("n1") + F.length("n2"), F.concat(_T(), F.lit("-"), F.col("n2")))]
 
 
 # Pairs that take no comma (conjunction, first word, second word).
@@ -179,7 +193,7 @@ PAIRED = """и так сяк; и так эдак; и так этак; и ден
 
 
 @register("phraseological_coordination_comma", "nonspace", ("tokenization", "syntax"),
-          lambda r: _LOW.rlike(rf"(?:^|\P{{IsAlphabetic}})(?:ни|и)\p{{IsWhite_Space}}++{_W}++\p{{IsWhite_Space}}*+,\p{{IsWhite_Space}}*+(?:ни|и)\p{{IsWhite_Space}}"))
+          lambda r: _LOW().rlike(rf"(?:^|\P{{IsAlphabetic}})(?:ни|и)\p{{IsWhite_Space}}++{_W}++\p{{IsWhite_Space}}*+,\p{{IsWhite_Space}}*+(?:ни|и)\p{{IsWhite_Space}}"))
 def _paired(rule: Rule) -> list[Hit]:
     triples = ["|".join(x.split()) for x in PAIRED.replace("\n", " ").split(";")]
     fold = lambda c: F.translate(F.lower(c), "ё", "е")
@@ -228,20 +242,20 @@ def _unpaired(rule: Rule) -> Column:
 @register("mixed_alphabet_word", "token", ("tokenization",),
           lambda r: F.col("text").rlike(rf"[A-Za-z]{_W}*{CYRILLIC}|{CYRILLIC}{_W}*[A-Za-z]"))
 def _mixed(rule: Rule) -> list[Hit]:
-    return [Hit(is_word(_T) & has_cyrillic(_T) & has_latin(_T), _S, _E, F.lit(None))]
+    return [Hit(is_word(_T()) & has_cyrillic(_T()) & has_latin(_T()), _S(), _E(), F.lit(None))]
 
 
 @register("confusable_tokens", "token", ("tokenization", "lexicon"),
           lambda r: _any_word(list(_map(r.params["forms"]))))
 def _confusable(rule: Rule) -> list[Hit]:
     values = _map(rule.params["forms"])
-    norm = normalize_word(_T)
-    return [Hit(is_word(_T) & norm.isin(list(values)), _S, _E, match_case(_T, _lookup(values, norm)))]
+    norm = normalize_word(_T())
+    return [Hit(is_word(_T()) & norm.isin(list(values)), _S(), _E(), match_case(_T(), _lookup(values, norm)))]
 
 
 @register("phrase_map", "text", ("tokenization", "lexicon"))
 def _phrases(rule: Rule) -> Column:
-    lower, out = _LOW, []
+    lower, out = _LOW(), []
     for bad, good in _map(rule.params["forms"]).items():
         # Occurrences are found left to right without overlap; those inside longer words are then dropped.
         found = matches(lower, f"\\Q{bad}\\E")
@@ -252,25 +266,25 @@ def _phrases(rule: Rule) -> Column:
 
 
 @register("zhi_shi_cha_shcha", "token", ("tokenization",),
-          lambda r: _LOW.rlike("жы|шы|чя|щя|чю|щю"))
+          lambda r: _LOW().rlike("жы|шы|чя|щя|чю|щю"))
 def _zhi_shi(rule: Rule) -> list[Hit]:
     wrong = {"жы": "жи", "шы": "ши", "чя": "ча", "щя": "ща", "чю": "чу", "щю": "щу"}
-    fixed = F.lower(_T)
+    fixed = F.lower(_T())
     for a, b in wrong.items():
         fixed = F.replace(fixed, F.lit(a), F.lit(b))
-    when = is_word(_T) & F.lower(_T).rlike("жы|шы|чя|щя|чю|щю") & ~normalize_word(_T).isin([x.lower() for x in rule.params.get("exceptions", [])] or [""])
-    return [Hit(when, _S, _E, match_case(_T, fixed))]
+    when = is_word(_T()) & F.lower(_T()).rlike("жы|шы|чя|щя|чю|щю") & ~normalize_word(_T()).isin([x.lower() for x in rule.params.get("exceptions", [])] or [""])
+    return [Hit(when, _S(), _E(), match_case(_T(), fixed))]
 
 
 @register("tsya_heuristic", "word", ("tokenization", "morphology", "syntax"),
-          lambda r: _LOW.rlike("т['‑–]*ь?['‑–]*с['‑–]*я") & _any_word([*r.params["infinitive_triggers"], *r.params["finite_subjects"]]))
+          lambda r: _LOW().rlike("т['‑–]*ь?['‑–]*с['‑–]*я") & _any_word([*r.params["infinitive_triggers"], *r.params["finite_subjects"]]))
 def _tsya(rule: Rule) -> list[Hit]:
-    before, norm = normalize_word(F.col("p1")), normalize_word(_T)
-    cut = lambda n, end: F.concat(F.left(_T, F.greatest(F.length(_T) - n, F.lit(0))), F.lit(end))
+    before, norm = normalize_word(F.col("p1")), normalize_word(_T())
+    cut = lambda n, end: F.concat(F.left(_T(), F.greatest(F.length(_T()) - n, F.lit(0))), F.lit(end))
     to_inf = before.isin([x.lower() for x in rule.params["infinitive_triggers"]]) & norm.endswith("тся")
     to_fin = before.isin([x.lower() for x in rule.params["finite_subjects"]]) & norm.endswith("ться")
-    changed = lambda n, suffix, end: F.when(F.lower(_T).endswith(suffix), cut(n, end)).otherwise(_T)
-    return [Hit(to_inf | to_fin, _S, _E, F.when(to_inf, changed(3, "тся", "ться")).otherwise(changed(4, "ться", "тся")))]
+    changed = lambda n, suffix, end: F.when(F.lower(_T()).endswith(suffix), cut(n, end)).otherwise(_T())
+    return [Hit(to_inf | to_fin, _S(), _E(), F.when(to_inf, changed(3, "тся", "ться")).otherwise(changed(4, "ться", "тся")))]
 
 
 @register("space_after_opening_punctuation", "text", ("tokenization",))
@@ -301,15 +315,15 @@ def _many_marks(rule: Rule) -> Column:
 @register("number_unit_spacing", "token", ("tokenization",),
           lambda r: F.col("text").rlike(r"[0-9０-９][\p{IsAlphabetic}\-‑–']"))
 def _unit(rule: Rule) -> list[Hit]:
-    when = is_number(_T) & is_word(F.col("n1")) & normalize_word(F.col("n1")).isin([u.lower() for u in rule.params["units"]])
-    return [Hit(when, _E, _E + F.length("n1"), F.concat(F.lit(" "), F.col("n1")))]
+    when = is_number(_T()) & is_word(F.col("n1")) & normalize_word(F.col("n1")).isin([u.lower() for u in rule.params["units"]])
+    return [Hit(when, _E(), _E() + F.length("n1"), F.concat(F.lit(" "), F.col("n1")))]
 
 
 @register("pol_compound_hyphen_missing", "token", ("tokenization", "word_formation"),
-          lambda r: _LOW.rlike(rf"(?<!{_W})пол\p{{IsWhite_Space}}"))
+          lambda r: _LOW().rlike(rf"(?<!{_W})пол\p{{IsWhite_Space}}"))
 def _pol(rule: Rule) -> list[Hit]:
-    when = is_word(_T) & (F.lower(_T) == "пол") & _one_line_space(F.col("n1")) & is_word(F.col("n2")) & F.col("n2").rlike(r"^(?:\p{IsUppercase}|(?iu)[аеёиоуыэюял])")
-    return [Hit(when, _S, _E + F.length("n1") + F.length("n2"), F.concat(_T, F.lit("-"), F.col("n2")))]
+    when = is_word(_T()) & (F.lower(_T()) == "пол") & _one_line_space(F.col("n1")) & is_word(F.col("n2")) & F.col("n2").rlike(r"^(?:\p{IsUppercase}|(?iu)[аеёиоуыэюял])")
+    return [Hit(when, _S(), _E() + F.length("n1") + F.length("n2"), F.concat(_T(), F.lit("-"), F.col("n2")))]
 
 
 # Prefixes that end in з before voiced and in с before voiceless consonants.
@@ -330,15 +344,15 @@ def _prefix_guard(rule: Rule) -> str:
 
 
 @register("prefix_final_z_s_assimilation", "token", ("tokenization", "word_formation", "lexicon"),
-          lambda r: _LOW.rlike(_prefix_guard(r)))
+          lambda r: _LOW().rlike(_prefix_guard(r)))
 def _prefix(rule: Rule) -> list[Hit]:
     """The rest of the word must begin with a known root of two letters at least: `roots` of the rule, else the seed roots."""
     start = _roots(rule)
-    lower, fixed = F.lower(_T), None
+    lower, fixed = F.lower(_T()), None
     for z in ALTERNATING:
         s = z[:-1] + "с"
         for wrong, right, after in ((z, s, VOICELESS), (s, z, VOICED_OR_VOWEL)):
             hit = lower.rlike(f"^{wrong}(?=[{after}]){start}")
             value = F.concat(F.lit(right), F.substring(lower, len(wrong) + 1, 1 << 30))
             fixed = F.when(hit, value) if fixed is None else fixed.when(hit, value)
-    return [Hit(is_word(_T) & fixed.isNotNull(), _S, _E, match_case(_T, fixed))]
+    return [Hit(is_word(_T()) & fixed.isNotNull(), _S(), _E(), match_case(_T(), fixed))]
