@@ -6,7 +6,7 @@ LENGTH + STRIDE - 1 letters of an item always holds one. A table of shifts by bl
 search may jump; a block with shift 0 selects, by the hash of the strings' last block, the strings that may end there;
 their first letters and then all letters are compared. Many cursors run through a batch at once, so each step is one
 vector operation. A document that covers enough letters of an item is then aligned with it word by word: it leaks if one
-passage has, in order, at least a third of the item's words and ten, where words in gaps of up to GAP changed words count.
+passage, the best local alignment of words, spans in order at least a third of the item's words and ten.
 
 Every character of every document is searched; the items are a bounded query set (MOST_ITEM_CHARS is checked).
 
@@ -31,10 +31,12 @@ LENGTH, BLOCK, STRIDE, PREFIX = 14, 8, 4, 4
 BITS = 20
 #: Letters of an item that the strings found in a document must cover before it is aligned.
 COVER = 34
-#: Changed words in a row that a passage may hold, and words between two parts of one passage.
+#: A quarter of the longest gap between two parts of one passage, in words.
 GAP = 3
 #: A third of the item's words and ten; a word at either end of a passage may be changed and is then not seen.
 SHARE, WORDS, EDGE = 1 / 3, 10, 1
+#: What a word that is not alike costs, against 1 that an equal or alike word gains.
+COST = 0.7
 #: Letters in a slice, letters per cursor.
 SLICE, LANE = 1 << 20, 256
 #: The items are broadcast only up to this size.
@@ -57,11 +59,14 @@ def _fold(c: str) -> str:
 def letter_table() -> np.ndarray:
     """The code (1 to 255) of every character's canonical letter; 0 for what is no letter."""
     table = np.zeros(0x110000, np.uint8)
-    codes: dict[str, int] = {}
+    # Letters of the Russian and the Latin alphabet have codes of their own; rarer ones may share theirs.
+    own = dict.fromkeys(_fold(c) for c in map(chr, [*range(0x430, 0x450), *range(0x61, 0x7B)]))
+    codes = {f: i for i, f in enumerate(filter(None, own), 1)}
+    base = len(codes) + 1
     for cp in [*range(0x41, 0x600), *range(0x1E00, 0x2000), *range(0x2C60, 0x2C80), *range(0xA640, 0xA6A0), *range(0xFF21, 0xFF5B)]:
         f = _fold(chr(cp))
         if f:
-            table[cp] = codes.setdefault(f, 1 + len(codes) % 127)
+            table[cp] = codes.setdefault(f, base + len(codes) % (128 - base))
     rest = np.arange(0x0600, 0x30000)
     letters = np.array([unicodedata.category(chr(c))[0] == "L" for c in rest])
     blank = table[rest] == 0
@@ -259,29 +264,31 @@ def _alike(a: list[str], b: list[str]) -> bool:
 
 
 def _aligned(words: list[str], item: list[str]) -> int:
+    """Words of the item from the first to the last of the best local alignment: equal and alike words gain, others cost."""
+    best = best_score = score = 0.0
+    start = last_a = last_b = 0
     blocks = [m for m in SequenceMatcher(None, words, item, autojunk=False).get_matching_blocks() if m.size]
-    best = run = 0
-    last_a = last_b = None
     for m in blocks:
-        if last_a is not None:
-            gap_a, gap_b = m.a - last_a, m.b - last_b
-            if gap_a <= GAP and gap_b <= GAP:
-                run += gap_b
-            elif gap_a <= 4 * GAP and gap_b <= 4 * GAP:
-                # A longer gap joins its two sides; its own words count where they are alike, one by one.
-                pairs = min(gap_a, gap_b)
-                run += sum(_alike(words[last_a + i : last_a + i + 1], item[last_b + i : last_b + i + 1]) for i in range(pairs))
-            else:
-                run = 0
-        run += m.size
-        best = max(best, run)
+        gap_a, gap_b = m.a - last_a, m.b - last_b
+        if score > 0 and max(gap_a, gap_b) <= 4 * GAP:
+            alike = 0
+            if gap_a and gap_b:
+                x, y = words[last_a : m.a], item[last_b : m.b]
+                alike = gap_b if _alike(x, y) else sum(_alike([p], [q]) for p, q in zip(x, y))
+            score += alike - COST * max(0, max(gap_a, gap_b) - alike)
+        else:
+            score = 0
+        if score <= 0:
+            score, start = 0, m.b
+        score += m.size
         last_a, last_b = m.a + m.size, m.b + m.size
-    if best and blocks:
-        first, end = blocks[0], blocks[-1]
-        best += bool(first.a and first.b and _alike(words[first.a - 1 : first.a], item[first.b - 1 : first.b]))
-        a, b = end.a + end.size, end.b + end.size
-        best += bool(a < len(words) and b < len(item) and _alike(words[a : a + 1], item[b : b + 1]))
-    return best
+        if score > best_score:
+            best_score, best = score, last_b - start
+    if blocks and best:
+        # A changed word just before or after may still be seen.
+        end = blocks[-1].a + blocks[-1].size, blocks[-1].b + blocks[-1].size
+        best += bool(end[0] < len(words) and end[1] < len(item) and _alike([words[end[0]]], [item[end[1]]]))
+    return int(best)
 
 
 def enough(n: int, item_words: int) -> bool:
