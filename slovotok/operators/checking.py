@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from slovotok.functions.text import byte_offset, column_of, excerpt, line_of, token_rows
 from slovotok.operators.detectors import ISSUE, REGISTRY, Hit
+from slovotok.operators.document_context import abbreviations, structure
+from slovotok.operators.sentences import fold_issues
 from slovotok.plans.rules import DEFAULT_CAPABILITIES, RULES, Plan, Rule, RuleFilter, plan, rule_rows
 
 #: Token rows by level: tokens before, tokens after, which tokens.
@@ -48,6 +50,25 @@ def _token_issues(docs: DataFrame, rules: list[Rule], level: str) -> DataFrame:
     return rows.filter(some).select("doc_id", "text", found.alias("x")).filter("x is not null").select("doc_id", "text", "x.*")
 
 
+def document_issues(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Issues of whole documents: style that is not kept up, and abbreviations that are used but not explained."""
+    parts = []
+    for r in rules:
+        if r.kind == "document_style_consistency":
+            made = structure(docs.select("doc_id", "text"))
+            cover = lambda mixed, c: F.when(mixed, F.struct(F.array_min(c["s"]).alias("s"), F.array_max(c["e"]).alias("e")))
+            found = F.explode_outer(F.array(cover(F.col("mixed_markers"), F.col("items")), cover(F.col("mixed_headings"), F.col("headings"))))
+            parts.append(made.filter("mixed_markers or mixed_headings").select("doc_id", "text", found.alias("x")).filter("x is not null").select("doc_id", "text", F.lit(r.rule_id).alias("rule_id"), "x.s", "x.e", F.lit(None).cast("string").alias("replacement")))
+        else:
+            rows = abbreviations(docs.select("doc_id", "text")).filter("frequency > 1 and expansion is null")
+            parts.append(rows.select("doc_id", "text", F.lit(r.rule_id).alias("rule_id"), "s", "e", F.lit(None).cast("string").alias("replacement")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Levels whose issues are made by a function of documents and rules.
+_MADE = {"fold": fold_issues, "document": document_issues}
+
+
 def raw_issues(docs: DataFrame, rules: Iterable[Rule], extra: dict[str, object] | None = None) -> DataFrame:
     """(doc_id, text, rule_id, s, e, replacement) of all rules, before suppression."""
     by: dict[str, list[Rule]] = {}
@@ -63,7 +84,7 @@ def raw_issues(docs: DataFrame, rules: Iterable[Rule], extra: dict[str, object]
         elif level in _LEVELS:
             parts.append(_token_issues(docs, some, level))
         else:
-            parts.append(extra[level](docs, some))
+            parts.append({**_MADE, **(extra or {})}[level](docs, some))
     if not parts:
         return docs.select("doc_id", "text", F.lit(None).cast(ISSUE).alias("x")).filter("x is not null").select("doc_id", "text", "x.*")
     return reduce(DataFrame.unionByName, parts)
@@ -133,7 +154,7 @@ def check(
     file_rules: Iterable[str] = (), inline: bool = True, extra: dict[str, object] | None = None, keep_suppressed: bool = False,
 ) -> DataFrame:
     """Issues of documents(doc_id, text)."""
-    kinds = [k for k, d in REGISTRY.items() if d.level in (*_LEVELS, "text") or d.level in (extra or {})]
+    kinds = [k for k, d in REGISTRY.items() if d.level in (*_LEVELS, *_MADE, "text") or d.level in (extra or {})]
     made: Plan = plan(rules, chosen or RuleFilter(), kinds, capabilities)
     rows = located(raw_issues(documents, made.rules, extra)).withColumn("suppressed", suppressed(None, file_rules, inline))
     rows = rows if keep_suppressed else rows.filter(~F.col("suppressed"))

@@ -356,3 +356,27 @@ def _prefix(rule: Rule) -> list[Hit]:
             value = F.concat(F.lit(right), F.substring(lower, len(wrong) + 1, 1 << 30))
             fixed = F.when(hit, value) if fixed is None else fixed.when(hit, value)
     return [Hit(is_word(_T()) & fixed.isNotNull(), _S(), _E(), match_case(_T(), fixed))]
+
+
+@register("sentence_initial_lowercase", "fold", ("sentence_boundaries", "tokenization"))
+def _initial(rule: Rule) -> list[Hit]:
+    """Built by sentences.fold_issues."""
+    return []
+
+
+@register("missing_comma_before_subordinator", "fold", ("tokenization", "syntax"))
+def _subordinator(rule: Rule) -> list[Hit]:
+    """Built by sentences.fold_issues."""
+    return []
+
+
+@register("document_style_consistency", "document", ("tokenization", "syntax"))
+def _style(rule: Rule) -> list[Hit]:
+    """Built by checking.document_issues."""
+    return []
+
+
+@register("document_abbreviation_expansion", "document", ("tokenization", "syntax"))
+def _abbreviation(rule: Rule) -> list[Hit]:
+    """Built by checking.document_issues."""
+    return []
