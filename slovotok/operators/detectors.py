@@ -370,6 +370,24 @@ def _subordinator(rule: Rule) -> list[Hit]:
     return []
 
 
+@register("introductory_phrase_comma", "fold", ("tokenization", "sentence_boundaries"))
+def _introductory(rule: Rule) -> list[Hit]:
+    """Built by sentences.fold_issues."""
+    return []
+
+
+def _needs_lexicon(rule: Rule) -> list[Hit]:
+    """Built by agreement.with_lexicon."""
+    return []
+
+
+for _kind in (
+    "adj_noun_agreement_demo", "nominal_group_modifier_agreement_basic", "subject_predicate_agreement_basic", "preposition_government_basic", "preposition_nominal_group_government_basic", "numeral_noun_agreement_basic",
+    "numeral_nominal_group_agreement_basic", "compound_numeral_nominal_group_agreement_basic", "typed_compound_numeral_nominal_group_agreement_basic", "verb_government_basic", "coordination_comma_basic", "negated_verb_spacing_basic",
+):
+    register(_kind, "lexicon", ("tokenization",))(_needs_lexicon)
+
+
 @register("document_style_consistency", "document", ("tokenization", "syntax"))
 def _style(rule: Rule) -> list[Hit]:
     """Built by checking.document_issues."""

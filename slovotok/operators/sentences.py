@@ -22,6 +22,7 @@ ABBREVIATIONS = frozenset("г ул д кв стр рис см им тов про
 DOTTED = tuple(a + s + b for a, b in (("т.", "е."), ("т.", "к."), ("т.", "п."), ("т.", "д.")) for s in ("", " "))
 MARKERS = ("что", "чтобы", "если", "когда", "пока", "поскольку", "хотя", "который", "которая", "которое", "которые", "потому что", "так как", "для того чтобы")
 STRONG = frozenset(("потому что", "так как", "для того чтобы", "что", "чтобы", "если", "поскольку", "хотя"))
+INTRODUCTORY = frozenset("безусловно вероятно возможно итак кстати конечно например однако следовательно значит".split())
 COORDINATING = frozenset("и а но или либо да ну".split())
 OPENING, CLOSING, SEPARATORS, TERMINALS = "([{«“„", ")]}»”“", ",;:—-", ".!?…\n"
 
@@ -145,6 +146,30 @@ def _boundary(tokens: list[tuple[str, str, int]], i: int, at: int, around: list[
     return "before_marker" if confidence == "strong" else "ambiguous"
 
 
+def introductory_gaps(text: str, phrases: tuple[str, ...]) -> list[tuple[int, int, str]]:
+    """(start, end, replacement) where a comma is missing after an introductory phrase at the start of a sentence: the gap to the
+    next word after a single word, the next character after other phrases."""
+    around, out = zones(text), set()
+    single = {p for p in phrases if regex.fullmatch(r"\p{Alphabetic}+", p)}
+    for start, _ in sentence_spans(text, around):
+        if any(a < start < b for a, b, _ in around):
+            continue
+        word = _TOKEN.match(text, start)
+        if word and word.lastgroup == "word" and word.group().lower() in single & INTRODUCTORY:
+            gap = _SPACE.match(text, word.end())
+            nxt = _TOKEN.match(text, gap.end())
+            if gap.group() and nxt and nxt.lastgroup == "word":
+                out.add((word.end(), gap.end(), ", "))
+        tail = text[start : start + 80].lower()
+        for p in phrases:
+            at = start + len(p)
+            if p not in single and tail.startswith(p) and not text[at : at + 1].isalpha():
+                at = _SPACE.match(text, at).end()
+                if text[at : at + 1] not in ("", ","):
+                    out.add((at, at + 1, ", " + text[at]))
+    return sorted(out)
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, n, s, e): the sentences of each document, offsets in characters."""
 
@@ -173,7 +198,7 @@ def boundaries(docs: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame
 
 def fold_issues(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, text, rule_id, s, e, replacement) of the rules that need sentences or clauses."""
-    todo = [(r.rule_id, r.kind, tuple(m.lower() for m in r.params.get("markers", ())) or MARKERS) for r in rules]
+    todo = [(r.rule_id, r.kind, tuple(m.lower() for m in r.params.get("phrases") or r.params.get("markers") or MARKERS)) for r in rules]
 
     def issues(text: str) -> list[tuple[str, int, int, str]]:
         out = []
@@ -188,6 +213,8 @@ def fold_issues(docs: DataFrame, rules: list[Rule]) -> DataFrame:
                         break
                     if word[1][0].islower():
                         out.append((rule_id, word[0], word[0] + 1, word[1][0].upper()))
+            elif kind == "introductory_phrase_comma":
+                out += [(rule_id, *x) for x in introductory_gaps(text, markers)]
             else:
                 out += [(rule_id, s, e, ", " + text[s:e]) for s, e, _, k, _ in clause_boundaries(text, markers) if k == "before_marker"]
         return out

@@ -121,3 +121,38 @@ def negated_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = from_table(table(spark, sf_dir, "opencorpora"), "grammemes")
     text = F.replace(F.replace("text", F.lit(" переставил"), F.lit(" непереставил")), F.lit(" уточнил"), F.lit(" НЕуточнил"))
     return morphology.negated_verbs(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), lexicon, _VERBS).select("doc_id", "s", "e", "replacement")
+
+
+def _whole_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slovotok.sources.lexicon import seed_lexicon
+
+    return from_table(table(spark, sf_dir, "opencorpora"), "grammemes").unionByName(seed_lexicon(spark))
+
+
+@query("grammar_conflicts")
+def grammar_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts of agreement and government in all documents, with the form that mends each where there is only one."""
+    from slovotok.operators import agreement
+
+    verbs = agreement.government(table(spark, sf_dir, "verb_government"))
+    return agreement.conflicts(table(spark, sf_dir, "documents").select("doc_id", "text"), _whole_lexicon(spark, sf_dir), verbs)
+
+
+@query("check_with_lexicon")
+def check_with_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of all documents by rule, with the rules that need a dictionary."""
+    from slovotok.operators import agreement
+    from slovotok.operators.checking import check
+    from slovotok.plans.rules import RuleFilter
+
+    extra = agreement.with_lexicon(_whole_lexicon(spark, sf_dir), agreement.government(table(spark, sf_dir, "verb_government")))
+    rows = check(table(spark, sf_dir, "documents").select("doc_id", "text"), chosen=RuleFilter("strict"), extra=extra)
+    return rows.groupBy("rule_id").agg(F.count("*").alias("n_issues"))
+
+
+@query("verb_government_cases")
+def verb_government_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases that verbs govern, by lemma."""
+    from slovotok.operators import agreement
+
+    return agreement.government(table(spark, sf_dir, "verb_government")).select("verb", "direct", F.to_json("through").alias("through"))

@@ -176,7 +176,7 @@ def _detector_query(rule: Rule) -> None:
 
 
 for _r in RULES:
-    if _r.kind in detectors.REGISTRY:
+    if _r.kind in detectors.REGISTRY and detectors.REGISTRY[_r.kind].level != "lexicon":
         _detector_query(_r)
 
 

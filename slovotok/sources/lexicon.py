@@ -105,6 +105,17 @@ def attach_stress(lexicon: DataFrame, records: DataFrame) -> DataFrame:
     return joined.withColumn("stress", F.coalesce("r.r_stress", "stress")).withColumn("source_id", F.coalesce("source_id", "r.r_source")).drop("r_id", "r")
 
 
+def seed_lexicon(spark: SparkSession) -> DataFrame:
+    """Prepositions and numerals as a lexicon: what agreement needs and dictionaries of other words may lack."""
+    from slovotok.functions.morphology import preposition_cases
+    from slovotok.operators.agreement import NUMERALS
+
+    rows = [(w, w, "PREP", "") for w in preposition_cases()]
+    rows += [(w, w, "NUMR", f"num_class={c}|{case}") for c, ws in NUMERALS.items() for w in ws if c != "one" for case in ("nom", "acc")]
+    lines = spark.createDataFrame([("\t".join(r) + "\t" * 4,) for r in rows], "value string")
+    return read_project(lines, "seed")
+
+
 def write_lexicon(lexicon: DataFrame, path: str, files: int = 8) -> None:
     """Stores a lexicon clustered by key: each file holds a range of keys, so their statistics answer most look-ups."""
     lexicon.repartitionByRange(files, "key").sortWithinPartitions("key", "form", "lemma").write.mode("overwrite").parquet(path)

@@ -4,7 +4,7 @@ import pytest
 
 from slovotok.operators.checking import check
 from slovotok.operators.document_context import abbreviations, glossary, structure
-from slovotok.operators.sentences import clause_boundaries, sentence_spans, zones
+from slovotok.operators.sentences import clause_boundaries, introductory_gaps, sentence_spans, zones
 from slovotok.plans.rules import RULES, RuleFilter, plan
 from slovotok.sinks import reports
 from slovotok.sources.rules import RuleFileError, load_rules
@@ -42,6 +42,13 @@ def test_clause_boundaries():
     assert kinds("«Знаю что он»") == [("что", "suppressed_safe_zone")]
 
 
+def test_introductory_words():
+    phrases = ("конечно", "во-первых", "своё")
+    assert introductory_gaps("Конечно да. Конечно, нет. Я конечно тут.", phrases) == [(7, 8, ", ")]
+    assert introductory_gaps("Во-первых это так. Во-первых, так.", phrases) == [(10, 11, ", э")]
+    assert introductory_gaps("Своё дело.", phrases) == []
+
+
 def test_structure_and_glossary(spark):
     text = "# Глоссарий\n- слово — единица\n* знак: точка\n\nДалее\n1. пункт."
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
