@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slovotok.session import shipped
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -15,7 +17,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query."""
 
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = shipped(f)
         if sql:
             ORACLE[name] = sql
         return f

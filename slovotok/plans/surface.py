@@ -156,6 +156,7 @@ _INJECTED = {
     "no_whitespace_before_punctuation": [(", ", " , ")],
     "multiple_spaces": [(". ", ".  ")],
     "hyphen_instead_of_dash": [(" — ", " - ")],
+    "introductory_phrase_comma": [("Конечно, ", "Конечно "), ("Во-первых, ", "Во-первых ")],
 }
 
 

@@ -43,3 +43,35 @@ def small_enough(df: DataFrame, column: str, bytes_most: int = BROADCAST_BYTES)
 
     held = df.agg(F.coalesce(F.sum(F.octet_length(F.col(column)) + 64), F.lit(0)).alias("b")).first()["b"]
     return held <= bytes_most
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once an application, so that they need not have it installed."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="slovotok-ship-")) / "slovotok.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
+def shipped(f):
+    """The query, with the package shipped before it is built."""
+    from functools import wraps
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
