@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from slovotok.llm import charforms, encodings, grouped_splits, leaks, packing
-from slovotok.session import table
+from slovotok.session import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query of this subpackage."""
 
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = shipped(f)
         if sql:
             ORACLE[name] = sql
         return f
