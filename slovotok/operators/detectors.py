@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -253,16 +254,27 @@ def _confusable(rule: Rule) -> list[Hit]:
     return [Hit(is_word(_T()) & norm.isin(list(values)), _S(), _E(), match_case(_T(), _lookup(values, norm)))]
 
 
+def _overlap(a: str, b: str) -> bool:
+    """Whether two phrases can share letters of a text: one within the other, or the end of one at the start of the other."""
+    return a in b or b in a or any(a.endswith(b[:k]) or b.endswith(a[:k]) for k in range(1, min(len(a), len(b))))
+
+
 @register("phrase_map", "text", ("tokenization", "lexicon"))
 def _phrases(rule: Rule) -> Column:
-    lower, out = _LOW(), []
-    for bad, good in _map(rule.params["forms"]).items():
-        # Occurrences are found left to right without overlap; those inside longer words are then dropped.
-        found = matches(lower, f"\\Q{bad}\\E")
-        free = lambda x, n=len(bad): ~F.coalesce(F.col("text").substr(x["s"], F.lit(1)).rlike(r"\p{IsAlphabetic}") & (x["s"] > 0), F.lit(False)) & ~F.coalesce(F.col("text").substr(x["e"] + 1, F.lit(1)).rlike(r"^\p{IsAlphabetic}"), F.lit(False))
-        spans = _spans(F.filter(found, free), rule, lambda x, g=good: F.lit(g))
-        out.append(F.when(lower.contains(bad), spans).otherwise(F.array().cast(f"array<{ISSUE}>")))
-    return F.flatten(F.array(*out))
+    """Occurrences of each phrase are found left to right without overlap; those inside longer words are then dropped. Phrases
+    that cannot overlap are looked for together, others in turn."""
+    values, groups = _map(rule.params["forms"]), []
+    for bad in values:
+        free_group = next((g for g in groups if not any(_overlap(bad, x) for x in g)), None)
+        groups.append([bad]) if free_group is None else free_group.append(bad)
+    free = lambda x: ~F.coalesce(F.col("text").substr(x["s"], F.lit(1)).rlike(r"\p{IsAlphabetic}") & (x["s"] > 0), F.lit(False)) & ~F.coalesce(F.col("text").substr(x["e"] + 1, F.lit(1)).rlike(r"^\p{IsAlphabetic}"), F.lit(False))
+    out = []
+    for g in groups:
+        found = matches(_LOW(), "(?:" + "|".join(f"\\Q{bad}\\E" for bad in sorted(g, key=len, reverse=True)) + ")")
+        spans = _spans(F.filter(found, free), rule, lambda x: _lookup(values, x["m"]))
+        some = reduce(lambda a, b: a | b, [_LOW().contains(bad) for bad in g])
+        out.append(F.when(some, spans).otherwise(F.array().cast(f"array<{ISSUE}>")))
+    return out[0] if len(out) == 1 else F.flatten(F.array(*out))
 
 
 @register("zhi_shi_cha_shcha", "token", ("tokenization",),
