@@ -156,3 +156,12 @@ def verb_government_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slovotok.operators import agreement
 
     return agreement.government(table(spark, sf_dir, "verb_government")).select("verb", "direct", F.to_json("through").alias("through"))
+
+
+@query("word_formation")
+def word_formations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best parse of every distinct word of the dictionary of the project's own dialect."""
+    from slovotok.operators.word_formation import word_formation
+
+    rows = word_formation(table(spark, sf_dir, "project"), "form")
+    return rows.filter("rank = 1").select("word", "score", "confidence", "signature")
