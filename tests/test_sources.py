@@ -75,3 +75,17 @@ def test_pairs(spark, tmp_path):
     table.write.json(str(tmp_path / "j"))
     assert gec.read_jsonl(spark, str(tmp_path / "j")).count() == 1
     assert gec.read_jsonl(spark, str(tmp_path / "j")).filter(F.col("input") == "а").first()["targets"] == ["б"]
+
+
+def test_spreadsheet(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    titles = ["The rule", "Grammar section", "Initial sentence", "Correct sentence", "Prompt/Query"]
+    shared = "".join(f"<si><t>{t}</t></si>" for t in [*titles, "р1", "раздел", "Он , тут", "Он тут"])
+    cell = lambda ref, n: f'<c r="{ref}" t="s"><v>{n}</v></c>'
+    header = "".join(cell(f"{c}1", i) for i, c in enumerate("ABCDE"))
+    body = cell("A2", 5) + cell("B2", 6) + cell("C2", 7) + cell("D2", 8) + '<c r="E2" t="inlineStr"><is><t>Query</t></is></c>'
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{shared}</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1">{header}</row><row r="2">{body}</row><row r="3"><c r="A3"><v>1</v></c></row></sheetData></worksheet>')
+    rows = gec.grammar_sheet(gec.read_xlsx(spark, str(tmp_path))).collect()
+    assert [(r["id"], r["input"], r["correction"], r["labels"], r["metadata"]["subset"], len(r["edits"])) for r in rows] == [("lorugec/xlsx-1", "Он, тут", "Он тут", ["раздел", "р1"], "test", 1)]
