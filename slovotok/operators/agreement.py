@@ -1,11 +1,11 @@
 """Agreement and government in chains of words: modifier and noun, subject and predicate, preposition, numeral and verb with
 their nominal groups.
 
-Each distinct surface gets one profile of its dictionary readings (roles, sets of features, governed cases). Profiles join the
-word tokens, by broadcast where the measured vocabulary is small, and one window per document looks at the words that follow
+Each distinct word with its readings gets one profile (roles, sets of features, governed cases). Profiles join the word
+tokens, by broadcast where the measured vocabulary is small, and one window per document looks at the words that follow
 with nothing but space of one line between. All comparisons are three-valued: a conflict is reported only if no reading could
-agree and every reading says what is compared. Contextual disambiguation is not applied, so words with readings in other
-roles are never reported.
+agree and every reading says what is compared. Contextual disambiguation comes first; words that keep readings in other roles
+are never reported.
 
 Defined results: null texts and unknown words give nothing; repeated documents need distinct ids, as words are ordered by id.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from slovotok.functions.morphology import preposition_cases
 from slovotok.functions.text import is_space, is_word, lookup_key, match_case, token_rows
+from slovotok.operators.disambiguation import disambiguated
 from slovotok.operators.morphology import negated_verbs
 from slovotok.operators.unpack import unpack
 from slovotok.plans.rules import Rule
@@ -31,7 +32,7 @@ REACH = 5
 # The numerals of each class.
 NUMERALS = {"one": ["один", "одна", "одно"], "paucal": ["два", "две", "три", "четыре"], "many": ["пять", "шесть", "семь", "восемь", "девять", "десять"]}
 _MODIFIERS, _HEADS, _NOMINAL, _PREDICATES = ("adjective", "participle"), ("noun", "pronoun", "numeral"), ("noun", "pronoun", "adjective", "numeral", "participle"), ("verb", "participle", "predicative")
-_LEXICON = ("form", "lemma", "pos", "case", "number", "gender", "tense", "person", "adjective_form", "degree")
+_LEXICON = ("form", "lemma", "pos", "case", "number", "gender", "tense", "person", "adjective_form", "degree", "verb_form")
 
 
 def _all(readings: Column, test: Callable[[Column], Column]) -> Column:
@@ -85,19 +86,30 @@ def government(table: DataFrame, key: str = "row_no") -> DataFrame:
     return rows.filter("verb <> ''").groupBy("verb").agg(direct.alias("direct"), pairs.alias("through"))
 
 
-def chains(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None) -> DataFrame:
-    """One row a word: (doc_id, text, s, w0..wn), each w a struct of word, start, end and profile, null beyond the chain; `before`
-    is the word before, whatever stands between."""
+def word_readings(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, idx, word, s, e, linked, r): the words of documents with their readings; linked tells whether a word follows
+    with nothing but space of one line between. Each distinct surface is looked up once."""
     rows = token_rows(documents.filter("text <> ''").select("doc_id", "text"), ["doc_id", "text"], 0, 2).filter(is_word(F.col("t")))
     linked = is_space(F.col("n1")) & ~F.coalesce(F.col("n1").contains("\n"), F.lit(False)) & is_word(F.col("n2"))
     words = rows.select("doc_id", "idx", F.col("t").alias("word"), "s", "e", linked.alias("linked"))
     surfaces = checkpoint(words.select("word").distinct().join(lexicon_by_key(lexicon), lookup_key(F.col("word")) == F.col("key")).select("word", readings_of_fields(F.col("word"), F.col("readings")).alias("r")))
-    memo = surfaces.select("word", profile(F.col("word"), F.col("r")).alias("p"))
+    memo = F.broadcast(surfaces) if small_enough(surfaces.select(F.to_json("r").alias("j")), "j", 4 << 20) else surfaces
+    return words.join(memo, "word", "left")
+
+
+def chains(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None, disambiguate: bool = True) -> DataFrame:
+    """One row a word: (doc_id, w0..wn), each w a struct of word, start, end and profile, null beyond the chain; `before` is the
+    profile of the word before, whatever stands between. Profiles are made once per distinct word and set of readings."""
+    words = word_readings(documents, lexicon)
+    words = disambiguated(words) if disambiguate else words
+    words = words.withColumn("k", F.xxhash64("word", "r"))
+    distinct = checkpoint(words.filter("r is not null").groupBy("k").agg(F.first("word").alias("word"), F.first("r").alias("r")))
+    memo = distinct.select("k", profile(F.col("word"), F.col("r")).alias("p"))
     if verbs is not None:
         one = F.when(F.col("p.verb") & (F.size("p.lemmas") == 1), F.lower(F.element_at("p.lemmas", 1)))
-        memo = memo.withColumn("verb", one).join(verbs, "verb", "left").withColumn("p", F.col("p").withField("direct", F.col("direct")).withField("through", F.col("through"))).select("word", "p")
-    memo = F.broadcast(memo) if small_enough(surfaces.select(F.to_json("r").alias("j")), "j", 4 << 20) else memo
-    placed = words.join(memo, "word", "left").withColumn("w", F.struct("word", "s", "e", "p", "linked"))
+        memo = memo.withColumn("verb", one).join(verbs, "verb", "left").withColumn("p", F.col("p").withField("direct", F.col("direct")).withField("through", F.col("through"))).select("k", "p")
+    memo = F.broadcast(memo) if small_enough(distinct.select(F.to_json("r").alias("j")), "j", 4 << 20) else memo
+    placed = words.drop("r").join(memo, "k", "left").withColumn("w", F.struct("word", "s", "e", "p", "linked"))
     order = Window.partitionBy("doc_id").orderBy("idx")
     leads = placed.select("doc_id", "s", F.col("w").alias("w0"), F.lag("w").over(order)["p"].alias("before"), *[F.lead("w", i).over(order).alias(f"l{i}") for i in range(1, REACH + 1)])
     whole, made = F.col("w0.linked"), []

@@ -165,3 +165,14 @@ def word_formations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = word_formation(table(spark, sf_dir, "project"), "form")
     return rows.filter("rank = 1").select("word", "score", "confidence", "signature")
+
+
+@query("eliminated_readings")
+def eliminated_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that the context rules out in the learner sentences, by constraint and part of speech."""
+    from slovotok.operators.agreement import word_readings
+    from slovotok.operators.disambiguation import eliminations
+
+    rows = table(spark, sf_dir, "sentences").dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text")
+    found = eliminations(word_readings(rows, _whole_lexicon(spark, sf_dir)))
+    return found.groupBy("constraint", "pos").agg(F.count("*").alias("n"))
