@@ -100,3 +100,19 @@ def cross_sentence_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = words.filter((F.length("term") >= 4) & ~F.col("term").isin(document_context.STOP_WORDS))
     placed = words.join(spans, "doc_id").select("doc_id", "term", F.size(F.filter("spans", lambda x: x["s"] <= F.col("s"))).alias("n"))
     return placed.groupBy("doc_id", "term").agg(F.countDistinct("n").alias("n_sentences")).filter("n_sentences > 1")
+
+
+@query("fact_counts")
+def fact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each layer found in every document."""
+    from slovotok.operators.inspection import fact_counts as counts
+
+    return counts(table(spark, sf_dir, "documents"))
+
+
+@query("islands")
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of every document within which words may be linked."""
+    from slovotok.operators.inspection import islands as found
+
+    return found(table(spark, sf_dir, "documents"))

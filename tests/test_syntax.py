@@ -90,3 +90,15 @@ def test_rule_files(tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"source_refs": [{"id": "own"}], "rules": [rule, rule]}))
     with pytest.raises(RuleFileError):
         load_rules(str(tmp_path))
+
+
+def test_inspection(spark):
+    from slovotok.operators.inspection import fact_counts, islands
+
+    df = spark.createDataFrame([(1, "Он сказал (тихо) «да». Всё."), (2, None), (3, "")], "doc_id int, text string")
+    text = "Он сказал (тихо) «да». Всё."
+    got = [(r["sentence"], r["kind"], text[r["s"] : r["e"]]) for r in islands(df).filter("doc_id = 1").orderBy("n").collect()]
+    assert got == [(1, "sentence", "Он сказал "), (1, "parenthetical", "(тихо)"), (1, "direct_speech", "«да»"), (1, "sentence", "."), (2, "sentence", "Всё.")]
+    row = fact_counts(df).filter("doc_id = 1").first()
+    assert (row["words"], row["sentences"], row["parentheticals"], row["direct_speech"], row["islands"]) == (5, 2, 1, 1, 5)
+    assert fact_counts(df).filter("doc_id = 3").first()["tokens"] == 0
