@@ -26,7 +26,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-@query("p3_found")
+def _forms_sql() -> str:
+    text, latin_text, form = charforms.form_parts("t0")
+    return f"""
+with v as (
+  select 'gec_dataset_regressions' as tbl, rec_no as row_no, 'input' as field, input as t0 from gec_dataset_regressions
+  union all select 'gec_dataset_regressions', rec_no, 'correction', correction from gec_dataset_regressions
+  union all select 'project', row_no, 'form', form from project
+)
+select tbl, row_no, field from (select *, {form} as form from (select *, {latin_text} as latin_text from (select *, {text} as t from v where t0 is not null))) where t0 <> form
+"""
+
+
+@query("p3_found", _forms_sql())
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that differ from their consistent form."""
     records = charforms.differing(table(spark, sf_dir, "gec_dataset_regressions"), "rec_no", ["input", "correction"], "gec_dataset_regressions")
