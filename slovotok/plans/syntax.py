@@ -116,3 +116,12 @@ def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slovotok.operators.inspection import islands as found
 
     return found(table(spark, sf_dir, "documents"))
+
+
+@query("coordination_groups")
+def coordination_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordination groups of all documents by size and repetition."""
+    from slovotok.operators.coordination import coordination_groups as found
+
+    rows = found(table(spark, sf_dir, "documents"))
+    return rows.groupBy(F.size("members").alias("n_members"), "repeated").agg(F.count("*").alias("n_groups"))

@@ -102,3 +102,13 @@ def test_inspection(spark):
     row = fact_counts(df).filter("doc_id = 1").first()
     assert (row["words"], row["sentences"], row["parentheticals"], row["direct_speech"], row["islands"]) == (5, 2, 1, 1, 5)
     assert fact_counts(df).filter("doc_id = 3").first()["tokens"] == 0
+
+
+def test_coordination_groups():
+    from slovotok.operators.coordination import groups
+
+    get = lambda t: [(m, c, r) for _, _, m, c, r in groups(t)]
+    assert get("мама и папа") == [(["мама", "папа"], ["и"], False)]
+    assert get("умный, быстрый и надёжный прибор") == [(["умный", "быстрый", "надёжный"], [",", "и"], False)]
+    assert get("ни дом, ни сад") == [(["дом", "сад"], [", ни"], True)]
+    assert get("дом (и сад). Лес") == [] and get("") == []
