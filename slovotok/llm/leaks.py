@@ -5,8 +5,10 @@ other alphabets fold. The test strings are windows of the items' streams, STRIDE
 LENGTH + STRIDE - 1 letters of an item always holds one. A table of shifts by blocks of BLOCK letters says how far the
 search may jump; a block with shift 0 selects, by the hash of the strings' last block, the strings that may end there;
 their first letters and then all letters are compared. Many cursors run through a batch at once, so each step is one
-vector operation. A document that covers enough letters of an item is then aligned with it word by word: it leaks if one
-passage, the best local alignment of words, spans in order at least a third of the item's words and ten.
+vector operation. A second way to the alignment needs no long runs: CHAIN whole words of an item in its order, not far from
+each other in either text, so passages in which every second or third word was changed are aligned too. A document that
+covers enough letters of an item, or holds such a chain, is then aligned with it word by word: it leaks if one passage, the
+best local alignment of words, spans in order at least a third of the item's words and ten.
 
 Every character of every document is searched; the items are a bounded query set (MOST_ITEM_CHARS is checked).
 
@@ -31,6 +33,12 @@ LENGTH, BLOCK, STRIDE, PREFIX = 14, 8, 4, 4
 BITS = 20
 #: Letters of an item that the strings found in a document must cover before it is aligned.
 COVER = 34
+#: Equal words in order that make a chain, of which each may be REACH words from the next; earlier hits looked at for a link.
+CHAIN, REACH, LOOK = 3, 8, 6
+#: Of NEAR words around a chain so many must be like words of the item at that place, give or take DRIFT words.
+NEAR, LIKE, DRIFT = 12, 5, 4
+#: A word in more items than this, and than this share of them, starts no chain.
+COMMON, COMMON_SHARE = 30, 0.1
 #: A quarter of the longest gap between two parts of one passage, in words.
 GAP = 3
 #: A third of the item's words and ten; a word at either end of a passage may be changed and is then not seen.
@@ -141,6 +149,110 @@ class Search:
             self.at, self.of, self.pos, last = self.at[order], self.of[order], self.pos[order], last[order]
             self.bucket = np.searchsorted(last, np.arange((1 << BITS) + 1)).astype(np.int32)
             self.prefix = self.pack(self.letters)[self.at]
+        self.bare = np.array([unicodedata.category(chr(c)) in ("Mn", "Me", "Cf") for c in range(0x10000)] + [False])
+        self.mix = np.random.default_rng(7).integers(1, 1 << 63, (64, 256), np.uint64)
+        self._index_words([without_markup(t) for t in texts])
+
+    def _index_words(self, texts: list[str]) -> None:
+        """The places (item, word) of each word that is not common, by the hash of the word."""
+        hashes, of, _, _, ends = self.hashed_words(texts)
+        self.item_keys = np.stack([hashes, *ends])
+        self.item_first = np.searchsorted(of, np.arange(len(texts) + 1))
+        pos = np.arange(len(of)) - np.searchsorted(of, of)
+        known, inverse = np.unique(hashes, return_inverse=True)
+        pairs = np.unique(inverse.astype(np.int64) * (len(texts) + 1) + of)
+        in_items = np.bincount(pairs // (len(texts) + 1), minlength=len(known))
+        kept = in_items[inverse] <= max(COMMON, COMMON_SHARE * len(texts))
+        order = np.flatnonzero(kept)
+        order = order[np.argsort(hashes[order], kind="stable")]
+        self.place_item, self.place_word = of[order].astype(np.int32), pos[order].astype(np.int32)
+        self.place_hash, self.place_first, self.place_size = np.unique(hashes[order], return_index=True, return_counts=True)
+
+    def hashed_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of each run of letters: its hash in canonical letters, its text, its first and last character in the joined texts, and
+        its first and its last letters (the hash again where it is too short)."""
+        points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = self.table[points]
+        at = np.flatnonzero((codes > 0) | ~self.bare[np.minimum(points, 0x10000)])
+        codes = codes[at]
+        letter = codes > 0
+        first = letter.copy()
+        first[1:] &= ~letter[:-1]
+        last = letter.copy()
+        last[:-1] &= ~letter[1:]
+        begin, end = np.flatnonzero(first), np.flatnonzero(last)
+        if not len(begin):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), begin, end, [np.zeros(0, np.uint64)] * 2
+        inside = np.flatnonzero(letter)
+        size = end - begin + 1
+        offset = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
+        hashes = np.add.reduceat(self.mix[offset & 63, codes[inside]], np.cumsum(size) - size)
+        packs = self.pack(codes)
+        keys = [np.where(size > PREFIX, packs[begin], hashes), np.where(size > PREFIX, packs[np.maximum(end - PREFIX + 1, 0)], hashes)]
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        return hashes, np.searchsorted(ends, at[begin]), at[begin], at[end], keys
+
+    def _alike_around(self, keys: np.ndarray, text: np.ndarray, word: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The most words among NEAR around each given word that are like a word of the item at that place."""
+        best = np.zeros(len(word), np.int64)
+        for x in range(0, len(word), 1 << 14):
+            w, i, g = word[x : x + (1 << 14)], item[x : x + (1 << 14)], self.item_first[item[x : x + (1 << 14)]] + place[x : x + (1 << 14)]
+            like = np.zeros((len(w), 2 * NEAR + 1), np.int64)
+            for d in range(-NEAR, NEAR + 1):
+                at = np.clip(w + d, 0, len(text) - 1)
+                some = np.zeros(len(w), bool)
+                for e in range(d - DRIFT, d + DRIFT + 1):
+                    to = np.clip(g + e, self.item_first[i], self.item_first[i + 1] - 1)
+                    some |= (keys[:, at] == self.item_keys[:, to]).any(axis=0) & (to == g + e)
+                like[:, d + NEAR] = some & (at == w + d) & (text[at] == text[w])
+            total = np.cumsum(np.pad(like, ((0, 0), (1, 0))), axis=1)
+            best[x : x + (1 << 14)] = (total[:, NEAR:] - total[:, :-NEAR]).max(axis=1)
+        return best
+
+    def chained(self, plain: list[str]) -> list[tuple[int, int, str]]:
+        """(text, item, part of the text) where CHAIN words of the item stand in order and near each other."""
+        hashes, text, begin, end, keys = self.hashed_words(plain)
+        if not len(hashes) or not len(self.place_hash):
+            return []
+        k = np.minimum(np.searchsorted(self.place_hash, hashes), len(self.place_hash) - 1)
+        hit = np.flatnonzero(self.place_hash[k] == hashes)
+        first, size = self.place_first[k[hit]], self.place_size[k[hit]]
+        word = np.repeat(hit, size)
+        place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(word))
+        item = self.place_item[place]
+        order = np.argsort(item.astype(np.uint16) if len(self.ids) < 1 << 16 else item, kind="stable")
+        word, item, place = word[order].astype(np.int32), item[order], self.place_word[place[order]]
+        links = []
+        for lag in range(1, LOOK + 1):
+            dw, dp = word[lag:] - word[:-lag], place[lag:] - place[:-lag]
+            near = np.flatnonzero((dw > 0) & (dw <= REACH) & (dp > 0) & (dp <= REACH))
+            near = near[(item[near] == item[near + lag]) & (text[word[near]] == text[word[near + lag]])]
+            links.append((near, near + lag))
+        source, target = np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
+        # Where chains of one more link end, until they are long enough.
+        ends = np.unique(target)
+        for _ in range(CHAIN - 2):
+            held = np.zeros(len(word), bool)
+            held[ends] = True
+            ends = np.unique(target[held[source]])
+        ends = ends[self._alike_around(np.stack([hashes, *keys]), text, word[ends].astype(np.int64), item[ends], place[ends]) >= LIKE]
+        at = np.cumsum([0, *(len(t) + 1 for t in plain)])
+        out, upto = [], {}
+        for j in ends.tolist():
+            w, i = int(word[j]), int(item[j])
+            t = int(text[w])
+            if upto.get((t, i), -1) >= w:
+                continue
+            # The part reaches as far as any passage with this chain, and ends with the text.
+            far = 2 * len(self.words[i]) + 40
+            lo, hi = max(0, w - far), min(len(hashes) - 1, w + far)
+            while text[lo] != t:
+                lo += 1
+            while text[hi] != t:
+                hi -= 1
+            upto[t, i] = w + far // 2
+            out.append((t, i, plain[t][int(begin[lo]) - int(at[t]) : int(end[hi]) - int(at[t]) + 1]))
+        return out
 
     def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Letters of texts, each text followed by a 0; where each text begins; which character each letter was."""
@@ -201,8 +313,12 @@ class Search:
         return where, string
 
     def candidates(self, texts: list[str]) -> list[tuple[int, int, str]]:
-        """(text, item, part of the text) where strings close to each other cover enough of the item."""
+        """(text, item, part of the text) that must be aligned."""
         plain = [without_markup(t) for t in texts]
+        return self.covered(plain) + self.chained(plain)
+
+    def covered(self, plain: list[str]) -> list[tuple[int, int, str]]:
+        """(text, item, part of the text) where strings close to each other cover enough of the item."""
         letters, starts, chars = self.stream(plain)
         where, string = self.occurrences(letters)
         if not len(where):

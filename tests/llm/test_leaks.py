@@ -90,3 +90,22 @@ def test_canonical_letters():
     code = lambda c: int(table[ord(c)])
     assert code("о") == code("O") == code("ο") == code("О") and code("е") == code("ё") and code("и") == code("й") and code("1") == code(" ") == 0
     assert len(np.unique(table[[ord(c) for c in "абвгдежзиклмнопрстуфхцчшщъыьэюя"]])) == 31
+
+
+def test_shortest_passages_with_changed_words_are_aligned():
+    rng = random.Random(23)
+    items = [(i, text(rng, 5)) for i in range(60)]
+    search, docs = leaks.Search(items), []
+    for _, t in items:
+        words = t.split()[7:17]
+        for changed in ((3, 6), (2, 4, 7), (2, 4, 6, 8)):
+            part = [rng.choice(["иначе", "лишь", "впрочем"]) if k in changed else w for k, w in enumerate(words)]
+            docs.append(f"{text(rng, 6)} {' '.join(part)} {text(rng, 4)}")
+    got = {(t, i) for t, i, _ in search.candidates(docs)}
+    assert {(k, k // 3) for k in range(len(docs))} <= got
+
+
+def test_a_changed_third_of_the_words_still_leaks(spark):
+    item = "Соня мыла пол, кот ел суп, дед пил чай, пёс спал, мать шила, а сын пел о море и небе"
+    part = "кот ел кашу, дед пил квас, пёс спал, мать пела, а сын"
+    assert run(spark, [(1, f"Было утро. {part}. Стало тихо.")], [(7, item)]) == [(1, 7)]
