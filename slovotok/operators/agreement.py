@@ -5,7 +5,8 @@ Each distinct word with its readings gets one profile (roles, sets of features,
 tokens, by broadcast where the measured vocabulary is small, and one window per document looks at the words that follow
 with nothing but space of one line between. All comparisons are three-valued: a conflict is reported only if no reading could
 agree and every reading says what is compared. Contextual disambiguation comes first; words that keep readings in other roles
-are never reported.
+are never reported. A clause candidate adds a pair that may stand apart: the first word of an island that may be a predicate and
+the nearest word before it that may be a subject, if each has one reading left and the island is no zone.
 
 Defined results: null texts and unknown words give nothing; repeated documents need distinct ids, as words are ordered by id.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from slovotok.functions.morphology import preposition_cases
 from slovotok.functions.text import is_space, is_word, lookup_key, match_case, token_rows
 from slovotok.operators.disambiguation import disambiguated
+from slovotok.operators.inspection import islands
 from slovotok.operators.morphology import negated_verbs
 from slovotok.operators.unpack import unpack
 from slovotok.plans.rules import Rule
@@ -60,6 +62,8 @@ def profile(surface: Column, readings: Column) -> Column:
     modifier = lambda r: r["pos"].isin(*_MODIFIERS) & ~F.coalesce(r["degree"] == "comparative", F.lit(False)) & ~F.coalesce(r["adjective_form"] == "short", F.lit(False))
     subject = lambda r: r["pos"].isin(*_HEADS) & F.coalesce(r["case"] == "nominative", F.lit(True))
     past = lambda r: F.coalesce(r["tense"] == "past", F.lit(False)) & F.coalesce(r["number"] == "singular", F.lit(True))
+    clause_predicate = lambda r: F.coalesce(((r["pos"] == "verb") & ~r["verb_form"].eqNullSafe("infinitive")) | (r["pos"] == "predicative") | ((r["pos"] == "adjective") & r["adjective_form"].eqNullSafe("short")), F.lit(False))
+    clause_subject = lambda r: F.coalesce(r["pos"].isin("noun", "pronoun") & F.coalesce(r["case"] == "nominative", F.lit(True)), F.lit(False))
     persons = F.array_distinct(F.array_compact(F.transform(readings, lambda r: F.when(r["pos"] == "noun", F.lit("third")).otherwise(r["person"]))))
     return F.struct(
         _all(readings, modifier).alias("modifier"), _all(readings, lambda r: r["pos"] == "noun").alias("noun"), _all(readings, lambda r: r["pos"].isin(*_HEADS)).alias("head"), _all(readings, lambda r: r["pos"].isin(*_NOMINAL)).alias("nominal"),
@@ -67,6 +71,7 @@ def profile(surface: Column, readings: Column) -> Column:
         _all(readings, subject).alias("subject"), _all(readings, lambda r: r["pos"].isin(*_PREDICATES)).alias("predicate"), _all(readings, lambda r: r["pos"] == "verb").alias("verb"),
         governed.alias("governs"), F.exists(readings, past).alias("past_singular"), persons.alias("persons"),
         _set(readings, "case").alias("cases"), _set(readings, "number").alias("numbers"), _set(readings, "gender").alias("genders"), _set(F.filter(readings, past), "gender").alias("past_genders"), _set(readings, "person").alias("own_persons"),
+        F.exists(readings, clause_predicate).alias("clause_predicate"), F.exists(readings, clause_subject).alias("clause_subject"),
         _set(readings, "lemma").alias("lemmas"), F.exists(readings, lambda r: r["case"].isNull()).alias("caseless"), readings.alias("readings"),
     )
 
@@ -97,9 +102,10 @@ def word_readings(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.join(memo, "word", "left")
 
 
-def chains(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None, disambiguate: bool = True) -> DataFrame:
+def chains(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None, disambiguate: bool = True, clauses: bool = False) -> DataFrame:
     """One row a word: (doc_id, w0..wn), each w a struct of word, start, end and profile, null beyond the chain; `before` is the
-    profile of the word before, whatever stands between. Profiles are made once per distinct word and set of readings."""
+    profile of the word before, whatever stands between. With clauses, `subject` is the w of the subject of the clause whose
+    predicate w0 is, null for other words and where the clause is blocked. Profiles are made once per distinct word and set of readings."""
     words = word_readings(documents, lexicon)
     words = disambiguated(words) if disambiguate else words
     words = words.withColumn("k", F.xxhash64("word", "r"))
@@ -111,12 +117,23 @@ def chains(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = N
     memo = F.broadcast(memo) if small_enough(distinct.select(F.to_json("r").alias("j")), "j", 4 << 20) else memo
     placed = words.drop("r").join(memo, "k", "left").withColumn("w", F.struct("word", "s", "e", "p", "linked"))
     order = Window.partitionBy("doc_id").orderBy("idx")
-    leads = placed.select("doc_id", "s", F.col("w").alias("w0"), F.lag("w").over(order)["p"].alias("before"), *[F.lead("w", i).over(order).alias(f"l{i}") for i in range(1, REACH + 1)])
+    subject = []
+    if clauses:
+        spans = islands(documents).groupBy("doc_id").agg(F.collect_list(F.struct("n", "s", "e", "kind")).alias("around"))
+        inside = F.filter("around", lambda i: (i["s"] < F.col("e")) & (F.col("s") < i["e"]))
+        placed = placed.join(spans, "doc_id", "left").withColumn("island", F.try_element_at(inside, F.lit(1))).drop("around")
+        past, yes = order.rowsBetween(Window.unboundedPreceding, -1), lambda c: F.coalesce(c, F.lit(False))
+        nearest = F.last(F.when(yes(F.col("p.clause_subject")), F.struct("w", F.col("island.n").alias("n"))), True).over(past)
+        earlier = F.last(F.when(yes(F.col("p.clause_predicate")), F.col("island.n")), True).over(past)
+        first = yes(F.col("p.clause_predicate")) & ~earlier.eqNullSafe(F.col("island.n")) & (F.col("island.kind") == "sentence")
+        one = lambda p: F.size(p["readings"]) == 1
+        subject = [F.when(first & (nearest["n"] == F.col("island.n")) & one(F.col("p")) & one(nearest["w"]["p"]), nearest["w"]).alias("subject")]
+    leads = placed.select("doc_id", "s", F.col("w").alias("w0"), *subject, F.lag("w").over(order)["p"].alias("before"), *[F.lead("w", i).over(order).alias(f"l{i}") for i in range(1, REACH + 1)])
     whole, made = F.col("w0.linked"), []
     for i in range(1, REACH + 1):
         made.append(F.when(whole, F.col(f"l{i}")).alias(f"w{i}"))
         whole = whole & F.coalesce(F.col(f"l{i}.linked"), F.lit(False))
-    return leads.select("doc_id", "w0", "before", *made)
+    return leads.select("doc_id", "w0", "before", *(["subject"] if clauses else []), *made)
 
 
 def readings_of_fields(surface: Column, readings: Column) -> Column:
@@ -246,12 +263,15 @@ KINDS = (
 def conflicts(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None) -> DataFrame:
     """(doc_id, kind, s, e, replacement): each conflict once, with the only form of the dictionary that would mend it, if there is
     just one of the same lemma."""
-    rows = chains(documents, lexicon, verbs)
+    rows = chains(documents, lexicon, verbs, clauses=True)
     found = []
-    for r in relations(verbs is not None):
+    none = F.lit(None).cast("array<string>")
+    apart = Relation("subject_predicate_agreement_basic", predicate_conflict(F.col("subject.p"), F.col("w0.p")), 0, 0, none, F.col("subject.p.numbers"), F.col("subject.p.genders"))
+    for r in [*relations(verbs is not None), apart]:
         word = F.col(f"w{r.target}")
+        start = F.col("subject.s" if r is apart else "w0.s")
         fields = F.struct(
-            F.lit(r.kind).alias("kind"), F.col("w0.s").alias("s"), F.col(f"w{r.last}.e").alias("e"), word["s"].alias("ws"), word["e"].alias("we"), word["word"].alias("word"), F.array_max(word["p"]["lemmas"]).alias("lemma"), (F.size(word["p"]["lemmas"]) == 1).alias("one"),
+            F.lit(r.kind).alias("kind"), start.alias("s"), F.col(f"w{r.last}.e").alias("e"), word["s"].alias("ws"), word["e"].alias("we"), word["word"].alias("word"), F.array_max(word["p"]["lemmas"]).alias("lemma"), (F.size(word["p"]["lemmas"]) == 1).alias("one"),
             r.cases.alias("cases"), r.numbers.alias("numbers"), r.genders.alias("genders"),
         )
         found.append(F.when(r.when, fields))

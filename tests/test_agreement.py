@@ -63,3 +63,18 @@ def test_conflicts(spark):
         assert issue in got.get(text, set()), (text, got.get(text))
     for text in right:
         assert text not in got, (text, got[text])
+
+
+def test_subject_and_predicate_apart(spark):
+    wrong = {
+        "Соседка вчера ушёл": ("subject_predicate_agreement_basic", "Соседка вчера ушёл", "Соседка вчера ушла"),
+        "Соседи, как всегда рано утром и очень тихо, ушла.": ("subject_predicate_agreement_basic", "Соседи, как всегда рано утром и очень тихо, ушла", "Соседи, как всегда рано утром и очень тихо, ушли"),
+        "Дома. Соседка (к дому) ушла. Соседка вчера ушли": ("subject_predicate_agreement_basic", "Соседка вчера ушли", "Соседка вчера ушла"),
+    }
+    # Another sentence, a zone between or around, an agreeing first predicate, a nearer subject, a word with two readings.
+    right = ["Соседка. Вчера ушёл.", "Соседка (и дом) вчера ушёл", "Вот (соседка вчера ушёл)", "Соседка вчера ушла, потом ушёл", "Соседи и соседка вчера ушла", "Дом вчера ушла"]
+    got = run(spark, [*wrong, *right])
+    for text, issue in wrong.items():
+        assert issue in got.get(text, set()), (text, got.get(text))
+    for text in right:
+        assert text not in got, (text, got[text])
