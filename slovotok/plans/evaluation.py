@@ -102,6 +102,23 @@ def evaluation_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.by_label(evaluation.diagnosed(_records(spark, sf_dir), lambda d: check(d, chosen=_REPEATED)))
 
 
+def _by_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of the whole strict rule set on inputs and targets."""
+    return evaluation.diagnosed(_records(spark, sf_dir), lambda d: check(d, chosen=RuleFilter("strict")))
+
+
+@query("evaluation_report_strict")
+def evaluation_report_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and proxies of all rules of the strict profile on all correction records."""
+    return evaluation.report(_by_all_rules(spark, sf_dir))
+
+
+@query("evaluation_by_label_strict")
+def evaluation_by_label_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of all rules of the strict profile by dataset label."""
+    return evaluation.by_label(_by_all_rules(spark, sf_dir))
+
+
 @query("evaluation_top_rules")
 def evaluation_top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent rules on inputs and on targets under the strict profile."""
