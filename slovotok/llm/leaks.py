@@ -8,9 +8,9 @@ their first letters and then all letters are compared. Many cursors run through
 vector operation. A second way to the alignment needs no long runs: CHAIN whole words of an item in its order, not far from
 each other in either text, so passages in which every second or third word was changed are aligned too. A document that
 covers enough letters of an item, or holds such a chain, is then aligned with it word by word: it leaks if one passage, the
-best local alignment of words, spans in order at least a third of the item's words and ten.
+best local alignment of words (Smith-Waterman), has at least a third of the item's words and ten, changed single words included.
 
-Every character of every document is searched; the items are a bounded query set (MOST_ITEM_CHARS is checked).
+Every character of every document is searched; the items are a stated query set, searched in blocks of BLOCK_CHARS characters.
 
 Defined results: null and empty texts leak nothing; items shorter than ten words cannot leak; repeated documents and items
 each give rows; an item's instruction line (up to a colon, before any end of sentence) does not count.
@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,29 +32,35 @@ from pyspark.sql import functions as F
 LENGTH, BLOCK, STRIDE, PREFIX = 14, 8, 4, 4
 #: Bits of the block hash.
 BITS = 20
-#: Letters of an item that the strings found in a document must cover before it is aligned.
+#: Letters of an item that the strings found in a document must cover before it is aligned, where no chain of words is found.
 COVER = 34
-#: Equal words in order that make a chain, of which each may be REACH words from the next; earlier hits looked at for a link.
-CHAIN, REACH, LOOK = 3, 8, 6
+#: Equal words in order that make a chain, of which each may be REACH words from the next.
+CHAIN, REACH = 3, 8
 #: Of NEAR words around a chain so many must be like words of the item at that place, give or take DRIFT words.
 NEAR, LIKE, DRIFT = 12, 5, 4
 #: A word in more items than this, and than this share of them, starts no chain.
 COMMON, COMMON_SHARE = 30, 0.1
-#: A quarter of the longest gap between two parts of one passage, in words.
-GAP = 3
-#: A third of the item's words and ten; a word at either end of a passage may be changed and is then not seen.
-SHARE, WORDS, EDGE = 1 / 3, 10, 1
-#: What a word that is not alike costs, against 1 that an equal or alike word gains.
+#: A leak has so many of the item's words, and this share of them.
+SHARE, WORDS = 1 / 3, 10
+#: What a changed, added or left out word costs, against 1 that an equal word gains.
 COST = 0.7
+#: Words are alike if they share this part of their pairs of letters (Dice), found in sets of HASHED bits.
+ALIKE, ALIKE_JOINED, HASHED = 0.5, 0.8, 128
+#: What an alike word gains: next to nothing, as many words of one language are alike.
+ALIKE_GAIN = 0.1
+#: Words of document parts that are aligned together.
+TOGETHER = 1 << 15
 #: Letters in a slice, letters per cursor.
 SLICE, LANE = 1 << 20, 256
-#: The items are broadcast only up to this size.
-MOST_ITEM_CHARS = 20_000_000
+#: Characters of the items of one block: a larger query set is searched block by block.
+BLOCK_CHARS = 20_000_000
 
 _LATIN, _GREEK, _ALIKE = "abcehkmoptxy", "αβεηκμορτχυν", "авсенкмортху"
 _ALIKE_OF = {**dict(zip("aceopxykmth", "асеорхукмтн", strict=True)), "b": "в"}
 _GREEK_OF = dict(zip("αβεηικμνορτυχ", "авенікмvортух", strict=True))
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&[a-z]{2,8};|&#\d{2,5};|\[[^\[\]\n]{0,12}\]|\]\([^()\s]{0,200}\)")
+_ATTRIBUTE = r"""\s++[A-Za-z_:][\w:.-]*+(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=`]++))?+"""
+#: Tags with their attributes, entities, notes of one word and number in brackets, targets of links; of any length.
+_TAG = re.compile(rf"</?+[A-Za-z][A-Za-z0-9:-]*+(?:{_ATTRIBUTE})*+\s*+/?+>|&[A-Za-z][A-Za-z0-9]*+;|&#x?+[0-9A-Fa-f]++;|\[\w*+[.,]?+\s?+\d*+\](?!\()|\]\([^()\s]*+\)")
 
 
 def _fold(c: str) -> str:
@@ -89,22 +96,33 @@ def without_markup(text: str) -> str:
 
 def without_instruction(text: str) -> str:
     """The item without a leading instruction line that ends in a colon."""
-    m = re.match(r"\s*[^:.!?…\n]{1,200}:\s+", text)
+    m = re.match(r"\s*+[^:.!?…\n]++:\s++", text)
     return text[m.end() :] if m else text
 
 
 _INVISIBLE = dict.fromkeys(map(ord, "\xad​‌‍‎‏⁠﻿"), "")
 
 
+_WORD = re.compile(r"[^\W\d_](?:[^\W_]|[\u0300-\u036f])*(?:[-\u2010\u2011\uff0d][^\W_](?:[^\W_]|[\u0300-\u036f])*)*")
+#: Characters of ordinary text, which need no normal form.
+_USUAL = re.compile(r"[\x00-\x7e\u0401\u0410-\u0451\u00ab\u00bb\u2012-\u2026]*+")
+
+
+def _raw_words(text: str) -> list[str]:
+    plain = without_markup(text)
+    if not _USUAL.fullmatch(plain):
+        plain = unicodedata.normalize("NFKD", plain.translate(_INVISIBLE))
+    return _WORD.findall(plain.lower())
+
+
+@lru_cache(maxsize=1 << 17)
+def _canonical(word: str) -> str:
+    return "".join(map(_folded, word))
+
+
 def folded_words(text: str) -> list[str]:
     """Words (with their hyphens) in canonical letters."""
-    flat = unicodedata.normalize("NFKD", without_markup(text).translate(_INVISIBLE)).lower()
-    out = []
-    for w in re.findall(r"[^\W\d_](?:[^\W_]|[̀-ͯ])*(?:[-‐‑－][^\W_](?:[^\W_]|[̀-ͯ])*)*", flat):
-        f = "".join(map(_folded, w))
-        if f:
-            out.append(f)
-    return out
+    return [f for w in _raw_words(text) if (f := _canonical(w))]
 
 
 _memo: dict[str, str] = {}
@@ -151,6 +169,7 @@ class Search:
             self.prefix = self.pack(self.letters)[self.at]
         self.bare = np.array([unicodedata.category(chr(c)) in ("Mn", "Me", "Cf") for c in range(0x10000)] + [False])
         self.mix = np.random.default_rng(7).integers(1, 1 << 63, (64, 256), np.uint64)
+        self.signed: dict[int, Signed] = {}
         self._index_words([without_markup(t) for t in texts])
 
     def _index_words(self, texts: list[str]) -> None:
@@ -222,12 +241,19 @@ class Search:
         item = self.place_item[place]
         order = np.argsort(item.astype(np.uint16) if len(self.ids) < 1 << 16 else item, kind="stable")
         word, item, place = word[order].astype(np.int32), item[order], self.place_word[place[order]]
-        links = []
-        for lag in range(1, LOOK + 1):
-            dw, dp = word[lag:] - word[:-lag], place[lag:] - place[:-lag]
-            near = np.flatnonzero((dw > 0) & (dw <= REACH) & (dp > 0) & (dp <= REACH))
-            near = near[(item[near] == item[near + lag]) & (text[word[near]] == text[word[near + lag]])]
+        links, lag, reach = [], 0, word.astype(np.int64) + (item.astype(np.int64) * (len(hashes) + 2 * REACH))
+        while lag + 1 < len(word):
+            lag += 1
+            # Hits are in the order of items and words, so beyond the first lag without hits in reach there are none.
+            close = np.flatnonzero(reach[lag:] - reach[:-lag] <= REACH)
+            if not len(close):
+                break
+            dw, dp = word[close + lag] - word[close], place[close + lag] - place[close]
+            near = close[(dw > 0) & (dp > 0) & (dp <= REACH)]
+            near = near[text[word[near]] == text[word[near + lag]]]
             links.append((near, near + lag))
+        if not links:
+            return []
         source, target = np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
         # Where chains of one more link end, until they are long enough.
         ends = np.unique(target)
@@ -244,7 +270,7 @@ class Search:
             if upto.get((t, i), -1) >= w:
                 continue
             # The part reaches as far as any passage with this chain, and ends with the text.
-            far = 2 * len(self.words[i]) + 40
+            far = int((1 + 1 / COST) * len(self.words[i])) + 1
             lo, hi = max(0, w - far), min(len(hashes) - 1, w + far)
             while text[lo] != t:
                 lo += 1
@@ -347,99 +373,146 @@ class Search:
             out.append((t, k, plain[t][max(0, lo) : hi]))
         return out
 
-    def leaked(self, part: str, item: int) -> int:
-        """The most words of the item that one passage of a part of a document has in order."""
-        other = self.words[item]
-        return best_passage(folded_words(part), other) if len(other) >= WORDS else 0
-
-
-def best_passage(words: list[str], item: list[str]) -> int:
-    """Words of the item that a passage of the document has in order, counting those in small gaps between equal ones."""
-    have = set(item)
-    hits = [i for i, w in enumerate(words) if w in have]
-    best, at = 0, 0
-    span = 2 * len(item) + 40
-    # Parts of the document where the item's words are frequent; each at most a few times as long as the item.
-    while at < len(hits):
-        to = at
-        while to + 1 < len(hits) and hits[to + 1] - hits[to] <= 2 * GAP + 6:
-            to += 1
-        if to - at + 1 >= 4:
-            lo, hi = max(0, hits[at] - GAP), min(len(words), hits[to] + GAP + 1)
-            for x in range(lo, hi, max(1, span // 2)):
-                best = max(best, _aligned(words[x : min(hi, x + span)], item))
-                if x + span >= hi:
-                    break
-        at = to + 1
-    return best
-
-
-def _alike(a: list[str], b: list[str]) -> bool:
-    x, y = "".join(a), "".join(b)
-    return x == y or SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.75
-
-
-def _aligned(words: list[str], item: list[str]) -> int:
-    """Words of the item from the first to the last of the best local alignment: equal and alike words gain, others cost."""
-    best = best_score = score = 0.0
-    start = last_a = last_b = 0
-    blocks = [m for m in SequenceMatcher(None, words, item, autojunk=False).get_matching_blocks() if m.size]
-    for m in blocks:
-        gap_a, gap_b = m.a - last_a, m.b - last_b
-        if score > 0 and max(gap_a, gap_b) <= 4 * GAP:
-            alike = 0
-            if gap_a and gap_b:
-                x, y = words[last_a : m.a], item[last_b : m.b]
-                alike = gap_b if _alike(x, y) else sum(_alike([p], [q]) for p, q in zip(x, y))
-            score += alike - COST * max(0, max(gap_a, gap_b) - alike)
-        else:
-            score = 0
-        if score <= 0:
-            score, start = 0, m.b
-        score += m.size
-        last_a, last_b = m.a + m.size, m.b + m.size
-        if score > best_score:
-            best_score, best = score, last_b - start
-    if blocks and best:
-        # A changed word just before or after may still be seen.
-        end = blocks[-1].a + blocks[-1].size, blocks[-1].b + blocks[-1].size
-        best += bool(end[0] < len(words) and end[1] < len(item) and _alike([words[end[0]]], [item[end[1]]]))
-    return int(best)
+    def leaked(self, parts: list[tuple[str, int]]) -> list[int]:
+        """Of each (part of a document, item): the most words of the item that one passage of the part has in order."""
+        out, order = [0] * len(parts), []
+        for k, (_, item) in enumerate(parts):
+            if len(self.words[item]) >= WORDS:
+                order.append(k)
+                if item not in self.signed:
+                    self.signed[item] = Signed(self.words[item])
+        words = {k: Signed(folded_words(parts[k][0])) for k in order}
+        # Parts of like length are aligned together.
+        order.sort(key=lambda k: words[k].n)
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and (to + 1 - at) * words[order[to]].n <= TOGETHER:
+                to += 1
+            some = order[at:to]
+            for k, n in zip(some, best_passages([words[k] for k in some], [self.signed[parts[k][1]] for k in some]), strict=True):
+                out[k] = n
+            at = to
+        return out
+
+
+@lru_cache(maxsize=1 << 17)
+def _signature(word: str) -> tuple[int, ...]:
+    """The set of the word's pairs of letters (its ends count as letters) as HASHED bits; single letters have one pair."""
+    bits = [0] * (HASHED // 64)
+    for pair in {f" {word} "[i : i + 2] for i in range(len(word) + 1)}:
+        h = zlib.crc32(pair.encode()) % HASHED
+        bits[h // 64] |= 1 << (h % 64)
+    return tuple(bits)
+
+
+class Signed:
+    """Words as sets of bits: each word, and each with the next one (as one word)."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.n = len(words)
+        self.single = np.array([_signature(w) for w in words], np.uint64).reshape(self.n, -1)
+        # Two words written as one lack the four bits at the cut but for the pair across it.
+        self.double = np.array([_signature(a + b) for a, b in zip(words, words[1:])], np.uint64).reshape(max(0, self.n - 1), HASHED // 64)
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How alike each of the words of a is to each of b: twice the shared pairs over all pairs."""
+    both = np.bitwise_count(a[:, None, 0] & b[None, :, 0])
+    for k in range(1, a.shape[1]):
+        both += np.bitwise_count(a[:, None, k] & b[None, :, k])
+    size = [np.bitwise_count(x).sum(axis=1, dtype=np.float32) for x in (a, b)]
+    return 2 * both / np.maximum(size[0][:, None] + size[1][None, :], 1)
+
+
+def best_passages(words: list[Signed], items: list[Signed]) -> list[int]:
+    """Of each pair: words of the item in the best local alignment (Smith-Waterman) with the document's words, changed ones included.
+
+    Equal words, alike ones a little, and two words written as one or one as two, gain; changed, added and left out ones cost. A row of all
+    tables is computed at once: a running maximum carries the costs of words left out along it. Beyond a pair's words nothing gains."""
+    size, n, m = len(words), max(w.n for w in words), max(i.n for i in items)
+    one = np.full((n, size, m), -9.0, np.float32)
+    joined, cut = np.zeros((n, size, m), bool), np.zeros((n, size, m), bool)
+    for k, (w, i) in enumerate(zip(words, items, strict=True)):
+        like = _likeness(w.single, i.single)
+        one[: w.n, k, : i.n] = np.where(like >= 1, 1.0, np.where(like >= ALIKE, ALIKE_GAIN, -COST))
+        joined[: w.n, k, 1 : i.n] = _likeness(w.single, i.double) >= ALIKE_JOINED
+        cut[1 : w.n, k, : i.n] = _likeness(w.double, i.single) >= ALIKE_JOINED
+    some_joined, some_cut = joined.any(axis=(1, 2)), cut.any(axis=(1, 2))
+    at = np.arange(m + 1, dtype=np.int32)
+    slope = (COST * at).astype(np.float32)
+    above, above2 = np.zeros((size, m + 1), np.float32), np.full((size, m + 1), -9.0, np.float32)
+    held, held2 = np.zeros((size, m + 1), np.int32), np.zeros((size, m + 1), np.int32)
+    best, count, rows = np.zeros(size, np.float32), np.zeros(size, np.int32), np.arange(size)
+    for i in range(n):
+        row, kept = above - np.float32(COST), held.copy()
+        row[:, 0] = 0
+        offers = [(1, above[:, :-1] + one[i], held[:, :-1] + 1)]
+        if some_joined[i]:
+            offers.append((2, np.where(joined[i][:, 1:], above[:, :-2] + 2, -9), held[:, :-2] + 2))
+        if some_cut[i]:
+            offers.append((1, np.where(cut[i], above2[:, :-1] + 1, -9), held2[:, :-1] + 1))
+        for first, score, n_words in offers:
+            better = score > row[:, first:]
+            np.copyto(row[:, first:], score, where=better)
+            np.copyto(kept[:, first:], n_words, where=better)
+        nothing = row <= 0
+        row[nothing], kept[nothing] = 0, 0
+        lifted = row + slope
+        top = np.maximum.accumulate(lifted, axis=1)
+        source = np.maximum.accumulate(np.where(lifted >= top, at, 0), axis=1)
+        row, kept = top - slope, np.take_along_axis(kept, source, axis=1)
+        above2, held2, above, held = above, held, row, kept
+        k = row.argmax(axis=1)
+        here, words_here = row[rows, k], kept[rows, k]
+        more = (here > best) | (here == best) & (words_here > count)
+        best[more], count[more] = here[more], words_here[more]
+    return count.tolist()
 
 
 def enough(n: int, item_words: int) -> bool:
     """Whether n words in a passage make a leak of an item."""
-    return n + EDGE >= max(WORDS, SHARE * item_words)
+    return n >= max(WORDS, SHARE * item_words)
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, keep_all: bool = False) -> DataFrame:
-    """(doc_id, item_id, n_words, item_words) of each leak; with keep_all of each aligned candidate."""
+def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of about BLOCK_CHARS characters, each read by itself."""
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size > MOST_ITEM_CHARS:
-        raise ValueError(f"{size} characters of items: split the query set into blocks of at most {MOST_ITEM_CHARS}")
-    stated = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").orderBy("item_id", "text").collect()]
-    shared = documents.sparkSession.sparkContext.broadcast(stated)
-    kinds = documents.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    n = -(-size // BLOCK_CHARS) or 1
+    of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for k in range(n):
+        yield [(r["item_id"], r["text"]) for r in items.select("item_id", "text").filter(of == k).orderBy("item_id", "text").collect()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = Search(shared.value)
-        for batch in batches:
-            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            out, at = [], 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (held == 0 or held + len(texts[to]) <= SLICE):
-                    held += len(texts[to])
-                    to += 1
-                best: dict[tuple[int, int], int] = {}
-                for text, item, part in search.candidates(texts[at:to]):
-                    best[text, item] = max(best.get((text, item), 0), search.leaked(part, item))
-                for (text, item), n in best.items():
-                    of = len(search.words[item])
-                    if keep_all or enough(n, of) and of >= WORDS:
-                        out.append((ids[at + text], search.ids[item], n, of))
-                at = to
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "item_words"])
 
+def find_leaks(documents: DataFrame, items: DataFrame, keep_all: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_words, item_words) of each leak; with keep_all of each aligned candidate. The tables of the search are
+    built once for each block of items, broadcast, and kept by the workers."""
+    sc = documents.sparkSession.sparkContext
+    kinds = documents.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     rows = documents.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text")
-    return rows.mapInPandas(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, n_words int, item_words int")
+
+    def searched(shared) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            search = shared.value
+            for batch in batches:
+                ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+                out, at = [], 0
+                while at < len(texts):
+                    to, held = at, 0
+                    while to < len(texts) and (held == 0 or held + len(texts[to]) <= SLICE):
+                        held += len(texts[to])
+                        to += 1
+                    best: dict[tuple[int, int], int] = {}
+                    found = search.candidates(texts[at:to])
+                    for (text, item, _), n in zip(found, search.leaked([(part, item) for _, item, part in found]), strict=True):
+                        best[text, item] = max(best.get((text, item), 0), n)
+                    for (text, item), n in best.items():
+                        of = len(search.words[item])
+                        if keep_all or enough(n, of):
+                            out.append((ids[at + text], search.ids[item], n, of))
+                    at = to
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "item_words"])
+
+        return rows.mapInPandas(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, n_words int, item_words int")
+
+    return reduce(DataFrame.unionAll, [searched(sc.broadcast(Search(block))) for block in _blocks(items)])

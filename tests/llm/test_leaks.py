@@ -109,3 +109,54 @@ def test_a_changed_third_of_the_words_still_leaks(spark):
     item = "Соня мыла пол, кот ел суп, дед пил чай, пёс спал, мать шила, а сын пел о море и небе"
     part = "кот ел кашу, дед пил квас, пёс спал, мать пела, а сын"
     assert run(spark, [(1, f"Было утро. {part}. Стало тихо.")], [(7, item)]) == [(1, 7)]
+
+
+def test_nine_words_are_no_leak_and_ten_are():
+    assert not leaks.enough(9, 26) and not leaks.enough(9, 20) and leaks.enough(10, 30) and not leaks.enough(10, 31)
+
+
+def test_mark_up_of_any_length_is_seen_through():
+    tag = '<a href="' + "x" * 500 + '" class=\'y\' data-z>'
+    assert leaks.without_markup(f"{tag}слово</a> [12] раз [ссылка](http://{'a' * 300}) &thetasym; a < b и c > d [в скобках остаётся]").split() == ["слово", "раз", "[ссылка", "a", "<", "b", "и", "c", ">", "d", "[в", "скобках", "остаётся]"]
+    assert leaks.without_instruction("Расставьте " + "очень " * 90 + "нужные знаки: Вот текст.") == "Вот текст."
+
+
+def misspelt(rng, word):
+    if len(word) < 3:
+        return word
+    k = rng.randrange(len(word) - 1)
+    return rng.choice((word[:k] + word[k + 1 :], word[:k] + rng.choice("авекмнорстух") + word[k + 1 :], word[:k] + word[k + 1] + word[k] + word[k + 2 :]))
+
+
+def test_recall_of_misspelt_passages():
+    """The whole operator against the definition: passages of a third of the item and three words, in which words are misspelt."""
+    rng = random.Random(31)
+    items = [(i, text(rng, 8)) for i in range(150)]
+    search = leaks.Search(items)
+    for share, least in ((0.1, 0.98), (0.3, 0.97), (0.5, 0.93)):
+        docs = []
+        for _, t in items:
+            words = t.split()
+            n, a = len(words) // 3 + 3, rng.randrange(len(words) * 2 // 3 - 3)
+            docs.append(text(rng, 6) + " " + " ".join(misspelt(rng, w) if rng.random() < share else w for w in words[a : a + n]) + " " + text(rng, 6))
+        found = search.candidates(docs)
+        counts = search.leaked([(part, i) for _, i, part in found])
+        got = {t for (t, i, _), n in zip(found, counts, strict=True) if t == i and leaks.enough(n, len(search.words[i]))}
+        assert len(got) >= least * len(items), (share, len(got))
+
+
+def test_best_passage_is_found_beside_a_longer_fragment_out_of_order():
+    item = [f"{chr(1072 + i)}{chr(1072 + i // 2)}слово{chr(1090 - i)}" for i in range(28)]
+    signed = leaks.Signed(item)
+    doc = leaks.Signed([*item[20:27], *item[0:6], "иное", *item[7:14]])
+    assert leaks.best_passages([doc], [signed]) == [14]
+    joined = leaks.Signed([item[0] + item[1], *item[2:8], item[8][:4], item[8][4:], *item[9:12]])
+    assert leaks.best_passages([joined], [signed]) == [12]
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(17)
+    items = [(i, text(rng, 6)) for i in range(12)]
+    docs = [(i, text(rng, 5) + " " + t) for i, t in items]
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 900)
+    assert run(spark, docs, items) == [(i, i) for i, _ in items]
