@@ -42,12 +42,10 @@ NEAR, LIKE, DRIFT = 12, 5, 4
 COMMON, COMMON_SHARE = 30, 0.1
 #: A leak has so many of the item's words, and this share of them.
 SHARE, WORDS = 1 / 3, 10
-#: What a changed, added or left out word costs, against 1 that an equal word gains.
-COST = 0.7
-#: Words are alike if they share this part of their pairs of letters (Dice), found in sets of HASHED bits.
-ALIKE, ALIKE_JOINED, HASHED = 0.5, 0.8, 128
-#: What an alike word gains: next to nothing, as many words of one language are alike.
-ALIKE_GAIN = 0.1
+#: What an equal word gains, what an alike one does (next to nothing, as many words of a language are alike), and what a changed,
+#: added or left out one costs. Words are alike if they share half of their pairs of letters, found in sets of HASHED bits; two
+#: words are written as one if three quarters are shared.
+EQUAL, ALIKE, COST, HASHED = np.int16(10), np.int16(1), np.int16(7), 128
 #: Words of document parts that are aligned together.
 TOGETHER = 1 << 15
 #: Letters in a slice, letters per cursor.
@@ -270,7 +268,7 @@ class Search:
             if upto.get((t, i), -1) >= w:
                 continue
             # The part reaches as far as any passage with this chain, and ends with the text.
-            far = int((1 + 1 / COST) * len(self.words[i])) + 1
+            far = int((1 + EQUAL / COST) * len(self.words[i])) + 1
             lo, hi = max(0, w - far), min(len(hashes) - 1, w + far)
             while text[lo] != t:
                 lo += 1
@@ -407,64 +405,72 @@ def _signature(word: str) -> tuple[int, ...]:
 
 
 class Signed:
-    """Words as sets of bits: each word, and each with the next one (as one word)."""
+    """Words as sets of bits: each word, and each with the next one (as one word); and how many bits each has."""
 
     def __init__(self, words: list[str]) -> None:
         self.n = len(words)
         self.single = np.array([_signature(w) for w in words], np.uint64).reshape(self.n, -1)
-        # Two words written as one lack the four bits at the cut but for the pair across it.
-        self.double = np.array([_signature(a + b) for a, b in zip(words, words[1:])], np.uint64).reshape(max(0, self.n - 1), HASHED // 64)
+        # But for three pairs at the cut these are the pairs of both words written as one.
+        self.double = self.single[:-1] | self.single[1:]
+        self.sizes = [np.bitwise_count(x).sum(axis=1, dtype=np.int16) for x in (self.single, self.double)]
 
 
-def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How alike each of the words of a is to each of b: twice the shared pairs over all pairs."""
-    both = np.bitwise_count(a[:, None, 0] & b[None, :, 0])
+def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = np.bitwise_count(a[:, None, 0] & b[None, :, 0]).astype(np.int16)
     for k in range(1, a.shape[1]):
         both += np.bitwise_count(a[:, None, k] & b[None, :, k])
-    size = [np.bitwise_count(x).sum(axis=1, dtype=np.float32) for x in (a, b)]
-    return 2 * both / np.maximum(size[0][:, None] + size[1][None, :], 1)
+    return both
+
+
+def _compared(words: Signed, item: Signed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each word of the document gains with each of the item; which is two of the item's as one; which are, with the word before, one."""
+    both = _shared_bits(words.single, np.concatenate([item.single, item.double]))
+    total = words.sizes[0][:, None] + np.concatenate(item.sizes)[None, :]
+    gains = np.where(2 * both[:, : item.n] == total[:, : item.n], EQUAL, np.where(4 * both[:, : item.n] >= total[:, : item.n], ALIKE, -COST)).astype(np.int16)
+    other = gains < EQUAL
+    # A word that is equal by itself is not one with its neighbour.
+    cut = (8 * _shared_bits(words.double, item.single) >= 3 * (words.sizes[1][:, None] + item.sizes[0][None, :])) & other[:-1] & other[1:]
+    return gains, (8 * both[:, item.n :] >= 3 * total[:, item.n :]) & other[:, :-1] & other[:, 1:], cut
 
 
 def best_passages(words: list[Signed], items: list[Signed]) -> list[int]:
     """Of each pair: words of the item in the best local alignment (Smith-Waterman) with the document's words, changed ones included.
 
-    Equal words, alike ones a little, and two words written as one or one as two, gain; changed, added and left out ones cost. A row of all
-    tables is computed at once: a running maximum carries the costs of words left out along it. Beyond a pair's words nothing gains."""
+    Equal words, alike ones a little, and two words written as one or one as two, gain; changed, added and left out ones cost. A row of
+    all tables is computed at once: a running maximum carries the costs of words left out along it. Beyond a pair's words nothing gains."""
     size, n, m = len(words), max(w.n for w in words), max(i.n for i in items)
-    one = np.full((n, size, m), -9.0, np.float32)
+    least = np.int16(-1000)
+    one = np.full((n, size, m), least, np.int16)
     joined, cut = np.zeros((n, size, m), bool), np.zeros((n, size, m), bool)
     for k, (w, i) in enumerate(zip(words, items, strict=True)):
-        like = _likeness(w.single, i.single)
-        one[: w.n, k, : i.n] = np.where(like >= 1, 1.0, np.where(like >= ALIKE, ALIKE_GAIN, -COST))
-        joined[: w.n, k, 1 : i.n] = _likeness(w.single, i.double) >= ALIKE_JOINED
-        cut[1 : w.n, k, : i.n] = _likeness(w.double, i.single) >= ALIKE_JOINED
-    some_joined, some_cut = joined.any(axis=(1, 2)), cut.any(axis=(1, 2))
-    at = np.arange(m + 1, dtype=np.int32)
-    slope = (COST * at).astype(np.float32)
-    above, above2 = np.zeros((size, m + 1), np.float32), np.full((size, m + 1), -9.0, np.float32)
-    held, held2 = np.zeros((size, m + 1), np.int32), np.zeros((size, m + 1), np.int32)
-    best, count, rows = np.zeros(size, np.float32), np.zeros(size, np.int32), np.arange(size)
+        one[: w.n, k, : i.n], joined[: w.n, k, 1 : i.n], cut[1 : w.n, k, : i.n] = _compared(w, i)
+    some_joined, some_cut = joined.reshape(n, -1).any(axis=1), cut.reshape(n, -1).any(axis=1)
+    at = np.arange(m + 1, dtype=np.int16)
+    slope = COST * at
+    above, above2 = np.zeros((size, m + 1), np.int16), np.full((size, m + 1), least, np.int16)
+    held, held2 = np.zeros((size, m + 1), np.int16), np.zeros((size, m + 1), np.int16)
+    best, count, rows = np.zeros(size, np.int16), np.zeros(size, np.int16), np.arange(size)
     for i in range(n):
-        row, kept = above - np.float32(COST), held.copy()
-        row[:, 0] = 0
-        offers = [(1, above[:, :-1] + one[i], held[:, :-1] + 1)]
+        row, kept = above - COST, held.copy()
+        offers = [(1, above[:, :-1] + one[i], held[:, :-1])]
         if some_joined[i]:
-            offers.append((2, np.where(joined[i][:, 1:], above[:, :-2] + 2, -9), held[:, :-2] + 2))
+            offers.append((2, np.where(joined[i][:, 1:], above[:, :-2] + np.int16(2 * EQUAL), least), held[:, :-2] + np.int16(1)))
         if some_cut[i]:
-            offers.append((1, np.where(cut[i], above2[:, :-1] + 1, -9), held2[:, :-1] + 1))
+            offers.append((1, np.where(cut[i], above2[:, :-1] + EQUAL, least), held2[:, :-1]))
         for first, score, n_words in offers:
             better = score > row[:, first:]
             np.copyto(row[:, first:], score, where=better)
-            np.copyto(kept[:, first:], n_words, where=better)
-        nothing = row <= 0
-        row[nothing], kept[nothing] = 0, 0
-        lifted = row + slope
-        top = np.maximum.accumulate(lifted, axis=1)
-        source = np.maximum.accumulate(np.where(lifted >= top, at, 0), axis=1)
-        row, kept = top - slope, np.take_along_axis(kept, source, axis=1)
-        above2, held2, above, held = above, held, row, kept
-        k = row.argmax(axis=1)
-        here, words_here = row[rows, k], kept[rows, k]
+            np.copyto(kept[:, first:], n_words + np.int16(1), where=better)
+        some = row > 0
+        row *= some
+        kept *= some
+        row += slope
+        top = np.maximum.accumulate(row, axis=1)
+        source = np.maximum.accumulate(np.where(row == top, at, np.int16(0)), axis=1)
+        top -= slope
+        above2, held2, above, held = above, held, top, kept[rows[:, None], source]
+        k = top.argmax(axis=1)
+        here, words_here = top[rows, k], held[rows, k]
         more = (here > best) | (here == best) & (words_here > count)
         best[more], count[more] = here[more], words_here[more]
     return count.tolist()
