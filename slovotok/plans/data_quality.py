@@ -103,14 +103,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p2_tables")
 def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat tables that shared inlining makes of the JSON fields, with their sizes and columns."""
-    made = inlining.flat_tables(table(spark, sf_dir, "gec_dataset_regressions"), "rec_no", ["edits", "metadata", "expectations"])
-    out = None
-    for name, df in made.items():
-        one = df.agg(F.count("*").alias("n_rows"), F.countDistinct("rec_no").alias("n_records")).select(
-            F.lit(name).alias("table_name"), "n_rows", "n_records", F.lit(",".join(df.columns)).alias("columns")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    return inlining.table_sizes(table(spark, sf_dir, "gec_dataset_regressions"), "rec_no", ["edits", "metadata", "expectations"])
 
 
 _UNPACK = r"""
