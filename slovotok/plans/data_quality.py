@@ -124,8 +124,5 @@ select tbl, row_no, i::int as pos, r[i] as val from vals, lateral (select unnest
 @query("p4_found", _UNPACK)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of every packed field with its position."""
-    out = None
-    for name, field in (("opencorpora", "grammemes"), ("project", "features"), ("verb_government", "cases")):
-        rows = unpack.unpack(table(spark, sf_dir, name), "row_no", field).select(F.lit(name).alias("tbl"), "row_no", "pos", "val")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    fields = (("opencorpora", "grammemes"), ("project", "features"), ("verb_government", "cases"))
+    return unpack.unpack_all([(name, table(spark, sf_dir, name), "row_no", field) for name, field in fields]).withColumnRenamed("key", "row_no")

@@ -1,7 +1,7 @@
 import random
 import re
 
-from slovotok.operators.unpack import unpack
+from slovotok.operators.unpack import EMPTY, QUOTED, WORD, resolve, unpack, unpack_all
 
 
 def naive(text):
@@ -33,7 +33,7 @@ def naive(text):
 def test_against_naive(spark):
     rng = random.Random(7)
     parts = ["inan", "case=nom", 'note="a; ""b"" | c"', "V-ie", "|", ";", ", ", " и ", " или ", " / ", "&", '"x|y"', '"', "  ", '""', "сущ."]
-    texts = [None, "", "|", "и", '"', 'a"b', *("".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(400)), "a|" * 20_000]
+    texts = [None, "", "|", "и", '"', 'a"b', *("".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(400)), "a|" * 20_000, '"x|y"; b|' * 10_000]
     df = spark.createDataFrame([(i, t, "p", "v") for i, t in enumerate(texts)], "row_no int, f string, pos string, val string")
     got = {}
     for r in unpack(df, "row_no", "f").collect():
@@ -46,3 +46,21 @@ def test_against_naive(spark):
 
 def test_empty(spark):
     assert unpack(spark.createDataFrame([], "row_no int, f string"), "row_no", "f").count() == 0
+
+
+def values(skel):
+    return [(a, b) for a, b, _ in resolve(skel)]
+
+
+def test_rules_are_resolved_from_the_skeleton():
+    assert values("a|a, a-a") == [(1, 1), (2, 2), (3, 3)] and values(f"a {WORD} a") == [(1, 1), (3, 3)]
+    assert values("a - a") == [(1, 1), (3, 3)] and values("• a; – ; a.") == [(2, 2), (4, 4)]
+    assert values("a=a|a = a; a= a; a =a") == [(1, 1), (2, 4), (5, 6), (7, 8)] and values("a = ; a") == [(1, 2), (3, 3)]
+    assert values(f"{EMPTY}; a{EMPTY}") == [(2, 2)] and resolve(f"{QUOTED}, a") == [(1, 1, True), (2, 2, False)]
+
+
+def test_joined_values_and_several_tables(spark):
+    a = spark.createDataFrame([(1, "case = nom;number= sg"), (2, "x - y")], "id int, f string")
+    b = spark.createDataFrame([(1, None), (3, "«a» | b"), (4, "\x01|\x02z")], "id int, g string")
+    got = sorted(map(tuple, unpack_all([("a", a, "id", "f"), ("b", b, "id", "g")]).collect()))
+    assert got == [("a", 1, 1, "case=nom"), ("a", 1, 2, "number=sg"), ("a", 2, 1, "x"), ("a", 2, 2, "y"), ("b", 3, 1, "«a»"), ("b", 3, 2, "b"), ("b", 4, 1, "\x01"), ("b", 4, 2, "\x02z")]
