@@ -25,9 +25,10 @@ MOST_ROUNDS = 60
 
 
 def document_number(text: Column) -> Column:
-    """The number that a document id spells: spaces of any kind and a zero fraction are ignored; else null."""
-    digits = F.regexp_replace(text, r"[\s\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]+", "")
-    return F.when(digits.rlike(r"^\+?[0-9]{1,18}(?:\.0*)?$"), F.regexp_extract(digits, r"^\+?([0-9]+)", 1).cast("bigint"))
+    """The number that a document id spells: spaces of any kind, leading zeros and a zero fraction are ignored; null if it is none
+    or beyond 64 bits."""
+    digits = F.regexp_replace(text, r"[\s\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]++", "")
+    return F.regexp_extract(digits, r"^([+-]?[0-9]++)(?:\.0*+)?$", 1).try_cast("bigint")
 
 
 def ties(documents: DataFrame) -> DataFrame:
@@ -56,17 +57,19 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def unsettled(edges: DataFrame) -> bool:
+    """Whether the edges are not yet stars: a node that points to two others, or points on from where another points to it."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    by = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not by.filter((F.col("out") > 1) | (F.col("out") > 0) & (F.col("into") > 0)).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, group_id): the smallest id of each node's component, for all nodes that occur in an edge u > v."""
-    state = None
-    edges = checkpoint(edges)
     for _ in range(MOST_ROUNDS):
         edges = checkpoint(small_star(large_star(edges)))
-        # The edges are stars when no target is itself moved; count and sum tell whether a round changed anything.
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if not unsettled(edges):
             break
-        state = now
     else:
         raise RuntimeError("the components did not settle")
     targets = edges.select(F.col("v").alias("id")).distinct()
@@ -74,14 +77,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def latest_sentences(sentences: DataFrame) -> DataFrame:
-    """(sentence_id, document): each sentence once, in its latest load."""
+    """(sentence_id, document, sentence_index): each sentence once, in its latest load."""
     number = document_number(F.col("document_id"))
-    newest = F.max_by(number, F.struct(F.coalesce(F.col("loaded_at").cast("string"), F.lit("")), F.coalesce(number, F.lit(-1))))
-    return sentences.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("sentence_id")).agg(newest.alias("document"))
+    newest = F.max_by(F.struct(number.alias("document"), "sentence_index"), F.struct(F.coalesce(F.col("loaded_at").cast("string"), F.lit("")), F.coalesce(number, F.lit(-(1 << 63)))))
+    return sentences.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("sentence_id")).agg(newest.alias("x")).select("sentence_id", "x.document", "x.sentence_index")
 
 
 def grouped_sentences(sentences: DataFrame, documents: DataFrame) -> DataFrame:
-    """(sentence_id, group_id) of the sentences whose document is tied to another."""
+    """(sentence_id, group_id) of the sentences whose document is tied to another. The join is the last step, so that AQE may split
+    the partition of a document that holds much of all sentences."""
     groups = components(ties(documents))
     rows = latest_sentences(sentences)
     return rows.join(groups, rows["document"] == groups["id"]).select("sentence_id", "group_id")
@@ -92,7 +96,7 @@ def split_of(group: Column, shares: list[tuple[str, float]]) -> Column:
     total = sum(max(s, 0.0) for _, s in shares)
     if not total:
         raise ValueError("no positive share")
-    at = F.pmod(F.xxhash64(group, F.lit("split")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    at = F.conv(F.substring(F.md5(F.concat(group, F.lit("|split"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     upto, out = 0.0, F
     for name, share in shares[:-1]:
         upto += max(share, 0.0) / total
@@ -103,15 +107,14 @@ def split_of(group: Column, shares: list[tuple[str, float]]) -> Column:
 def split_sentences(sentences: DataFrame, documents: DataFrame, shares: DataFrame) -> DataFrame:
     """(sentence_id, group_id, split_name, position) of every sentence; the position follows the index in its document."""
     named = [(r["split_name"], r["share"] or 0.0) for r in shares.orderBy(F.desc("share"), "split_name").limit(1000).collect()]
-    groups = components(ties(documents)).withColumnRenamed("id", "tied")
-    known = documents.filter(F.col("id").isNotNull()).select(F.col("id").alias("known")).distinct()
-    number = document_number(F.col("document_id"))
-    newest = F.max_by(F.struct(number.alias("document"), "sentence_index"), F.struct(F.coalesce(F.col("loaded_at").cast("string"), F.lit("")), F.coalesce(number, F.lit(-1))))
-    rows = sentences.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("sentence_id")).agg(newest.alias("x")).select("sentence_id", "x.document", "x.sentence_index")
-    rows = rows.join(known, rows["document"] == known["known"], "left").join(groups, F.col("document") == groups["tied"], "left")
-    group = F.coalesce("group_id", "known")
+    # Documents and their groups first, so that the sentences are joined once and nothing after it asks for a partitioning.
+    ids = documents.filter(F.col("id").isNotNull()).select("id").distinct()
+    known = ids.join(components(ties(documents)), "id", "left").select(F.col("id").alias("known"), F.coalesce("group_id", "id").alias("group_id"))
+    rows = latest_sentences(sentences)
+    rows = rows.join(known, rows["document"] == known["known"], "left")
+    group = F.col("group_id")
     key = F.when(group.isNotNull(), F.concat(F.lit("d"), group.cast("string"))).otherwise(F.concat(F.lit("s"), F.col("sentence_id").cast("string")))
-    return rows.select("sentence_id", group.alias("group_id"), F.col("known").alias("document_number"), "sentence_index", split_of(key, named).alias("split_name"))
+    return rows.select("sentence_id", group, F.col("known").alias("document_number"), "sentence_index", split_of(key, named).alias("split_name"))
 
 
 def split_report(rows: DataFrame) -> DataFrame:

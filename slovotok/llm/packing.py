@@ -1,14 +1,14 @@
 """Filling fixed-capacity containers with texts: best-fit decreasing with a segment tree over remaining capacities.
 
-Texts are measured in tokens where they lie, in Arrow batches; only (id, tokens) moves on, written once to the shared
-checkpoint folder. A text longer than a container is cut into full containers and a rest. The pieces of each capacity are
-dealt into shards by a hash of their row, and each shard is packed by itself: pieces in decreasing order go to the open
-container with the least remaining capacity that still holds them, found in a segment tree whose leaves count the open
-containers of each remaining capacity. A shard of SHARD texts leaves at most a few containers badly filled, so the loss
-against one global packing is below a thousandth; no shard grows with the corpus.
-
-Defined results: null texts and texts without tokens are in no container; repeated rows are packed one by one; ties are
-packed in the order of their ids; an unknown or non-positive capacity gives nothing.
+Texts are measured in tokens where they lie, in Arrow batches; only (id, tokens) moves on. Texts are dealt into shards by a hash of
+their id, size and copy number, so the result does not depend on how the table is partitioned. A shard holds so many tokens that
+each capacity fills SHARD_CONTAINERS containers, of which only a few are left badly filled, and at most SHARD_ROWS texts; no shard
+grows with the corpus. Each shard is shuffled once and packed for all capacities: a text longer than a container is cut into full
+containers and a rest; pieces in decreasing order go to the open container with the least remaining capacity that still holds them,
+found in a segment tree whose leaves count the open containers of each remaining capacity.
+
+Defined results: null texts and texts without tokens are in no container; repeated rows are packed one by one, as copies 0, 1, ...;
+ties are packed in the order of their ids; an unknown or non-positive capacity gives nothing.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from slovotok.session import checkpoint
 
-#: Texts in a shard.
-SHARD = 20_000
+#: Containers of the largest capacity that a shard fills, and texts that it holds at most (if they are tiny).
+SHARD_CONTAINERS, SHARD_ROWS = 500, 200_000
+#: Copies of a text that are held as one array.
+COPIES = 10_000
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: How the byte-level tokenizers cut text before merging.
@@ -106,7 +108,7 @@ class OpenContainers:
             i >>= 1
 
     def take(self, remaining: int) -> int:
-        """Takes out the container opened first among those with this remaining capacity."""
+        """Takes out the container that came last to this remaining capacity."""
         held = self.open[remaining]
         container = held.pop()
         if not held:
@@ -134,22 +136,23 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(counts: DataFrame, windows: list[tuple[int, int]], shard: int = SHARD) -> DataFrame:
+def pack(counts: DataFrame, windows: list[tuple[int, int]], containers: int = SHARD_CONTAINERS, most_rows: int = SHARD_ROWS) -> DataFrame:
     """(window_id, container_id, key, piece, start_token, n_tokens) for each (window_id, capacity).
 
     `counts` has (key, n_tokens). Pieces of a text count from 0; start_token is the offset of a piece in its text."""
     windows = [(w, c) for w, c in windows if c and c > 0]
-    kept = checkpoint(counts.filter(F.col("n_tokens") > 0))
-    shards = max(1, -(-kept.count() // shard))
+    kept = checkpoint(counts.filter(F.col("n_tokens") > 0).groupBy("key", "n_tokens").agg(F.count("*").alias("copies")))
     kind = kept.schema["key"].dataType.simpleString()
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    sizes = F.explode(F.array(*[F.struct(F.lit(w).cast("bigint").alias("window_id"), F.lit(c).cast("int").alias("capacity")) for w, c in windows]))
-    rows = kept.withColumn("shard", spread).select("key", "n_tokens", "shard", sizes.alias("w")).select("key", "n_tokens", "shard", "w.*")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_tokens", "key"], ascending=[False, True], kind="stable")
-        window, capacity, at = int(group["window_id"].iloc[0]), int(group["capacity"].iloc[0]), int(group["shard"].iloc[0])
-        n = group["n_tokens"].to_numpy()
+    schema = f"window_id bigint, container_id bigint, key {kind}, piece int, start_token bigint, n_tokens int"
+    n_rows, n_tokens = kept.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("copies") * F.col("n_tokens")), F.lit(0))).first()
+    largest = max((c for _, c in windows), default=1)
+    shards = max(1, n_tokens // (containers * largest), -(-n_rows // most_rows))
+    # In two steps, so that the copies of no text are held as one array.
+    tens = kept.select("key", "n_tokens", "copies", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))).alias("first"))
+    rows = tens.select("key", "n_tokens", F.explode(F.sequence("first", F.least(F.col("copies"), F.col("first") + COPIES) - 1)).alias("copy"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "n_tokens", "copy"), F.lit(shards)).cast("int"))
+
+    def packed(key: np.ndarray, n: np.ndarray, shard: int, window: int, capacity: int) -> pd.DataFrame:
         full, rest = n // capacity, n % capacity
         fit = best_fit_decreasing(rest[rest > 0].tolist(), capacity)
         used = max(fit, default=-1) + 1
@@ -162,13 +165,17 @@ def pack(counts: DataFrame, windows: list[tuple[int, int]], shard: int = SHARD)
         length = np.concatenate([np.full(len(rows), capacity), rest[with_rest]]).astype(np.int64)
         return pd.DataFrame(
             {
-                "window_id": np.int64(window), "container_id": (np.int64(at) << 32) + container, "key": group["key"].to_numpy()[order],
+                "window_id": np.int64(window), "container_id": (np.int64(shard) << 32) + container, "key": key[order],
                 "piece": pieces.astype(np.int32), "start_token": pieces * capacity, "n_tokens": length.astype(np.int32),
             }
         )
 
-    schema = f"window_id bigint, container_id bigint, key {kind}, piece int, start_token bigint, n_tokens int"
-    return rows.groupBy("window_id", "shard").applyInPandas(run, schema)
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["n_tokens", "key", "copy"], ascending=[False, True, True], kind="stable")
+        keys, n, shard = group["key"].to_numpy(), group["n_tokens"].to_numpy(), int(group["shard"].iloc[0])
+        return pd.concat([packed(keys, n, shard, window, capacity) for window, capacity in windows], ignore_index=True)
+
+    return rows.groupBy("shard").applyInPandas(run, schema) if windows else kept.sparkSession.createDataFrame([], schema)
 
 
 def stated_windows(windows: DataFrame) -> list[tuple[int, int]]:

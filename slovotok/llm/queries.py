@@ -67,13 +67,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_splits.grouped_sentences(table(spark, sf_dir, "sentences"), table(spark, sf_dir, "rlc_documents"))
 
 
-@query("p5_splits")
+_SPLITS = _GROUPS[: _GROUPS.rindex("s as (")] + r"""
+latest as (
+  select id as sentence_id, arg_max(struct_pack(n := n, i := sentence_index), coalesce(loaded_at::varchar, '') || lpad(coalesce(n, 0)::varchar, 20, '0')) as x
+  from (select id, loaded_at, sentence_index, try_cast(regexp_extract(regexp_replace(document_id, '[\s\x{A0}]+', '', 'g'), '^([0-9]+)(\.0*)?$', 1) as bigint) as n from sentences where id is not null)
+  group by id
+), placed as (
+  select l.sentence_id, coalesce(g.group_id, k.id) as group_id, k.id as document_number, l.x.i as sentence_index
+  from latest l left join (select distinct id from d) k on l.x.n = k.id left join g on k.id = g.id
+), hashed as (
+  select *, ('0x' || substr(md5(case when group_id is not null then 'd' || group_id else 's' || sentence_id end || '|split'), 1, 8))::bigint / 4294967296.0::double as h from placed
+), bounds as (
+  select split_name, sum(share) over w / sum(share) over () as upto, coalesce(lag(upto) over w, 0) as low, row_number() over w = count(*) over () as is_last from split_shares window w as (order by share desc, split_name)
+), result as (select sentence_id, group_id, document_number, sentence_index, split_name from hashed join bounds on h >= low and (h < upto or is_last))
+"""
+
+
+@query("p5_splits", _SPLITS + " select * from result")
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence with its group and split."""
     return grouped_splits.split_sentences(table(spark, sf_dir, "sentences"), table(spark, sf_dir, "rlc_documents"), table(spark, sf_dir, "split_shares"))
 
 
-@query("p5_report")
+_REPORT = " select split_name, count(*) as n_sentences, count(distinct document_number) as n_documents, round(count(*) / sum(count(*)) over (), 4) as share from result group by split_name"
+
+
+@query("p5_report", _SPLITS + _REPORT)
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the splits came out."""
     return grouped_splits.split_report(p5_splits(spark, sf_dir))
