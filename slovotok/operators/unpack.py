@@ -29,20 +29,26 @@ JOINING_WORDS = ("и", "или", "либо", "and", "or")
 
 #: Masks: an ordinary run, a quoted stretch, an empty one, a joining word.
 ORDINARY, QUOTED, EMPTY, WORD = "a", "\x01", "\x02", "\x03"
+#: All of JOINERS one by one; \s is these six.
+_SINGLE = " \t\n\x0b\f\r\xa0" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u3000|;,/&\\+"
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 _CHUNK = rf'(?:{_QUOTED}|[^{JOINERS}"]++|")++'
 
 
 def chunks(value: Column) -> Column:
     """The chunks of a field between joining characters; stretches in quotes are never cut."""
-    return F.regexp_extract_all(value, F.lit(f"({_CHUNK})"), F.lit(1))
+    whole = F.regexp_extract_all(value, F.lit(f"({_CHUNK})"), F.lit(1))
+    # Without quotes one joiner stands for all, and a single character is cut at without a regular expression.
+    return F.when(value.contains('"'), whole).otherwise(F.array_remove(F.split(F.translate(value, _SINGLE, "|" * len(_SINGLE)), r"\|"), ""))
 
 
 def skeleton(value: Column) -> Column:
     """The field with its ordinary characters masked."""
     plain = F.translate(value, QUOTED + EMPTY + WORD, ORDINARY * 3)
     plain = F.when(plain.contains('"'), F.regexp_replace(F.regexp_replace(plain, r'(?<!")""(?!")', EMPTY), _QUOTED, QUOTED)).otherwise(plain)
-    words = F.regexp_replace(plain, rf"(?iu)(?<![^{JOINERS}])(?:{'|'.join(JOINING_WORDS)})(?![^{JOINERS}])", WORD)
+    lower = F.lower(plain)
+    some = reduce(Column.__or__, [lower.contains(w) for w in JOINING_WORDS])
+    words = F.when(some, F.regexp_replace(plain, rf"(?iu)(?<![^{JOINERS}])(?:{'|'.join(JOINING_WORDS)})(?![^{JOINERS}])", WORD)).otherwise(plain)
     return F.regexp_replace(words, r"[\p{L}\p{N}\p{M}_]++", ORDINARY)
 
 
@@ -98,7 +104,8 @@ def unpack_all(fields: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     rows = rows.withColumn("skel", skeleton(F.col("value")))
     rules = checkpoint(splitting_rules(rows.select("skel").distinct()))
     small = small_enough(rules.select(F.concat("skel", F.repeat(F.lit("x"), 16 * F.size("rule"))).alias("s")), "s")
-    rows = rows.join(F.broadcast(rules) if small else rules, "skel").select("tbl", "key", "rule", "plain", chunks(F.col("value")).alias("cut"))
+    # A left join, as for an inner one the optimizer would add a filter that computes the skeletons a second time.
+    rows = rows.join(F.broadcast(rules) if small else rules, "skel", "left").select("tbl", "key", "rule", "plain", chunks(F.col("value")).alias("cut"))
     piece = lambda r: F.when(r["first"] == r["last"], F.element_at("cut", r["first"])).otherwise(F.array_join(F.slice("cut", r["first"], r["last"] - r["first"] + 1), ""))
     picked = F.transform("rule", lambda r: F.when(r["quoted"], unquoted(piece(r))).otherwise(piece(r)))
     values = rows.select("tbl", "key", F.when(F.col("plain"), F.col("cut")).otherwise(picked).alias("values"))
