@@ -26,19 +26,31 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def _forms_sql() -> str:
-    text, latin_text, form = charforms.form_parts("t0")
-    return f"""
+# A value differs from its consistent form if it shows a trace of other characters; nothing is put into the form here.
+_TRACES = r"""
 with v as (
-  select 'gec_dataset_regressions' as tbl, rec_no as row_no, 'input' as field, input as t0 from gec_dataset_regressions
+  select 'gec_dataset_regressions' as tbl, rec_no as row_no, 'input' as field, input as t from gec_dataset_regressions
   union all select 'gec_dataset_regressions', rec_no, 'correction', correction from gec_dataset_regressions
   union all select 'project', row_no, 'form', form from project
+), w as (
+  select tbl, row_no, field, t,
+    regexp_matches(t, '[\x{AD}\x{34F}\x{61C}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]') as invisible,
+    regexp_matches(t, '[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2010}-\x{2012}\x{2043}\x{2212}\x{FB00}-\x{FB06}\x{FE50}-\x{FE6B}\x{FF01}-\x{FF5E}]') as other_mark,
+    nfc_normalize(t) <> t as decomposed,
+    list_transform(regexp_extract_all(t, '\pL[\pL\pM]*'), lambda x: [
+      regexp_matches(x, '[бвгдёжзийклмнптфцчшщъыьэюяБГДЁЖЗИЙЛПУФЦЧШЩЪЫЬЭЮЯ]')::int, regexp_matches(x, '[bdf-nqrstuvwzDFGIJLNQRSUVWZ]')::int,
+      regexp_matches(x, '\p{Cyrillic}')::int, regexp_matches(x, '\p{Latin}')::int, regexp_matches(x, '\p{Greek}')::int]) as words
+  from v where t is not null
 )
-select tbl, row_no, field from (select *, {form} as form from (select *, {latin_text} as latin_text from (select *, {text} as t from v where t0 is not null))) where t0 <> form
+select tbl, row_no, field from w where invisible or other_mark or decomposed
+  or len(list_filter(words, lambda x: x[3] + x[4] + x[5] > 1)) > 0
+  or len(list_filter(words, lambda x: x[4] = 1 and x[2] = 0)) > 0 and not (len(list_filter(words, lambda x: x[2] = 1)) > 0 and len(list_filter(words, lambda x: x[1] = 1)) = 0)
+  or len(list_filter(words, lambda x: x[3] = 1 and x[1] = 0)) > 0 and len(list_filter(words, lambda x: x[2] = 1)) > 0 and len(list_filter(words, lambda x: x[1] = 1)) = 0
+  or len(list_filter(words, lambda x: x[5] = 1 and x[3] + x[4] = 0)) > 0 and regexp_matches(t, '\b[ΑΒΕΗΚΜΟΡΤΧΥΙονα]+\b')
 """
 
 
-@query("p3_found", _forms_sql())
+@query("p3_found", _TRACES)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that differ from their consistent form."""
     records = charforms.differing(table(spark, sf_dir, "gec_dataset_regressions"), "rec_no", ["input", "correction"], "gec_dataset_regressions")
@@ -77,8 +89,10 @@ latest as (
   from latest l left join (select distinct id from d) k on l.x.n = k.id left join g on k.id = g.id
 ), hashed as (
   select *, ('0x' || substr(md5(case when group_id is not null then 'd' || group_id else 's' || sentence_id end || '|split'), 1, 8))::bigint / 4294967296.0::double as h from placed
+), shares as (
+  select split_name, sum(share) over w / sum(share) over () as upto, row_number() over w = count(*) over () as is_last from split_shares window w as (order by share desc, split_name)
 ), bounds as (
-  select split_name, sum(share) over w / sum(share) over () as upto, coalesce(lag(upto) over w, 0) as low, row_number() over w = count(*) over () as is_last from split_shares window w as (order by share desc, split_name)
+  select *, coalesce(lag(upto) over (order by upto, is_last), 0) as low from shares
 ), result as (select sentence_id, group_id, document_number, sentence_index, split_name from hashed join bounds on h >= low and (h < upto or is_last))
 """
 

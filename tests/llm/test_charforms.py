@@ -24,6 +24,24 @@ def test_content_stays(spark):
     assert forms(spark, texts) == texts
 
 
+def test_other_scripts_and_signs(spark):
+    cases = {
+        "ㅤтекстﾠ": "текст", "сло\U000e0061во\U000e0100": "слово", "ʜᴏᴡый": "нош" + "ый", "ᴛᴇxᴛ file": "text file", "хρам": "храм", "Ꮋовый": "Новый", "wօrd": "word",
+        "Å": "Å", "Ångström и Ä": "Ångström и Ä", "\u212b": "Å", "ρ = 5 и χ": "ρ = 5 и χ", "օհ": "օհ", "pё": "рё", "cáxap": "са́хар",
+    }
+    assert forms(spark, list(cases)) == list(cases.values())
+
+
+def test_parts_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(charforms, "PART_BYTES", 50)
+    texts = ["тeкст" * n if n % 5 else None for n in range(40)] + ["", "x" * 100, ""]
+    import pyarrow as pa
+
+    column = pa.array(texts, pa.string())
+    parts = list(charforms._parts(column))
+    assert pa.concat_arrays(parts).to_pylist() == texts and len(parts) > 5 and list(charforms._parts(column[:0])) == []
+
+
 def test_disguise_comes_off(spark):
     rng = random.Random(5)
     words = "Возможно полезный редактор напечатал ещё короткий указатель объяснения чёрный йод PDF Unicode HTML".split()
