@@ -41,12 +41,13 @@ def _text_issues(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def _token_issues(docs: DataFrame, rules: list[Rule], level: str) -> DataFrame:
     before, after, keep = _LEVELS[level]
     guards = [REGISTRY[r.kind].guard for r in rules]
-    if all(guards):
-        docs = docs.filter(reduce(lambda a, b: a | b, [g(r) for g, r in zip(guards, rules, strict=True)]))
-    rows = token_rows(docs, ["doc_id", "text"], before, after, keep)
-    hits = [_struct(r, h) for r in rules for h in REGISTRY[r.kind].build(r)]
-    some = reduce(lambda a, b: a | b, [F.coalesce(h.when, F.lit(False)) for r in rules for h in REGISTRY[r.kind].build(r)])
-    found = F.explode_outer(F.array(*hits))
+    met = F.array(*[g(r) if g else F.lit(True) for g, r in zip(guards, rules, strict=True)])
+    # Each guard is evaluated once a text; the generator keeps the optimizer from copying them. Token rows ask for the rules of met guards only.
+    docs = docs.select("doc_id", "text", F.explode(F.array(met)).alias("met")).filter(F.array_contains("met", True))
+    rows = token_rows(docs, ["doc_id", "text", "met"], before, after, keep)
+    built = [(r, Hit(F.col("met")[i] & h.when, h.start, h.end, h.replacement)) for i, r in enumerate(rules) for h in REGISTRY[r.kind].build(r)]
+    some = reduce(lambda a, b: a | b, [F.coalesce(h.when, F.lit(False)) for _, h in built])
+    found = F.explode_outer(F.array(*[_struct(r, h) for r, h in built]))
     return rows.filter(some).select("doc_id", "text", found.alias("x")).filter("x is not null").select("doc_id", "text", "x.*")
 
 

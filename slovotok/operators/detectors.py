@@ -91,11 +91,15 @@ _W = r"[\p{IsAlphabetic}\-‑–']"
 
 
 def _any_word(words: list[str]) -> Column:
-    """Whether one of the words occurs, also with joiners that normalisation drops."""
-    spelt = ["['‑–]*".join("\\" + c if c == "-" else c for c in w.lower()) for w in words if w]
-    return _LOW().rlike("(?:" + "|".join(spelt or ["(?!)"]) + ")")
-
-
+    """Whether one of the words occurs by itself, also with joiners that normalisation drops."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted({w.lower() for w in words if w}):
+        by_first.setdefault(w[0], []).append("['‑–]*".join("\\" + c if c == "-" else c for c in w[1:]))
+    if not by_first:
+        return F.lit(False)
+    # Most places are ruled out by the letter before and the first one.
+    spelt = "|".join(f"{first}['‑–]*+(?:{'|'.join(rest)})" for first, rest in by_first.items())
+    return _LOW().rlike(rf"(?<!\p{{IsAlphabetic}})(?=[{''.join(by_first)}])(?:{spelt})(?!\p{{IsAlphabetic}})")
 
 
 def _spans(found: Column, rule: Rule, replacement: Callable[[Column], Column], start=lambda x: x["s"], end=lambda x: x["e"]) -> Column:
@@ -241,7 +245,7 @@ def _unpaired(rule: Rule) -> Column:
 
 
 @register("mixed_alphabet_word", "token", ("tokenization",),
-          lambda r: F.col("text").rlike(rf"[A-Za-z]{_W}*{CYRILLIC}|{CYRILLIC}{_W}*[A-Za-z]"))
+          lambda r: has_latin(F.col("text")) & F.col("text").rlike(rf"[A-Za-z]{_W}*{CYRILLIC}|{CYRILLIC}{_W}*[A-Za-z]"))
 def _mixed(rule: Rule) -> list[Hit]:
     return [Hit(is_word(_T()) & has_cyrillic(_T()) & has_latin(_T()), _S(), _E(), F.lit(None))]
 
