@@ -156,6 +156,11 @@ def _same(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(True))
 
 
+def _if(may: Column, then: Column) -> Column:
+    """Whether both hold; what comes second is computed only where the first holds (the parts of an `and` may all be computed before)."""
+    return F.coalesce(F.when(may, then), F.lit(False))
+
+
 def modifier_conflict(m: Column, n: Column) -> Column:
     """Whether no reading of a modifier agrees with any of a noun."""
     singular = (F.size(m["numbers"]) == 0) | (F.size(n["numbers"]) == 0) | F.array_contains(m["numbers"], "singular") | F.array_contains(n["numbers"], "singular")
@@ -164,18 +169,18 @@ def modifier_conflict(m: Column, n: Column) -> Column:
     none = ~F.exists(m["readings"], lambda a: F.exists(n["readings"], lambda b: pair(a, b)))
     sets = differ(m["cases"], n["cases"]) | differ(m["numbers"], n["numbers"]) | (singular & genders_differ(m["genders"], n["genders"]))
     known = (F.size(m["cases"]) > 0) & (F.size(n["cases"]) > 0) & (F.size(m["numbers"]) > 0) & (F.size(n["numbers"]) > 0) & (~singular | ((F.size(m["genders"]) > 0) & (F.size(n["genders"]) > 0)))
-    return F.coalesce(m["modifier"] & n["noun"] & (sets | (known & none)), F.lit(False))
+    return _if(m["modifier"] & n["noun"], sets | (known & none))
 
 
 def predicate_conflict(s: Column, p: Column) -> Column:
     """Whether a subject and the predicate after it differ in number, person or (past singular) gender."""
     gender = p["past_singular"] & genders_differ(s["genders"], p["past_genders"]) & ~F.coalesce(F.array_contains(s["numbers"], "plural"), F.lit(False))
-    return F.coalesce(s["subject"] & p["predicate"] & (differ(s["numbers"], p["numbers"]) | differ(s["persons"], p["own_persons"]) | gender), F.lit(False))
+    return _if(s["subject"] & p["predicate"], differ(s["numbers"], p["numbers"]) | differ(s["persons"], p["own_persons"]) | gender)
 
 
 def government_conflict(allowed: Column, n: Column) -> Column:
     """Whether every reading of a nominal has a case and none is allowed."""
-    return F.coalesce(n["nominal"] & ~n["caseless"] & differ(allowed, n["cases"]), F.lit(False))
+    return _if(n["nominal"] & ~n["caseless"], differ(allowed, n["cases"]))
 
 
 def numeral_conflict(q: Column, n: Column) -> Column:
@@ -188,7 +193,7 @@ def numeral_conflict(q: Column, n: Column) -> Column:
         return F.when(paucal | many, F.when(a["case"].isin("nominative", "accusative"), governed)).when(a["num_class"].isin("one", "ordinal"), agrees)
 
     pairs = F.flatten(F.transform(q["readings"], lambda a: F.transform(F.filter(n["readings"], lambda b: b["pos"] == "noun"), lambda b: pair(a, b))))
-    return F.coalesce(q["numeral"] & n["head"] & (F.size(pairs) > 0) & F.forall(pairs, lambda x: F.coalesce(~x, F.lit(False))), F.lit(False))
+    return _if(q["numeral"] & n["head"], (F.size(pairs) > 0) & F.forall(pairs, lambda x: F.coalesce(~x, F.lit(False))))
 
 
 @dataclass(frozen=True)
@@ -211,7 +216,7 @@ def relations(verbs: bool = False) -> list[Relation]:
     yes = lambda c: F.coalesce(c, F.lit(False))
     free = ~yes(F.col("before.numeral")) & ~yes(F.col("before.preposition"))
     out = [
-        Relation("adj_noun_agreement_demo", free & modifier_conflict(p(0), p(1)), 1, 0, p(1)["cases"], p(1)["numbers"], p(1)["genders"]),
+        Relation("adj_noun_agreement_demo", _if(free, modifier_conflict(p(0), p(1))), 1, 0, p(1)["cases"], p(1)["numbers"], p(1)["genders"]),
         Relation("subject_predicate_agreement_basic", predicate_conflict(p(0), p(1)), 1, 1, none, p(0)["numbers"], p(0)["genders"]),
     ]
     for n in (2, 3):
@@ -219,25 +224,25 @@ def relations(verbs: bool = False) -> list[Relation]:
         for i in range(n):
             group = group & yes(p(i)["modifier"])
         for i in range(n):
-            out.append(Relation("nominal_group_modifier_agreement_basic", free & group & modifier_conflict(p(i), p(n)), n, i, p(n)["cases"], p(n)["numbers"], p(n)["genders"]))
+            out.append(Relation("nominal_group_modifier_agreement_basic", _if(free & group, modifier_conflict(p(i), p(n))), n, i, p(n)["cases"], p(n)["numbers"], p(n)["genders"]))
     for n in range(1, 5):
         group = yes(p(n)["head"])
         for i in range(1, n):
             group = group & yes(p(i)["may_modify"])
         kind = "preposition_government_basic" if n == 1 else "preposition_nominal_group_government_basic"
-        out.append(Relation(kind, group & government_conflict(p(0)["governs"], p(n)), n, n, p(0)["governs"], p(n)["numbers"], none))
+        out.append(Relation(kind, _if(group, government_conflict(p(0)["governs"], p(n))), n, n, p(0)["governs"], p(n)["numbers"], none))
     if verbs:
         for n in range(1, 4):
             group = yes(p(n)["head"])
             for i in range(1, n):
                 group = group & yes(p(i)["may_modify"])
-            out.append(Relation("verb_government_basic", group & government_conflict(p(0)["direct"], p(n)), n, n, p(0)["direct"], p(n)["numbers"], none))
+            out.append(Relation("verb_government_basic", _if(group, government_conflict(p(0)["direct"], p(n))), n, n, p(0)["direct"], p(n)["numbers"], none))
         for n in range(2, 5):
             group = yes(p(n)["head"])
             for i in range(2, n):
                 group = group & yes(p(i)["may_modify"])
             allowed = F.transform(F.filter(p(0)["through"], lambda x: x["preposition"] == F.lower(F.col("w1.word"))), lambda x: x["case"])
-            out.append(Relation("verb_government_basic", group & government_conflict(allowed, p(n)), n, n, allowed, p(n)["numbers"], none))
+            out.append(Relation("verb_government_basic", _if(group, government_conflict(allowed, p(n))), n, n, allowed, p(n)["numbers"], none))
     shapes = {1: "numeral_noun_agreement_basic", 2: "compound_numeral_nominal_group_agreement_basic", 3: "typed_compound_numeral_nominal_group_agreement_basic"}
     for k in (1, 2, 3):
         prefix = ~yes(F.col("before.numeral")) if k > 1 else F.lit(True)
@@ -250,7 +255,7 @@ def relations(verbs: bool = False) -> list[Relation]:
             kind = shapes[k] if k > 1 or n == 1 else "numeral_nominal_group_agreement_basic"
             paucal = F.exists(p(k - 1)["readings"], lambda r: r["num_class"] == "paucal")
             wanted = F.when(paucal, F.array(F.lit("singular"))).otherwise(F.array(F.lit("plural")))
-            out.append(Relation(kind, group & numeral_conflict(p(k - 1), p(n)), n, n, F.array(F.lit("genitive")), wanted, none))
+            out.append(Relation(kind, _if(group, numeral_conflict(p(k - 1), p(n))), n, n, F.array(F.lit("genitive")), wanted, none))
     return out
 
 
@@ -260,9 +265,9 @@ KINDS = (
 )
 
 
-def conflicts(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, kind, s, e, replacement): each conflict once, with the only form of the dictionary that would mend it, if there is
-    just one of the same lemma."""
+def conflicts(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None, commas: bool = False) -> DataFrame:
+    """(doc_id, kind, s, e, ws, we, form): each conflict once, with the only form of the dictionary that would mend the word from ws
+    to we, if there is just one of the same lemma. With commas also the gaps between modifiers where one may be missing."""
     rows = chains(documents, lexicon, verbs, clauses=True)
     found = []
     none = F.lit(None).cast("array<string>")
@@ -275,6 +280,13 @@ def conflicts(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None
             r.cases.alias("cases"), r.numbers.alias("numbers"), r.genders.alias("genders"),
         )
         found.append(F.when(r.when, fields))
+    if commas:
+        gap = (F.col("w0.e"), F.col("w1.s"))
+        fields = F.struct(
+            F.lit("coordination_comma_basic").alias("kind"), gap[0].alias("s"), gap[1].alias("e"), gap[0].alias("ws"), gap[1].alias("we"), F.lit("").alias("word"), F.lit(None).cast("string").alias("lemma"), F.lit(False).alias("one"),
+            none.alias("cases"), none.alias("numbers"), none.alias("genders"),
+        )
+        found.append(F.when(missing_comma(), fields))
     issues = rows.select("doc_id", F.explode_outer(F.array(*found)).alias("x")).filter("x is not null").select("doc_id", "x.*")
     first = issues.groupBy("doc_id", "kind", "s", "e").agg(F.min_by(F.struct("ws", "we", "word", "lemma", "one", "cases", "numbers", "genders"), "ws").alias("x")).select("doc_id", "kind", "s", "e", "x.*")
     forms = lexicon.select("lemma", "form", "case", "number", "gender").distinct()
@@ -288,30 +300,31 @@ def conflicts(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None
     return joined.select("doc_id", "kind", "s", "e", "ws", "we", only.alias("form"))
 
 
-def missing_commas(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, text, s, e): the gap between two modifiers of one case and number before a noun, outside quotes and brackets."""
-    rows = chains(documents, lexicon)
+def missing_comma() -> Column:
+    """Whether a chain begins with two modifiers of one case and number before a noun."""
     a, b, c = F.col("w0.p"), F.col("w1.p"), F.col("w2.p")
     both = _all(a["readings"], lambda r: r["pos"].isin(*_MODIFIERS)) & _all(b["readings"], lambda r: r["pos"].isin(*_MODIFIERS)) & F.arrays_overlap(a["cases"], b["cases"]) & F.arrays_overlap(a["numbers"], b["numbers"])
-    found = rows.filter(both & F.exists(c["readings"], lambda r: r["pos"] == "noun")).select("doc_id", F.col("w0.e").alias("s"), F.col("w1.s").alias("e"))
-    joined = found.join(documents.select("doc_id", "text"), "doc_id")
+    return _if(a["may_modify"] & b["may_modify"], both & F.exists(c["readings"], lambda r: r["pos"] == "noun"))
+
+
+def in_the_open() -> Column:
+    """Whether a place (text, s) lies outside quotes and brackets."""
     before = F.left("text", F.col("s"))
     count = lambda c: F.length(before) - F.length(F.translate(before, c, ""))
-    return joined.filter((count("«") <= count("»")) & (count("(") <= count(")")))
+    return (count("«") <= count("»")) & (count("(") <= count(")"))
 
 
 def issues(documents: DataFrame, lexicon: DataFrame, rules: list[Rule], verbs: DataFrame | None = None) -> DataFrame:
     """(doc_id, text, rule_id, s, e, replacement) for the rules of KINDS; the replacement is the span with the mended word."""
     by = documents.sparkSession.createDataFrame([(r.kind, r.rule_id) for r in rules], "kind string, rule_id string")
-    found = conflicts(documents, lexicon, verbs).join(F.broadcast(by), "kind")
+    found = conflicts(documents, lexicon, verbs, any(r.kind == "coordination_comma_basic" for r in rules)).join(F.broadcast(by), "kind")
+    # Only here is the text needed, and only of documents with conflicts; without them it would travel with every word.
     joined = found.join(documents.select("doc_id", "text"), "doc_id")
+    joined = joined.filter((F.col("kind") != "coordination_comma_basic") | in_the_open())
     t = F.col("text")
     whole = F.concat(t.substr(F.col("s") + 1, F.col("ws") - F.col("s")), F.col("form"), t.substr(F.col("we") + 1, F.col("e") - F.col("we")))
-    out = joined.select("doc_id", "text", "rule_id", "s", "e", F.when(F.col("form").isNotNull(), whole).alias("replacement"))
-    for r in rules:
-        if r.kind == "coordination_comma_basic":
-            out = out.unionByName(missing_commas(documents, lexicon).select("doc_id", "text", F.lit(r.rule_id).alias("rule_id"), "s", "e", F.lit(", ").alias("replacement")))
-    return out
+    mended = F.when(F.col("kind") == "coordination_comma_basic", F.lit(", ")).when(F.col("form").isNotNull(), whole)
+    return joined.select("doc_id", "text", "rule_id", "s", "e", mended.alias("replacement"))
 
 
 def with_lexicon(lexicon: DataFrame, verbs: DataFrame | None = None) -> dict[str, Callable[[DataFrame, list[Rule]], DataFrame]]:

@@ -1,7 +1,7 @@
 """What a document says about itself: headings, list items, style, glossary, terms and abbreviations.
 
 Lines are an array per document, so headings, items, style and glossary need no shuffle. Terms and abbreviations are counted
-by document and word with partial aggregation; only counts and first places move.
+by document and word with partial aggregation; only counts and first places move. Abbreviations are counted within the row.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slovotok.functions.arrays import running_sum
-from slovotok.functions.text import is_word, normalize_word, token_rows
+from slovotok.functions.text import is_word, normalize_word, token_rows, tokenize
 
 # Words that are no terms.
 STOP_WORDS = "который которая которые потому если чтобы этого этот эта это были было есть будет можно нужно".split()
@@ -100,11 +100,16 @@ def abbreviations(docs: DataFrame) -> DataFrame:
     """(doc_id, text, short, frequency, s, e, expansion): words of two to ten letters without a small one, where they come
     first, and the text before the bracket that they stand in there, if it is six characters long at least."""
     guard = F.col("text").rlike(r"(?:\p{IsUppercase}[^\p{IsLowercase}\p{IsWhite_Space}]*){2}")
-    rows = token_rows(docs.filter(guard), ["doc_id", "text"]).filter(is_word(F.col("t")) & ~F.col("t").rlike(r"\p{IsLowercase}"))
-    short = F.upper(F.regexp_replace("t", r"\P{IsAlphabetic}", ""))
-    rows = rows.select("doc_id", "text", short.alias("short"), "s", "e").filter(F.length("short").between(2, 10))
-    by = rows.groupBy("doc_id", "short").agg(F.count("*").alias("frequency"), F.min(F.struct("s", "e", "text")).alias("f"))
-    by = by.select("doc_id", "f.text", "short", "frequency", "f.s", "f.e")
+    # All of a document's words are in its row, so they are counted there; each step refers to columns of the one before.
+    base = docs.filter(guard).select("doc_id", "text", tokenize(F.col("text")).alias("_toks"))
+    base = base.withColumn("_offs", running_sum(F.transform("_toks", lambda t: F.length(t))))
+    capital = F.filter(F.arrays_zip("_toks", "_offs"), lambda z: is_word(z["_toks"]) & ~z["_toks"].rlike(r"\p{IsLowercase}"))
+    base = base.select("doc_id", "text", F.transform(capital, lambda z: F.struct(F.upper(F.regexp_replace(z["_toks"], r"\P{IsAlphabetic}", "")).alias("short"), z["_offs"].alias("s"), (z["_offs"] + F.length(z["_toks"])).alias("e"))).alias("_all"))
+    base = base.withColumn("_held", F.filter("_all", lambda x: F.length(x["short"]).between(2, 10))).drop("_all")
+    each = base.select("doc_id", "text", "_held", F.explode_outer(F.array_distinct(F.col("_held.short"))).alias("short")).filter("short is not null")
+    each = each.withColumn("_of", F.filter("_held", lambda x: x["short"] == F.col("short")))
+    first = F.try_element_at("_of", F.lit(1))
+    by = each.select("doc_id", "text", "short", F.size("_of").cast("bigint").alias("frequency"), first["s"].alias("s"), first["e"].alias("e"))
     before = F.left("text", F.col("s"))
     opened = F.contains(before, F.lit("(")) & ~F.contains(F.substring_index(before, "(", -1), F.lit(")"))
     head = before.substr(F.lit(1), F.length(before) - F.length(F.substring_index(before, "(", -1)) - 1)

@@ -1,16 +1,14 @@
 """Inspection: what the layers found in each document, and dumps of tokens with their readings, limited per document.
 
-Counts are made per layer and document and joined by id; dumps keep the first rows of each document by a row number, so that a
+Counts are made within the row of each document; dumps keep the first rows of each document by a row number, so that a
 limit per document needs no sort over all documents."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slovotok.functions.text import kind, token_rows
+from slovotok.functions.text import is_word, normalize_word, tokenize
 from slovotok.operators import document_context, sentences
 
 # Limits of a dump.
@@ -30,6 +28,27 @@ def safe_zones(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("text").rlike(r"[(\[{«„“\"]")).select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, s int, e int, kind string")
 
 
+def document_islands(text: str, around: list[tuple[int, int, str]], spans: list[tuple[int, int]]) -> list[tuple[int, int, int, str]]:
+    """(sentence, from, to, kind) of the stretches of one document within which words may be linked."""
+    found, z = [], 0
+    for n, (a, b) in enumerate(spans, 1):
+        at = a
+        while z < len(around) and around[z][0] < a:
+            z += 1
+        while z < len(around) and around[z][0] < b:
+            x, y, k = around[z]
+            z += 1
+            if x < at or y > b:
+                continue
+            if text[at:x].strip():
+                found.append((n, at, x, "sentence"))
+            found.append((n, x, y, k))
+            at = y
+        if text[at:b].strip():
+            found.append((n, at, b, "sentence"))
+    return found
+
+
 def islands(docs: DataFrame) -> DataFrame:
     """(doc_id, n, sentence, s, e, kind): the stretches within which words may be linked: sentences without their zones, and the
     zones, which are islands of their own. Words are linked only within one island."""
@@ -39,18 +58,8 @@ def islands(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for d, t in zip(batch["doc_id"], batch["text"], strict=True):
-                around, found = sentences.zones(t), []
-                for n, (a, b) in enumerate(sentences.sentence_spans(t, around), 1):
-                    at = a
-                    for x, y, k in around:
-                        if a <= x and y <= b and x >= at:
-                            if t[at:x].strip():
-                                found.append((n, at, x, "sentence"))
-                            found.append((n, x, y, k))
-                            at = y
-                    if t[at:b].strip():
-                        found.append((n, at, b, "sentence"))
-                rows += [(d, i, *f) for i, f in enumerate(found)]
+                around = sentences.zones(t)
+                rows += [(d, i, *f) for i, f in enumerate(document_islands(t, around, sentences.sentence_spans(t, around)))]
             yield pd.DataFrame(rows, columns=["doc_id", "n", "sentence", "s", "e", "kind"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -58,18 +67,30 @@ def islands(docs: DataFrame) -> DataFrame:
 
 
 def fact_counts(docs: DataFrame) -> DataFrame:
-    """One row a document: how many facts each layer has."""
-    docs = docs.filter("text is not null").select("doc_id", "text")
-    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    tokens = token_rows(docs.filter("text <> ''"), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(kind(F.col("t")) == "word").alias("words"))
-    zones_ = safe_zones(docs).groupBy("doc_id").agg(F.count_if(F.col("kind") == "parenthetical").alias("parentheticals"), F.count_if(F.col("kind") == "direct_speech").alias("direct_speech"))
-    structure = document_context.structure(docs).select("doc_id", F.size("headings").alias("headings"), F.size("items").alias("list_items"), "paragraphs")
-    layers = [
-        tokens, count(sentences.sentences(docs), "sentences"), zones_, count(islands(docs), "islands"), count(sentences.boundaries(docs), "clause_markers"), structure,
-        count(document_context.terms(docs), "terms"), count(document_context.abbreviations(docs).select("doc_id"), "abbreviations"),
-    ]
-    joined = reduce(lambda a, b: a.join(b, "doc_id", "left"), layers, docs.select("doc_id"))
-    return joined.select("doc_id", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in joined.columns if c != "doc_id"])
+    """One row a document: how many facts each layer has. Each document is folded once and cut into tokens once; nothing is joined."""
+    import pandas as pd
+
+    folded = ("sentences", "parentheticals", "direct_speech", "islands", "clause_markers")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for d, t in zip(batch["doc_id"], batch["text"], strict=True):
+                around = sentences.zones(t)
+                spans = sentences.sentence_spans(t, around)
+                kinds = [k for _, _, k in around]
+                rows.append((d, t, len(spans), kinds.count("parenthetical"), kinds.count("direct_speech"), len(document_islands(t, around, spans)), len(sentences.clause_boundaries(t))))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", *folded])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    made = docs.filter("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, text string, " + ", ".join(f"{c} bigint" for c in folded))
+    made = document_context.structure(made).withColumn("_tokens", tokenize(F.col("text"))).drop("text")
+    made = made.withColumn("_words", F.filter("_tokens", is_word))
+    terms = F.filter(F.transform("_words", normalize_word), lambda w: (F.length(w) >= 4) & ~w.isin(document_context.STOP_WORDS))
+    shorts = F.filter(F.transform(F.filter("_words", lambda w: ~w.rlike(r"\p{IsLowercase}")), lambda w: F.upper(F.regexp_replace(w, r"\P{IsAlphabetic}", ""))), lambda w: F.length(w).between(2, 10))
+    counted = {"tokens": F.size("_tokens"), "words": F.size("_words"), "headings": F.size("headings"), "list_items": F.size("items"), "paragraphs": F.col("paragraphs"), "terms": F.size(F.array_distinct(terms)), "abbreviations": F.size(F.array_distinct(shorts))}
+    order = ("tokens", "words", "sentences", "parentheticals", "direct_speech", "islands", "clause_markers", "headings", "list_items", "paragraphs", "terms", "abbreviations")
+    return made.select("doc_id", *[counted.get(c, F.col(c)).cast("bigint").alias(c) for c in order])
 
 
 def token_dump(readings: DataFrame, tokens: int = TOKENS, most: int = READINGS) -> DataFrame:

@@ -6,7 +6,7 @@ Defined results: null and white-space texts have no sentences; repeated document
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
@@ -27,6 +27,7 @@ COORDINATING = frozenset("и а но или либо да ну".split())
 OPENING, CLOSING, SEPARATORS, TERMINALS = "([{«“„", ")]}»”“", ",;:—-", ".!?…\n"
 
 _TERMINAL = regex.compile(r"[.!?…\n]+")
+_NOT_NORMAL = regex.compile(r"[^\p{Alphabetic}-]")
 _CLOSERS = regex.compile(r"[)\]}»”“]*")
 _SPACE = regex.compile(r"\p{White_Space}*")
 _TOKEN = regex.compile(r"(?P<space>\p{White_Space}+)|(?P<number>[0-9０-９]+)|(?P<word>[\p{Alphabetic}\-‑–']+)|(?P<punctuation>[«»—–…“”„!-/:-@\[-`{-~]+)|(?P<other>[^\p{White_Space}0-9０-９\p{Alphabetic}\-‑–'«»—…“”„!-/:-@\[-`{-~]+)")
@@ -151,6 +152,7 @@ def introductory_gaps(text: str, phrases: tuple[str, ...]) -> list[tuple[int, in
     next word after a single word, the next character after other phrases."""
     around, out = zones(text), set()
     single = {p for p in phrases if regex.fullmatch(r"\p{Alphabetic}+", p)}
+    longest = max(map(len, phrases), default=0)
     for start, _ in sentence_spans(text, around):
         if any(a < start < b for a, b, _ in around):
             continue
@@ -160,7 +162,7 @@ def introductory_gaps(text: str, phrases: tuple[str, ...]) -> list[tuple[int, in
             nxt = _TOKEN.match(text, gap.end())
             if gap.group() and nxt and nxt.lastgroup == "word":
                 out.add((word.end(), gap.end(), ", "))
-        tail = text[start : start + 80].lower()
+        tail = text[start : start + longest].lower()
         for p in phrases:
             at = start + len(p)
             if p not in single and tail.startswith(p) and not text[at : at + 1].isalpha():
@@ -182,6 +184,34 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n int, s int, e int")
 
 
+def cross_sentence_terms(docs: DataFrame, least: int = 4, stop: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, term, n_sentences): words of `least` letters at least that occur in more than one sentence of a document. Words and
+    sentences are walked once, side by side, so nothing is joined or shuffled."""
+    skipped = frozenset(stop)
+
+    def terms(text: str) -> dict[str, int]:
+        spans, n = sentence_spans(text), 0
+        seen: dict[str, int] = {}
+        last: dict[str, int] = {}
+        for m in _TOKEN.finditer(text):
+            if m.lastgroup != "word":
+                continue
+            while n < len(spans) and spans[n][0] <= m.start():
+                n += 1
+            term = _NOT_NORMAL.sub("", m.group()).lower()
+            if len(term) >= least and term not in skipped and last.get(term) != n:
+                seen[term], last[term] = seen.get(term, 0) + 1, n
+        return seen
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, w, n) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for w, n in terms(t).items() if n > 1]
+            yield pd.DataFrame(rows, columns=["doc_id", "term", "n_sentences"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.filter("text <> ''").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, term string, n_sentences bigint")
+
+
 def boundaries(docs: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
     """(doc_id, s, e, marker, kind, confidence) of every clause marker."""
 

@@ -173,6 +173,7 @@ def eliminated_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slovotok.operators.agreement import word_readings
     from slovotok.operators.disambiguation import eliminations
 
-    rows = table(spark, sf_dir, "sentences").dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text")
+    latest = F.max_by("text", F.struct(F.coalesce(F.col("loaded_at").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    rows = table(spark, sf_dir, "sentences").groupBy(F.col("id").alias("doc_id")).agg(latest.alias("text"))
     found = eliminations(word_readings(rows, _whole_lexicon(spark, sf_dir)))
     return found.groupBy("constraint", "pos").agg(F.count("*").alias("n"))

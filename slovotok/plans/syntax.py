@@ -44,10 +44,20 @@ def document_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "paragraphs", F.size("headings").alias("n_headings"), F.size("items").alias("n_items"), "mixed_headings", "mixed_markers")
 
 
-@query("glossary")
+_HEADED = "# Глоссарий\n- слово — единица языка\n1. знак: точка или запятая\n\n"
+_GLOSSARY = _LINES.replace(_source([]), "src as (select doc_id, '" + _HEADED + "' || text as text from documents where text is not null and text <> '')")
+
+
+@query(
+    "glossary",
+    _GLOSSARY + """, r as (select doc_id, title, e as a, coalesce(lead(s) over (partition by doc_id order by s), 1 << 30) as b from heads),
+    g as (select i.doc_id, i.s, i.e, i.body from items i where marker is not null and exists (select 1 from r where r.doc_id = i.doc_id and contains(lower(r.title), 'глоссар') and r.a <= i.s and i.s < r.b)),
+    c as (select *, [x for x in [' — ', ' – ', ' - ', ': '] if instr(body, x) > 0 and trim(body[1:instr(body, x) - 1]) <> '' and trim(body[instr(body, x) + length(x):]) <> ''] as seps from g)
+    select doc_id, trim(body[1:instr(body, seps[1]) - 1]) as term, trim(body[instr(body, seps[1]) + length(seps[1]):]) as definition, s, e from c where len(seps) > 0""",
+)
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glossary entries; a glossary heading is put before each document."""
-    rows = table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.concat(F.lit("# Глоссарий\n- слово — единица языка\n1. знак: точка или запятая\n\n"), "text").alias("text"))
+    rows = table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.concat(F.lit(_HEADED), "text").alias("text"))
     return document_context.glossary(rows)
 
 
@@ -69,7 +79,14 @@ def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_context.abbreviations(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "short", "frequency", "s")
 
 
-@query("abbreviation_expansions")
+_EXPANDED = f"""with {_source([])}{_TOK}, a as (select doc_id, upper(regexp_replace(t, '[^{_AL}]', '', 'g')) as short, s from tok where k = 'word' and not regexp_matches(t, '[\\p{{Ll}}ªºʰ-ʸˀˁˠ-ˤ]')),
+    f as (select doc_id, short, count(*) as frequency, min(s)::int as s from a where length(short) between 2 and 10 group by doc_id, short),
+    b as (select f.*, text, left(text, s) as before, length(left(text, s)) - length(regexp_replace(left(text, s), '^.*\\(', '', 's')) as head_end from f join src using (doc_id)),
+    x as (select *, regexp_extract(regexp_replace(left(text, (head_end - 1)::int), '[{_WS}]+$', ''), '[^.!?\\n]*$') as context from b where contains(before, '(') and not contains(regexp_replace(before, '^.*\\(', '', 's'), ')')),
+    y as (select doc_id, short, frequency, s, regexp_replace(regexp_replace(regexp_replace(context, '^[{_WS}]+|[{_WS}]+$', '', 'g'), '^[:;,—-]+|[:;,—-]+$', '', 'g'), '^[{_WS}]+|[{_WS}]+$', '', 'g') as expansion from x)"""
+
+
+@query("abbreviation_expansions", _EXPANDED + " select doc_id, short, expansion, frequency from y where length(expansion) >= 6")
 def abbreviation_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abbreviations that are explained where they come first."""
     rows = document_context.abbreviations(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -91,15 +108,8 @@ def clause_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cross_sentence_terms")
 def cross_sentence_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that occur in more than one sentence of a document: a range join on document and place."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    from slovotok.functions.text import is_word, normalize_word, token_rows
-
-    spans = sentences.sentences(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "n"))).alias("spans"))
-    words = token_rows(docs.filter("text <> ''"), ["doc_id"]).filter(is_word(F.col("t"))).select("doc_id", normalize_word(F.col("t")).alias("term"), "s")
-    words = words.filter((F.length("term") >= 4) & ~F.col("term").isin(document_context.STOP_WORDS))
-    placed = words.join(spans, "doc_id").select("doc_id", "term", F.size(F.filter("spans", lambda x: x["s"] <= F.col("s"))).alias("n"))
-    return placed.groupBy("doc_id", "term").agg(F.countDistinct("n").alias("n_sentences")).filter("n_sentences > 1")
+    """Terms that occur in more than one sentence of a document."""
+    return sentences.cross_sentence_terms(table(spark, sf_dir, "documents"), 4, document_context.STOP_WORDS)
 
 
 @query("fact_counts")

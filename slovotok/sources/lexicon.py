@@ -1,7 +1,7 @@
 """Dictionaries in several formats as one lexicon table: form, lemma, pos, categories, tags, ids, source and stress.
 
 Readers take lines or rows as DataFrames, so text files, archives and tables serve alike. Rows that a strict reader would
-refuse are dropped by default; `rejected` gives them. The lexicon is stored as Parquet, clustered by lookup key, so that
+refuse are dropped by default; `rejected` gives them, and `strict` makes them an error. The lexicon is stored as Parquet, clustered by lookup key, so that
 look-ups of some forms skip most row groups.
 """
 
@@ -29,34 +29,57 @@ def lexicon_rows(rows: DataFrame, source: str | None = None, carry: list[str] |
     )
 
 
-def _cells(lines: DataFrame, sep: str) -> DataFrame:
+#: Columns that a line of each format has at least.
+LEAST = {"project": 4, "opencorpora": 4, "pymorphy": 3}
+
+
+def _split(line: Column, sep: str | None) -> Column:
+    """The cells of a line; without a separator by tabs if the line has one, else by commas outside quotes."""
+    if sep is not None:
+        return F.split(line, sep, -1)
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',((?:"[^"]*+(?:""[^"]*+)*+"|[^,]*+))'), F.lit(1))
+    bare = F.transform(quoted, lambda c: F.when(c.rlike('^".*"$'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(line.contains("\t"), F.split(line, "\t", -1)).otherwise(bare)
+
+
+def _cells(lines: DataFrame, sep: str | None, least: int = 1, strict: bool = False) -> DataFrame:
     line = F.col("value")
     kept = lines.filter(F.trim(line) != "").filter(~F.trim(line).startswith("#"))
-    cells = F.transform(F.split(line, sep, -1), lambda c: F.trim(c))
-    return kept.select(cells.alias("c")).filter(~F.lower(F.element_at("c", 1)).isin(*HEADERS))
+    cells = F.transform(_split(line, sep), lambda c: F.trim(c))
+    made = kept.select(cells.alias("c"), "value").filter(~F.lower(F.element_at("c", 1)).isin(*HEADERS))
+    short = F.size("c") < least
+    error = F.raise_error(F.concat(F.lit("too few columns: "), "value")).cast("boolean")
+    return made.filter(F.when(short, error).otherwise(F.lit(True)) if strict else ~short).select("c")
+
+
+def rejected(lines: DataFrame, kind: str) -> DataFrame:
+    """(value, n_columns): the lines of a dictionary of some format (a key of LEAST) that have too few columns."""
+    sep = None if kind == "opencorpora" else "\t"
+    rows = lines.filter((F.trim("value") != "") & ~F.trim("value").startswith("#")).select("value", _split(F.col("value"), sep).alias("c"))
+    rows = rows.filter(~F.lower(F.trim(F.element_at("c", 1))).isin(*HEADERS))
+    return rows.filter(F.size("c") < LEAST[kind]).select("value", F.size("c").alias("n_columns"))
 
 
 def _at(i: int) -> Column:
     return _empty(F.try_element_at("c", F.lit(i)))
 
 
-def read_project(lines: DataFrame, source: str = "project") -> DataFrame:
-    """Tab-separated form, lemma, pos, features and up to four more; lines of fewer than four columns are dropped."""
-    rows = _cells(lines, "\t").filter(F.size("c") >= 4)
+def read_project(lines: DataFrame, source: str = "project", strict: bool = False) -> DataFrame:
+    """Tab-separated form, lemma, pos, features and up to four more; lines of fewer than four columns are dropped, or an error."""
+    rows = _cells(lines, "\t", LEAST["project"], strict)
     return lexicon_rows(rows.select(_at(1).alias("form"), _at(2).alias("lemma"), part_of_speech(_at(3)).alias("pos"), project_tags(_at(4)).alias("tags"), _at(5).alias("lemma_id"), _at(6).alias("paradigm_id"), _at(7).alias("source_id"), _at(8).alias("stress")), source)
 
 
-def read_opencorpora_csv(lines: DataFrame, source: str = "opencorpora") -> DataFrame:
-    """form, lemma, pos, grammemes and up to four more, by tabs if a line has one, else by commas."""
-    value = F.when(F.col("value").contains("\t"), F.col("value")).otherwise(F.translate("value", ",", "\t"))
-    rows = _cells(lines.withColumn("value", value), "\t").filter(F.size("c") >= 4)
+def read_opencorpora_csv(lines: DataFrame, source: str = "opencorpora", strict: bool = False) -> DataFrame:
+    """form, lemma, pos, grammemes and up to four more, by tabs if a line has one, else by commas outside quotes."""
+    rows = _cells(lines, None, LEAST["opencorpora"], strict)
     tags = F.concat(F.array(_at(3)), split_tags(_at(4)))
     return lexicon_rows(rows.select(_at(1).alias("form"), _at(2).alias("lemma"), part_of_speech(_at(3)).alias("pos"), tags.alias("tags"), _at(5).alias("lemma_id"), _at(6).alias("paradigm_id"), _at(7).alias("source_id"), _at(8).alias("stress")), source)
 
 
-def read_pymorphy(lines: DataFrame, source: str = "pymorphy") -> DataFrame:
+def read_pymorphy(lines: DataFrame, source: str = "pymorphy", strict: bool = False) -> DataFrame:
     """word, normal form, tag and up to four more; the part of speech is the first one among the tags."""
-    rows = _cells(lines, "\t").filter(F.size("c") >= 3)
+    rows = _cells(lines, "\t", LEAST["pymorphy"], strict)
     tags = split_tags(_at(3))
     return lexicon_rows(rows.select(_at(1).alias("form"), _at(2).alias("lemma"), first_part_of_speech(tags).alias("pos"), tags.alias("tags"), _at(4).alias("lemma_id"), _at(5).alias("paradigm_id"), _at(6).alias("source_id"), _at(7).alias("stress")), source)
 

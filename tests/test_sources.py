@@ -70,7 +70,7 @@ def test_m2_in_a_zip(spark, tmp_path):
 def test_pairs(spark, tmp_path):
     rows = gec.spelling_pairs(lines(spark, '{"source": "карова", "correction": "корова", "domain": "x"}\n{"source": "а", "correction": "а"}\n{"source": " "}'))
     assert [(r["input"], r["correction"], r["labels"]) for r in rows.collect()] == [("карова", "корова", ["x"])]
-    table = gec.pairs_table(lines(spark, "id\trule\tbad\tgood\n1\tr\tа\tб\nshort"), "own", header="id\trule\tbad\tgood")
+    table = gec.pairs_table(lines(spark, "id\trule\tbad\tgood\n1\tr\tа\tб\nshort"), "own", header="id\trule\tbad\tgood", strict=False)
     assert [(r["id"], r["input"], r["correction"], r["labels"]) for r in table.collect()] == [("own/1", "а", "б", ["r"])]
     table.write.json(str(tmp_path / "j"))
     assert gec.read_jsonl(spark, str(tmp_path / "j")).count() == 1
@@ -89,3 +89,35 @@ def test_spreadsheet(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1">{header}</row><row r="2">{body}</row><row r="3"><c r="A3"><v>1</v></c></row></sheetData></worksheet>')
     rows = gec.grammar_sheet(gec.read_xlsx(spark, str(tmp_path))).collect()
     assert [(r["id"], r["input"], r["correction"], r["labels"], r["metadata"]["subset"], len(r["edits"])) for r in rows] == [("lorugec/xlsx-1", "Он, тут", "Он тут", ["раздел", "р1"], "test", 1)]
+
+
+def test_blocks_of_several_members_have_ids_of_their_own(spark):
+    contents = spark.createDataFrame([("b/test.m2", "S Он пришел .\nA 1 2|||Sp|||пришёл|||R|||-NONE-|||0\n\nS Да ."), ("a/val.m2", "S Нет .\n\nS Так .")], "member string, content string")
+    ids = sorted((r["id"], r["source_file"]) for r in gec.read_m2(contents).collect())
+    assert ids == [("lorugec/m2-1", "a/val.m2"), ("lorugec/m2-2", "a/val.m2"), ("lorugec/m2-3", "b/test.m2"), ("lorugec/m2-4", "b/test.m2")]
+
+
+def test_short_lines_are_errors_or_given_apart(spark):
+    import pytest
+
+    lines = spark.createDataFrame([("1\tr\tплохо\tхорошо\tn",), ("2\tr",), ("",)], "value string")
+    assert [r["input"] for r in gec.pairs_table(lines, "d", strict=False).collect()] == ["плохо"]
+    assert [tuple(r) for r in gec.short_lines(lines).collect()] == [("2\tr", 2)]
+    with pytest.raises(Exception, match="too few columns"):
+        gec.pairs_table(lines, "d").collect()
+    rows = spark.createDataFrame([("дом\tдом\tnoun",), ("# x",), ("form\tlemma",)], "value string")
+    assert [r["n_columns"] for r in lexicon.rejected(rows, "project").collect()] == [3]
+    with pytest.raises(Exception, match="too few columns"):
+        lexicon.read_project(rows, strict=True).collect()
+
+
+def test_quoted_commas_of_a_dictionary(spark):
+    rows = spark.createDataFrame([('"дом, дома",дом,NOUN,inan|masc,1,2,s,',)], "value string")
+    assert [r["form"] for r in lexicon.read_opencorpora_csv(rows).collect()] == ["дом, дома"]
+
+
+def test_spaces_around_marks(spark):
+    from pyspark.sql import functions as F
+
+    text = spark.createDataFrame([("« Да » , сказал он ( тихо ) — и  ушёл [ совсем ] .",)], "t string")
+    assert text.select(gec.detokenize(F.col("t")).alias("t")).first()["t"] == "«Да», сказал он (тихо) — и ушёл [совсем]."
