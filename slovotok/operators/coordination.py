@@ -9,7 +9,8 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from slovotok.operators.sentences import _TOKEN, sentence_spans, zones
 
@@ -17,8 +18,8 @@ from slovotok.operators.sentences import _TOKEN, sentence_spans, zones
 CONJUNCTIONS = frozenset("и или либо ни да а но".split())
 
 
-def groups(text: str) -> list[tuple[int, int, list[str], list[str], bool]]:
-    """(start, end, members, connectors, whether a conjunction is repeated) of the groups of a text."""
+def member_runs(text: str) -> list[tuple[list[tuple[str, int]], list[str], bool]]:
+    """(members with their starts, connectors, whether a conjunction is repeated) of the groups of a text."""
     around, out = zones(text), []
     spans = sentence_spans(text, around)
     tokens = [(m.lastgroup, m.group(), m.start()) for m in _TOKEN.finditer(text) if m.lastgroup != "space"]
@@ -52,11 +53,35 @@ def groups(text: str) -> list[tuple[int, int, list[str], list[str], bool]]:
             words = [c for c in connectors if c != ","]
             first = tokens[i - 1][1].lower() if i and islands[i - 1] == islands[i] else ""
             used = [w.split()[-1] for w in words] + ([first] if first in CONJUNCTIONS else [])
-            out.append((tokens[i][2], tokens[at][2] + len(tokens[at][1]), [tokens[k][1] for k in members], connectors, len(used) > len(set(used))))
+            out.append(([tokens[k][1:] for k in members], connectors, len(used) > len(set(used))))
         i = at + 1
     return out
 
 
+def groups(text: str) -> list[tuple[int, int, list[str], list[str], bool]]:
+    """(start, end, members, connectors, whether a conjunction is repeated) of the groups of a text."""
+    return [(m[0][1], m[-1][1] + len(m[-1][0]), [w for w, _ in m], c, r) for m, c, r in member_runs(text)]
+
+
+def member_gaps(text: str) -> set[tuple[int, int]]:
+    """(end of a member, start of the next one) of all groups."""
+    return {(a + len(w), b) for m, _, _ in member_runs(text) for (w, a), (_, b) in zip(m, m[1:])}
+
+
+def shared_values(groups: DataFrame, readings: DataFrame) -> DataFrame:
+    """(doc_id, s, members, cases, numbers): the cases and numbers that all members of a group can have, by their readings
+    (word, cases, numbers); a member without readings leaves them open."""
+    rows = groups.select("doc_id", "s", "members", F.posexplode("members").alias("i", "word"))
+    known = rows.join(readings.select(F.lower("word").alias("w"), "cases", "numbers"), F.lower(rows["word"]) == F.col("w"), "left")
+    by = known.groupBy("doc_id", "s", "members").agg(F.collect_list(F.struct("cases", "numbers")).alias("held"))
+
+    def common(field: str) -> Column:
+        sets = F.filter(F.transform("held", lambda h: h[field]), lambda v: F.size(v) > 0)
+        return F.when(F.size(sets) > 0, F.array_sort(F.aggregate(sets, F.element_at(sets, 1), lambda a, b: F.array_intersect(a, b))))
+
+    return by.select("doc_id", "s", "members", common("cases").alias("cases"), common("numbers").alias("numbers"))
+
+
 def coordination_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, s, e, members, connectors, repeated) of the groups of each document."""
 

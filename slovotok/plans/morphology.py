@@ -177,3 +177,26 @@ def eliminated_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "sentences").groupBy(F.col("id").alias("doc_id")).agg(latest.alias("text"))
     found = eliminations(word_readings(rows, _whole_lexicon(spark, sf_dir)))
     return found.groupBy("constraint", "pos").agg(F.count("*").alias("n"))
+
+
+_EDGES = (
+    _features_sql("opencorpora", "grammemes").replace("select d.row_no, replace(", "lexf as (select distinct replace(", 1).replace("on p.tag = " + _NORMAL.format("d.pos"), "on p.tag = " + _NORMAL.format("d.pos") + ")", 1).replace("    lexf as", "    , lexf as", 1)
+    + ", src as (select doc_id, text from documents where text is not null and text <> '')" + _TOK
+    + """, pairs as (select replace(lower(p2), 'ё', 'е') as left_key, replace(lower(t), 'ё', 'е') as right_key, count(*) as n from near where k = 'word' and pk1 = 'whitespace' and not contains(p1, chr(10)) and pk2 = 'word' group by all),
+    r as (select distinct key, pos, "case" as c, number as u, gender as g from lexf),
+    x as (select left_key, right_key, n, case when a.c is null or b.c is null then 1 when a.c = b.c then 0 else 2 end as sc, case when a.u is null or b.u is null then 1 when a.u = b.u then 0 else 2 end as su,
+      case when coalesce(a.u = 'plural', false) or coalesce(b.u = 'plural', false) then 0 when a.g is null or b.g is null then 1 when a.g = b.g or a.g = 'common' or b.g = 'common' then 0 else 2 end as sg
+      from pairs join r a on a.key = left_key and a.pos in ('adjective', 'participle') join r b on b.key = right_key and b.pos = 'noun'),
+    z as (select left_key, right_key, any_value(n) as n, min(greatest(sc, su, sg)) as worst, bool_or(sc = 2) as cc, bool_or(sg = 2) as cg, bool_or(su = 2) as cu, bool_or(sc = 1) as uc, bool_or(sg = 1) as ug, bool_or(su = 1) as uu from x group by left_key, right_key)
+    select left_key, right_key, n, case worst when 0 then 'match' when 1 then 'unknown' else 'conflict' end as result,
+      concat_ws(',', case when cc then 'case' end, case when cg then 'gender' end, case when cu then 'number' end) as conflicts, concat_ws(',', case when uc then 'case' end, case when ug then 'gender' end, case when uu then 'number' end) as unknown from z"""
+)
+
+
+@query("agreement_edges", _EDGES)
+def agreement_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How modifiers agree with the nouns right after them in all documents, with the features in conflict and the unknown ones."""
+    from slovotok.operators.unification import agreement_edges as edges
+
+    rows = edges(table(spark, sf_dir, "documents"), from_table(table(spark, sf_dir, "opencorpora"), "grammemes"))
+    return rows.select("left_key", "right_key", "n", "result", F.array_join("conflicts", ",").alias("conflicts"), F.array_join("unknown", ",").alias("unknown"))
