@@ -200,3 +200,14 @@ def agreement_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = edges(table(spark, sf_dir, "documents"), from_table(table(spark, sf_dir, "opencorpora"), "grammemes"))
     return rows.select("left_key", "right_key", "n", "result", F.array_join("conflicts", ",").alias("conflicts"), F.array_join("unknown", ",").alias("unknown"))
+
+
+#: How ambiguous the words and numbers of the documents are, in SQL.
+AMBIGUITY = (
+    _features_sql("opencorpora", "grammemes").replace("select d.row_no, replace(", ", lexf as (select distinct lower(trim(form)) as form, trim(lemma) as lemma, nullif(trim(lemma_id), '') as l, nullif(trim(paradigm_id), '') as g, nullif(trim(source_id), '') as sc, nullif(trim(stress), '') as st, replace(", 1).replace(", coalesce(n_unrecognized, 0)::int as n_unrecognized\n    from d", "\n    from (select * from d join (select row_no, lemma_id, paradigm_id, source_id, stress from opencorpora) using (row_no)) d", 1)
+    + "), src as (select doc_id, text from documents where text is not null and text <> '')" + _TOK
+    + """, w as (select t, count(*) as n from tok where k in ('word', 'number') group by t),
+    r as (select t, n, lexf.*, bool_or(lexf.form = lower(t)) over (partition by t) as exact from w left join lexf on replace(lower(t), 'ё', 'е') = lexf.key),
+    c as (select t, any_value(n) as n, count(key) filter (where not (contains(lower(t), 'ё') and exact) or form = lower(t)) as readings, count(distinct pos) filter (where key is not null and (not (contains(lower(t), 'ё') and exact) or form = lower(t))) as parts from r group by t)
+    select case when readings = 0 then 'unknown' when readings = 1 then 'certain' when parts = 1 then 'ambiguous_form' else 'ambiguous_pos' end as class, sum(n)::bigint as n_tokens from c group by 1"""
+)

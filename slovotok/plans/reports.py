@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from slovotok import plans
 from slovotok.operators import document_context, ledger, links
-from slovotok.plans import query, syntax
-from slovotok.plans.rules import RuleFilter
+from slovotok.operators.agreement import _CASES
+from slovotok.operators.checking import check
+from slovotok.plans import data_quality, morphology, query, syntax
+from slovotok.plans.rules import RULES, RuleFilter
+from slovotok.plans.surface import _source, _sql
 from slovotok.session import table
+from slovotok.sources.registry import FEATURES
 
 #: Terms of a document that are ranked.
 TOP = 20
@@ -75,3 +79,45 @@ plans.ORACLE["d_style_document_style_consistency_seed"] = (
       union all select doc_id, min(s), max(e) from heads group by doc_id having count(distinct marked and regexp_matches(title, '[.!?:;]$')) > 1)
     select doc_id, s::int as s, e::int as e, null::varchar as replacement from c"""
 )
+
+
+#: The rules that SQL states, with their SQL over documents.
+_STATED = {r.rule_id: f"with {_source([])}{_sql(r)}" for r in RULES if _sql(r)} | {r: plans.ORACLE["d_" + r.removeprefix("ru.").replace(".", "_")] for r in ("ru.style.document_abbreviation_first_mention_seed", "ru.style.document_style_consistency_seed")}
+_STRICT = RuleFilter("strict", include=tuple(_STATED))
+_CHOSEN = [r for r in RULES if r.rule_id in _STATED and _STRICT.matches(r)]
+_CHECKED = (
+    f"with {_source([])}, found as ("
+    + " union all ".join(f"select '{r.rule_id}' as rule_id, '{r.severity}' as severity, doc_id, s, e, replacement::varchar as replacement from ({_STATED[r.rule_id]})" for r in _CHOSEN)
+    + """), j as (select found.*, text[1:s] as a, text[1:e] as b from found join src using (doc_id))
+    select doc_id, rule_id, severity, strlen(a)::int as start_b, strlen(b)::int as end_b, (length(a) - length(replace(a, chr(10), '')) + 1)::int as line, (length(string_split(a, chr(10))[-1]) + 1)::int as "column", replacement from j"""
+)
+
+
+@query("check_stated_rules", _CHECKED)
+def check_stated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of all documents by all rules of the strict profile that SQL can state: all but those of sentences and of dictionaries."""
+    rows = check(table(spark, sf_dir, "documents"), chosen=_STRICT)
+    return rows.select("doc_id", "rule_id", "severity", "start_b", "end_b", "line", "column", "replacement")
+
+
+@query(
+    "stated_rule_counts",
+    f"with r(rule_id) as (values {', '.join(f'({chr(39)}{r.rule_id}{chr(39)})' for r in _CHOSEN)}), f as ({_CHECKED}) select r.rule_id, count(f.doc_id) as n_raw, 0::bigint as n_suppressed, count(f.doc_id) as n_emitted, null::varchar as skipped from r left join f on r.rule_id = f.rule_id group by r.rule_id",
+)
+def stated_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw, suppressed and emitted issues of those rules."""
+    return ledger.rule_counts(table(spark, sf_dir, "documents"), chosen=_STRICT)
+
+
+_NAMED = " ".join(f"when regexp_matches(val, '^{a}\\b') then '{c}'" for a, c in _CASES.items())
+plans.ORACLE["verb_government_cases"] = f"""with v as (select *, lower(trim(lemma)) as verb, lower(trim(coalesce(preposition, ''))) as prep from verb_government),
+    x as (select row_no, case {_NAMED} end as c from ({data_quality._UNPACK}) where tbl = 'verb_government'),
+    y as (select verb, complement_kind, prep, c from v join x using (row_no) where c is not null and verb <> '')
+    select verb, coalesce(list_sort(list_distinct(list(c) filter (where complement_kind = 'direct_object'))), []) as direct,
+      coalesce(to_json(list_sort(list_distinct(list(struct_pack(preposition := prep, "case" := c)) filter (where complement_kind = 'prepositional_object' and prep <> ''))))::varchar, '[]') as through from y group by verb"""
+plans.ORACLE["token_ambiguity"] = morphology.AMBIGUITY
+
+_PACKED = ", ".join(f"""'{k}=' || f."{c}\"""" for k, c in FEATURES.items())
+plans.ORACLE["converted_dictionary"] = morphology._features_sql("opencorpora", "grammemes").split("    select d.row_no")[0] + f"""
+    select distinct concat_ws(chr(9), lower(trim(d.form)), trim(d.lemma), coalesce(p.pos, 'other'), concat_ws('|', {_PACKED}), coalesce(trim(o.lemma_id), ''), coalesce(trim(o.paradigm_id), ''), coalesce(trim(o.source_id), ''), coalesce(trim(o.stress), '')) as value
+    from d left join f using (row_no) join opencorpora o using (row_no) left join pos_ p on p.tag = {morphology._NORMAL.format('d.pos')}"""

@@ -72,6 +72,16 @@ def _sql(rule: Rule) -> str | None:
     if k == "missing_sentence_terminal":
         trimmed = f"regexp_replace(text, '[{_WS}]+\\z', '')"
         return f" select doc_id, length({trimmed})::int as s, length({trimmed})::int as e, '.' as replacement from src where {trimmed} <> '' and not regexp_matches({trimmed}, '[.!?…]\\z')"
+    if k == "unpaired_delimiters":
+        pairs = [x.split() if " " in x else list(x) for x in p["pairs"]]
+        opens, closes = "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        wanted = f"translate(ds[i + 1].m, '{closes}', '{opens}')"
+        good = f"len(st) > 0 and st[-1].m = {wanted}"
+        return _CH + f""", ds0 as (select doc_id, list(struct_pack(m := c, s := (i - 1)::int) order by i) as ds from ch where contains('{opens + closes}', c) group by doc_id),
+        walk as (with recursive w as (select doc_id, ds, 0 as i, ds[:0] as st, ds[:0] as bad from ds0 union all
+          select doc_id, ds, i + 1, case when contains('{opens}', ds[i + 1].m) then list_append(st, ds[i + 1]) else st[:len(st) - 1] end,
+            case when contains('{opens}', ds[i + 1].m) or {good} then bad else list_append(bad, ds[i + 1]) end from w where i < len(ds)) select * from w)
+        select doc_id, x.s as s, (x.s + 1)::int as e, null::varchar as replacement from (select doc_id, unnest(list_concat(bad, st)) as x from walk where i = len(ds))"""
     if k == "unbalanced_quotes":
         return _CH + """, q as (select doc_id, i, c, sum(case c when '«' then 1 else -1 end) over (partition by doc_id order by i) as d from ch where c in ('«', '»')),
           m as (select *, coalesce(min(d) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as low, coalesce(min(d) over (partition by doc_id order by i rows between 1 following and unbounded following), 1000000000) as later from q)
