@@ -43,6 +43,8 @@ SHARED_CYRILLIC = "асеорхуАВСЕНКМОРТХУ"
 #: Characters that Unicode ignores by default when text is shown: soft hyphens, joiners, fillers, directions, selectors, tags.
 INVISIBLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164),
              (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
+#: Characters that are consistent by themselves: ASCII, Russian letters, and common marks.
+ORDINARY = r"\x09\x0A\x0D\x20-\x7EА-яЁё«»—–…№"
 SPACES = "               　"
 HYPHENS = "‐‑‒⁃−﹣－"
 
@@ -93,6 +95,9 @@ def form_parts(column: str) -> tuple[str, str, str]:
     invisible = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in INVISIBLE)
     text = _translate(f"regexp_replace({column}, '[{invisible}]', '', 'g')", single)
     text = _chain(text, {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(0xFB00, 0xFB07))})
+    # Most texts hold ordinary characters only, which stay and are composed already.
+    ordinary = lambda c: f"regexp_full_match({c}, '[{ORDINARY}]*')"
+    text = f"case when {ordinary(column)} then {column} else {text} end"
     accented = _accented(SHARED_LATIN, SHARED_CYRILLIC)
     only_cyrillic = f"[^\\P{{Cyrillic}}{CYRILLIC_ALIKE}]"
     only_latin = f"[^\\P{{Latin}}{SHARED_LATIN}{SMALL_CAPITALS}{_russian(accented)}]"
@@ -115,7 +120,7 @@ def form_parts(column: str) -> tuple[str, str, str]:
     )
     words = f"array_to_string(list_transform(regexp_extract_all(t, '(?:\\pL[\\pL\\pM]*|[^\\pL]+)'), lambda w: {word}), '')"
     # Without a letter of another alphabet there is nothing to decide by word.
-    return text, latin_text, f"nfc_normalize(case when regexp_matches(t, '[\\p{{Latin}}\\p{{Greek}}{OTHER_ALIKE}]') then {words} else t end)"
+    return text, latin_text, f"case when regexp_matches(t, '[\\p{{Latin}}\\p{{Greek}}{OTHER_ALIKE}]') then nfc_normalize({words}) when {ordinary('t')} then t else nfc_normalize(t) end"
 
 
 def form_query(source: str) -> str:
