@@ -211,3 +211,58 @@ AMBIGUITY = (
     c as (select t, any_value(n) as n, count(key) filter (where not (contains(lower(t), 'ё') and exact) or form = lower(t)) as readings, count(distinct pos) filter (where key is not null and (not (contains(lower(t), 'ё') and exact) or form = lower(t))) as parts from r group by t)
     select case when readings = 0 then 'unknown' when readings = 1 then 'certain' when parts = 1 then 'ambiguous_form' else 'ambiguous_pos' end as class, sum(n)::bigint as n_tokens from c group by 1"""
 )
+
+
+_PAIRS = _EDGES.split("    r as (select distinct key")[0]
+
+
+def _numerals() -> dict[str, str]:
+    from slovotok.operators.agreement import NUMERALS
+
+    return {w.replace("ё", "е"): n for c, n in (("paucal", "singular"), ("many", "plural")) for w in NUMERALS[c]}
+
+
+@query(
+    "subject_predicate_edges",
+    _PAIRS + """    r as (select distinct key, pos, "case" as c, "number" as u, gender as g, tense as z from lexf),
+    x as (select left_key, right_key, n, case when a.u is null or b.u is null then 1 when a.u = b.u then 0 else 2 end as su,
+      case when coalesce(a.u = 'plural', false) or coalesce(b.u = 'plural', false) then 0 when a.g is null or b.g is null then 1 when a.g = b.g or a.g = 'common' or b.g = 'common' then 0 else 2 end as sg
+      from pairs join r a on a.key = left_key and a.pos in ('noun', 'pronoun') and coalesce(a.c, 'nominative') = 'nominative' join r b on b.key = right_key and b.pos = 'verb' and b.z = 'past')
+    select left_key, right_key, any_value(n) as n, case min(greatest(su, sg)) when 0 then 'match' when 1 then 'unknown' else 'conflict' end as result from x group by left_key, right_key""",
+)
+def subject_predicate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How subjects agree with past verbs right after them in all documents."""
+    from slovotok.operators.unification import agreement_edges as edges
+
+    lexicon = from_table(table(spark, sf_dir, "opencorpora"), "grammemes")
+    rows = edges(table(spark, sf_dir, "documents"), lexicon, ("noun", "pronoun"), ("verb",), ("number", "gender"), "coalesce(case, 'nominative') = 'nominative'", "tense = 'past'")
+    return rows.select("left_key", "right_key", "n", "result")
+
+
+@query(
+    "government_frames",
+    _PAIRS + "    p(prep, c) as (values " + ", ".join(f"('{w.replace('ё', 'е')}', '{c}')" for w, cs in preposition_cases().items() for c in cs) + """),
+    r as (select distinct key, "case" as c from lexf where pos in ('noun', 'pronoun')),
+    x as (select left_key, right_key, n, case when r.c is null then 1 when exists (select 1 from p where p.prep = left_key and p.c = r.c) then 0 else 2 end as w from pairs join r on r.key = right_key where left_key in (select prep from p))
+    select left_key, right_key, any_value(n) as n, case min(w) when 0 then 'match' when 1 then 'unknown' else 'conflict' end as result from x group by left_key, right_key""",
+)
+def government_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepositions and the words right after them in all documents, by whether the case fits."""
+    from slovotok.operators.unification import government_frames as frames
+
+    lexicon = from_table(table(spark, sf_dir, "opencorpora"), "grammemes")
+    return frames(table(spark, sf_dir, "documents"), lexicon, {w.replace("ё", "е"): tuple(c) for w, c in preposition_cases().items()})
+
+
+@query(
+    "numeral_frames",
+    _PAIRS + "    q(num, asked) as (values " + ", ".join(f"('{w}', '{n}')" for w, n in _numerals().items()) + """),
+    r as (select distinct key, "case" as c, "number" as u from lexf where pos = 'noun'),
+    x as (select left_key, right_key, n, case when r.c = 'genitive' and r.u = asked then 0 when r.c is null and coalesce(r.u = asked, true) or r.u is null and coalesce(r.c = 'genitive', true) then 1 else 2 end as w from pairs join q on num = left_key join r on r.key = right_key)
+    select left_key, right_key, any_value(n) as n, case min(w) when 0 then 'match' when 1 then 'unknown' else 'conflict' end as result from x group by left_key, right_key""",
+)
+def numeral_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numerals and the nouns right after them in all documents, by whether the form fits."""
+    from slovotok.operators.unification import numeral_frames as frames
+
+    return frames(table(spark, sf_dir, "documents"), from_table(table(spark, sf_dir, "opencorpora"), "grammemes"), _numerals())

@@ -125,3 +125,14 @@ def df_col(name):
     from pyspark.sql import functions as F
 
     return F.col(name)
+
+
+def test_frames(spark):
+    docs = spark.createDataFrame([(1, "две книги, пять книг; две книг и без книги, к книги\nк книге"), (2, None)], "doc_id int, text string")
+    forms = [("книги", "genitive", "singular"), ("книги", "nominative", "plural"), ("книг", "genitive", "plural"), ("книге", "dative", "singular")]
+    lex = spark.createDataFrame([(f, "noun", c, n, "feminine", None) for f, c, n in forms], "key string, pos string, case string, number string, gender string, tense string")
+    got = {(r["left_key"], r["right_key"]): r["result"] for r in unification.numeral_frames(docs, lex, {"две": "singular", "пять": "plural"}).collect()}
+    assert got == {("две", "книги"): "match", ("пять", "книг"): "match", ("две", "книг"): "conflict"}
+    got = {(r["left_key"], r["right_key"]): r["result"] for r in unification.government_frames(docs, lex, {"без": ("genitive",), "к": ("dative",)}).collect()}
+    assert got == {("без", "книги"): "match", ("к", "книги"): "conflict", ("к", "книге"): "match"}
+    assert unification.agreement_edges(docs, lex).count() == 0
