@@ -25,6 +25,7 @@ def rule_violations(rules: Iterable[Rule]) -> list[tuple[str, str]]:
             "id_shape": re.fullmatch(r"ru\.[a-z_]+\.[a-z0-9_]+", r.rule_id), "domain": r.domain in DOMAINS, "level": r.level in LEVELS, "severity": r.severity in SEVERITIES, "status": r.status in STATUSES,
             "requires": set(r.requires) <= set(CAPABILITIES), "message": r.message.strip(), "implemented_is_manual": r.status != "implemented" or r.kind != "manual",
             "capability_of_detector": r.kind not in REGISTRY or set(REGISTRY[r.kind].capabilities) <= set(r.requires) or r.status != "implemented", "examples_overlap": not set(r.valid) & set(r.invalid),
+            "examples": r.status != "implemented" or r.kind == "manual" or (r.valid and r.invalid),
         }
         out += [(r.rule_id, problem) for problem, good in checks.items() if not good]
     return sorted(out)

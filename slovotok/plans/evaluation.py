@@ -147,5 +147,8 @@ def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("example_failures")
 def example_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Examples of rules that do not behave as stated: none."""
-    return validation.example_failures(spark, RULES)
+    """Examples of rules that do not behave as stated, those of dictionary rules with a small dictionary: none."""
+    from slovotok.operators.agreement import with_lexicon
+    from slovotok.sources.lexicon import demo_government, demo_lexicon
+
+    return validation.example_failures(spark, RULES, with_lexicon(demo_lexicon(spark), demo_government(spark)))

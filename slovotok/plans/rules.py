@@ -56,7 +56,9 @@ _T, _R, _L, _M, _S, _W, _B = "tokenization", "regex", "lexicon", "morphology", "
 
 
 def _phrases(rule_id: str, level: str, severity: str, requires: tuple[str, ...], tags: tuple[str, ...], forms: str, kind: str = "phrase_map", message: str = "Устойчивое сочетание пишется иначе.") -> Rule:
-    return Rule(rule_id, kind, rule_id.split(".")[1], level, severity, message, requires, tags, params={"forms": _pairs(forms)})
+    # The forms are their own examples.
+    wrong, right = zip(*(x.split("=>") for x in _pairs(forms)))
+    return Rule(rule_id, kind, rule_id.split(".")[1], level, severity, message, requires, tags, params={"forms": _pairs(forms)}, valid=tuple(dict.fromkeys(right)), invalid=tuple(wrong))
 
 
 RULES: tuple[Rule, ...] = (
@@ -117,6 +119,28 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+#: Examples of rules that take no forms: (silent, fires). Those of dictionary rules use the words of lexicon.demo_lexicon().
+EXAMPLES = {
+    "ru.orthography.ne_with_common_verbs": ("Я не читаю.", "Я нечитаю."),
+    "ru.orthography.emphatic_to_particle_hyphen_seed": ("я-то знаю", "я то знаю"),
+    "ru.orthography.ka_particle_hyphen_seed": ("ну-ка", "ну ка"),
+    "ru.punctuation.comma_between_homogeneous_members": ("красивая, новая книга", "красивая новая книга"),
+    "ru.grammar.subject_predicate_agreement_basic": ("книга упала", "книга упал"),
+    "ru.grammar.numeral_noun_agreement": ("пять книг", "пять книги"),
+    "ru.grammar.verb_government_basic": ("читаю книгу", "читаю книге"),
+    "ru.grammar.preposition_nominal_group_government_basic": ("без новой книги", "без новой книгу"),
+    "ru.grammar.numeral_nominal_group_agreement_basic": ("пять новых книг", "пять новых книги"),
+    "ru.grammar.nominal_group_modifier_agreement_basic": ("красивая новая книга", "красивая новый книга"),
+    "ru.grammar.compound_numeral_nominal_group_agreement_basic": ("двадцать пять книг", "двадцать пять книги"),
+    "ru.grammar.typed_compound_numeral_nominal_group_agreement_basic": ("сто двадцать пять книг", "сто двадцать пять книги"),
+    "ru.grammar.adj_noun_agreement_demo": ("новая книга", "новый книга"),
+    "ru.grammar.preposition_government_basic": ("без книги", "без книгу"),
+    "ru.style.document_abbreviation_first_mention_seed": ("Союз писателей города (СПГ) и СПГ.", "Есть СПГ и СПГ."),
+    "ru.style.document_style_consistency_seed": ("- раз\n- два", "- раз\n* два"),
+}
+RULES = tuple(r if r.valid or r.rule_id not in EXAMPLES else replace(r, valid=(EXAMPLES[r.rule_id][0],), invalid=(EXAMPLES[r.rule_id][1],)) for r in RULES)
+
+
 @dataclass(frozen=True)
 class RuleFilter:
     """Which rules to run: excluded ids win; an id that is included by name needs no profile; statuses replace the profile."""

@@ -139,6 +139,24 @@ def seed_lexicon(spark: SparkSession) -> DataFrame:
     return read_project(lines, "seed")
 
 
+#: A small dictionary for examples: form, lemma, part of speech, features of each reading.
+DEMO = """книга книга NOUN femn|sing|nom; книги книга NOUN femn|sing|gen; книги книга NOUN femn|plur|nom; книге книга NOUN femn|sing|dat; книгу книга NOUN femn|sing|acc; книг книга NOUN femn|plur|gen;
+новая новый ADJF femn|sing|nom; новый новый ADJF masc|sing|nom; новой новый ADJF femn|sing|gen; новых новый ADJF plur|gen; красивая красивый ADJF femn|sing|nom;
+упал упасть VERB past|sing|masc; упала упасть VERB past|sing|femn; читаю читать VERB pres|sing|1per; пять пять NUMR nom|num_class=many; двадцать двадцать NUMR nom|num_class=many; сто сто NUMR nom|num_class=many;
+без без PREP -"""
+
+
+def demo_lexicon(spark: SparkSession) -> DataFrame:
+    """The words of the rules' examples."""
+    rows = [x.split() for x in DEMO.split(";")]
+    return read_project(spark.createDataFrame([("\t".join([f, lemma, pos, "" if tags == "-" else tags]),) for f, lemma, pos, tags in rows], "value string"), "demo")
+
+
+def demo_government(spark: SparkSession) -> DataFrame:
+    """The verb of the rules' examples with the case of its object, as agreement.government() gives them."""
+    return spark.createDataFrame([("читать", ["accusative"], [])], "verb string, direct array<string>, through array<struct<preposition:string,case:string>>")
+
+
 def write_lexicon(lexicon: DataFrame, path: str, files: int = 8) -> None:
     """Stores a lexicon clustered by key: each file holds a range of keys, so their statistics answer most look-ups."""
     lexicon.repartitionByRange(files, "key").sortWithinPartitions("key", "form", "lemma").write.mode("overwrite").parquet(path)

@@ -24,7 +24,11 @@ def unpaired(text, pairs=("()", "[]", "{}", "«»")):
 
 
 def test_examples_of_rules(spark):
-    assert example_failures(spark, RULES).collect() == []
+    from slovotok.operators.agreement import with_lexicon
+    from slovotok.sources.lexicon import demo_government, demo_lexicon
+
+    assert example_failures(spark, RULES, with_lexicon(demo_lexicon(spark), demo_government(spark))).collect() == []
+    assert all(r.valid and r.invalid for r in RULES)
     assert rule_violations(RULES) == []
 
 
