@@ -178,7 +178,8 @@ CLITICS = {
 
 def _clitic_guard(rule: Rule) -> str:
     bases, particles = CLITICS.get(rule.params["group"], ([""], [""]))
-    return rf"(?<!{_W})(?:{'|'.join(bases)})\p{{IsWhite_Space}}++(?:{'|'.join(particles)})(?!{_W})"
+    # The first letter rules out most places before anything else is looked at.
+    return rf"(?=[{''.join(sorted({b[:1] for b in bases}))}])(?<!{_W})(?:{'|'.join(bases)})\p{{IsWhite_Space}}++(?:{'|'.join(particles)})(?!{_W})"
 
 
 @register("clitic_hyphen_missing", "token", ("tokenization", "word_formation"),
@@ -192,15 +193,41 @@ def _clitic(rule: Rule) -> list[Hit]:
 
 
 # Pairs that take no comma (conjunction, first word, second word).
-PAIRED = """и так сяк; и так эдак; и так этак; и день ночь; и стар млад; и смех грех; и смех горе; и холод голод; и туда сюда;
-ни слуху духу; ни свет заря; ни рыба мясо; ни ответа привета; ни конца края; ни конца краю; ни да нет; ни дать взять; ни себе людям;
-ни жив мертв; ни взад вперед; ни сном духом; ни пуха пера; ни много мало; ни больше меньше; ни тпру ну; ни встать сесть; ни туда сюда"""
+PAIRED = (
+    "и так сяк",
+    "и так эдак",
+    "и так этак",
+    "и день ночь",
+    "и стар млад",
+    "и смех грех",
+    "и смех горе",
+    "и холод голод",
+    "и туда сюда",
+    "ни слуху духу",
+    "ни свет заря",
+    "ни рыба мясо",
+    "ни ответа привета",
+    "ни конца края",
+    "ни конца краю",
+    "ни да нет",
+    "ни дать взять",
+    "ни себе людям",
+    "ни жив мертв",
+    "ни взад вперед",
+    "ни сном духом",
+    "ни пуха пера",
+    "ни много мало",
+    "ни больше меньше",
+    "ни тпру ну",
+    "ни встать сесть",
+    "ни туда сюда",
+)
 
 
 @register("phraseological_coordination_comma", "nonspace", ("tokenization", "syntax"),
           lambda r: _LOW().rlike(rf"(?:^|\P{{IsAlphabetic}})(?:ни|и)\p{{IsWhite_Space}}++{_W}++\p{{IsWhite_Space}}*+,\p{{IsWhite_Space}}*+(?:ни|и)\p{{IsWhite_Space}}"))
 def _paired(rule: Rule) -> list[Hit]:
-    triples = ["|".join(x.split()) for x in PAIRED.replace("\n", " ").split(";")]
+    triples = ["|".join(x.split()) for x in PAIRED]
     fold = lambda c: F.translate(F.lower(c), "ё", "е")
     same = (F.col("n2") == ",") & (fold("n3") == fold("t"))
     when = same & F.concat_ws("|", fold("t"), fold("n1"), fold("n4")).isin(triples)
@@ -282,7 +309,7 @@ def _phrases(rule: Rule) -> Column:
 
 
 @register("zhi_shi_cha_shcha", "token", ("tokenization",),
-          lambda r: _LOW().rlike("жы|шы|чя|щя|чю|щю"))
+          lambda r: _LOW().rlike("[жш]ы|[чщ][яю]"))
 def _zhi_shi(rule: Rule) -> list[Hit]:
     wrong = {"жы": "жи", "шы": "ши", "чя": "ча", "щя": "ща", "чю": "чу", "щю": "щу"}
     fixed = F.lower(_T())
@@ -336,7 +363,7 @@ def _unit(rule: Rule) -> list[Hit]:
 
 
 @register("pol_compound_hyphen_missing", "token", ("tokenization", "word_formation"),
-          lambda r: _LOW().rlike(rf"(?<!{_W})пол\p{{IsWhite_Space}}"))
+          lambda r: _LOW().rlike(rf"(?=пол)(?<!{_W})пол\p{{IsWhite_Space}}"))
 def _pol(rule: Rule) -> list[Hit]:
     when = is_word(_T()) & (F.lower(_T()) == "пол") & _one_line_space(F.col("n1")) & is_word(F.col("n2")) & F.col("n2").rlike(r"^(?:\p{IsUppercase}|(?iu)[аеёиоуыэюял])")
     return [Hit(when, _S(), _E() + F.length("n1") + F.length("n2"), F.concat(_T(), F.lit("-"), F.col("n2")))]
@@ -356,7 +383,8 @@ def _roots(rule: Rule) -> str:
 def _prefix_guard(rule: Rule) -> str:
     voiceless = "|".join(ALTERNATING)
     voiced = "|".join(z[:-1] + "с" for z in ALTERNATING)
-    return rf"(?<!{_W})(?:(?:{voiceless})(?=[{VOICELESS}])|(?:{voiced})(?=[{VOICED_OR_VOWEL}])){_roots(rule)}"
+    firsts = "".join(sorted({z[0] for z in ALTERNATING}))
+    return rf"(?=[{firsts}])(?<!{_W})(?:(?:{voiceless})(?=[{VOICELESS}])|(?:{voiced})(?=[{VOICED_OR_VOWEL}])){_roots(rule)}"
 
 
 @register("prefix_final_z_s_assimilation", "token", ("tokenization", "word_formation", "lexicon"),
@@ -397,11 +425,14 @@ def _needs_lexicon(rule: Rule) -> list[Hit]:
     return []
 
 
+#: Kinds that look at words and their readings only, not at groups, islands or clauses.
+_WORDS_ONLY = ("adj_noun_agreement_demo", "negated_verb_spacing_basic")
+
 for _kind in (
     "adj_noun_agreement_demo", "nominal_group_modifier_agreement_basic", "subject_predicate_agreement_basic", "preposition_government_basic", "preposition_nominal_group_government_basic", "numeral_noun_agreement_basic",
     "numeral_nominal_group_agreement_basic", "compound_numeral_nominal_group_agreement_basic", "typed_compound_numeral_nominal_group_agreement_basic", "verb_government_basic", "coordination_comma_basic", "negated_verb_spacing_basic",
 ):
-    register(_kind, "lexicon", ("tokenization",))(_needs_lexicon)
+    register(_kind, "lexicon", ("tokenization", "syntax") if _kind == "coordination_comma_basic" else ("tokenization", "morphology") if _kind in _WORDS_ONLY else ("tokenization", "morphology", "syntax"))(_needs_lexicon)
 
 
 @register("document_style_consistency", "document", ("tokenization", "syntax"))

@@ -106,7 +106,7 @@ def _sql(rule: Rule) -> str | None:
     if k == "separate_particle_hyphenated":
         return _TOK + " select doc_id, (e - length(m))::int as s, e, regexp_replace(m, '-([^-]*)$', ' \\1') as replacement from (select *, regexp_extract(t, '(?i)[а-яё]+-(?:же|бы|ли)$') as m from near where k = 'word') where m <> ''"
     if k == "phraseological_coordination_comma":
-        rows = ", ".join("('" + "', '".join(x.split()) + "')" for x in detectors.PAIRED.replace("\n", " ").split(";"))
+        rows = ", ".join("('" + "', '".join(x.split()) + "')" for x in detectors.PAIRED)
         fold = "replace(lower({0}), 'ё', 'е')"
         return _TOK + f""", w as (select doc_id, t, lead(t) over o as n1, lead(t, 2) over o as n2, lead(t, 3) over o as n3, lead(t, 4) over o as n4, lead(s, 2) over o as mark from tok where k <> 'whitespace' window o as (partition by doc_id order by idx))
           select doc_id, mark::int as s, (mark + 1)::int as e, '' as replacement from w where n2 = ',' and lower(n3) = lower(t) and ({fold.format('t')}, {fold.format('n1')}, {fold.format('n4')}) in (values {rows})"""
