@@ -53,6 +53,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("source")
     d.add_argument("target")
     d.add_argument("--strict", action="store_true")
+    g = sub.add_parser("debug", help="what each layer finds in text files, as JSON")
+    g.add_argument("paths", nargs="+")
     i = sub.add_parser("import", help="the datasets of a registry file as records")
     i.add_argument("registry")
     i.add_argument("--dry-run", action="store_true")
@@ -110,6 +112,11 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
 
         say(*[f"{n}\t{s}\t{k}" for n, s, k in import_all(spark, read_registry(args.registry), args.dry_run)])
         return 0
+    if args.command == "debug":
+        from slovotok.operators.inspection import debug_reports
+
+        say(*[r["report"] for r in debug_reports(_documents(spark, args.paths)).orderBy("doc_id").toLocalIterator()])
+        return 0
     began = time.perf_counter()
     checker = checker.with_suppression(*args.suppress, inline=not args.no_inline)
     if args.lexicon:

@@ -269,6 +269,10 @@ def conflicts(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None
     """(doc_id, kind, s, e, ws, we, form): each conflict once, with the only form of the dictionary that would mend the word from ws
     to we, if there is just one of the same lemma. With commas also the gaps between modifiers where one may be missing."""
     rows = chains(documents, lexicon, verbs, clauses=True)
+    # Every relation needs a known first word, and a known second one but for verbs with prepositions and clauses.
+    second = F.col("w1.p").isNotNull() | F.col("subject").isNotNull()
+    second = second | F.col("w0.p.through").isNotNull() if verbs is not None else second
+    rows = rows.filter(F.col("w0.p").isNotNull() & second)
     found = []
     none = F.lit(None).cast("array<string>")
     apart = Relation("subject_predicate_agreement_basic", predicate_conflict(F.col("subject.p"), F.col("w0.p")), 0, 0, none, F.col("subject.p.numbers"), F.col("subject.p.genders"))

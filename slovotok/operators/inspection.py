@@ -97,3 +97,40 @@ def token_dump(readings: DataFrame, tokens: int = TOKENS, most: int = READINGS)
     """The first tokens of each document of token_readings(), each with its first readings."""
     order = Window.partitionBy("doc_id").orderBy("idx")
     return readings.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= tokens).withColumn("readings", F.slice("readings", 1, most)).drop("n")
+
+
+#: Facts of each layer that a report holds.
+FACTS = 256
+
+
+def debug_reports(docs: DataFrame, tokens: int = TOKENS, facts: int = FACTS) -> DataFrame:
+    """(doc_id, report): one JSON object a document: how many facts each layer has, and the first of each with their places. Made in
+    one fold of the document; the limits say what is shown, all of it is counted."""
+    import json
+
+    import pandas as pd
+
+    from slovotok.operators import coordination, links
+
+    def report(text: str) -> str:
+        around = sentences.zones(text)
+        spans = sentences.sentence_spans(text, around)
+        layers = {
+            "tokens": [{"kind": m.lastgroup, "text": m.group(), "start": m.start(), "end": m.end()} for m in sentences._TOKEN.finditer(text)],
+            "sentences": [{"start": a, "end": b} for a, b in spans],
+            "zones": [{"start": a, "end": b, "kind": k} for a, b, k in around],
+            "islands": [{"sentence": n, "start": a, "end": b, "kind": k} for n, a, b, k in document_islands(text, around, spans)],
+            "clause_markers": [{"start": a, "end": b, "marker": m, "kind": k, "confidence": c} for a, b, m, k, c in sentences.clause_boundaries(text)],
+            "coordination_groups": [{"start": a, "end": b, "members": m, "connectors": c, "repeated": r} for a, b, m, c, r in coordination.groups(text)],
+            "slots": [dict(zip(("start", "end", "left", "right", "island", "marks", "expected", "forbidden", "strength", "blockers"), x, strict=True)) for x in links.document_slots(text)],
+        }
+        limit = {"tokens": tokens}
+        out = {"format": 1, "characters": len(text), "counts": {k: len(v) for k, v in layers.items()}} | {k: v[: limit.get(k, facts)] for k, v in layers.items()}
+        return json.dumps(out, ensure_ascii=False)
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "report": [report(t) for t in batch["text"]]})
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.filter("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, report string")

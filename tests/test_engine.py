@@ -45,6 +45,18 @@ def test_check_command(spark, tmp_path):
     assert [i["rule_id"] for i in json.loads(lines[0])["issues"]] == ["ru.grammar.repeated_word"]
 
 
+def test_debug_command(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Он знал (и молчал), что дождь, снег и ветер пройдут. " * 60, encoding="utf-8")
+    report = json.loads(run(spark, "debug", str(tmp_path / "a.txt"))[1][0])
+    assert report["counts"]["sentences"] == len(report["sentences"]) == 60 and report["counts"]["tokens"] > len(report["tokens"]) == 256
+    assert report["zones"][0]["kind"] == "parenthetical" and report["clause_markers"][0]["marker"] == "что" and report["counts"]["slots"] > len(report["slots"]) == 256
+    assert report["coordination_groups"][0]["members"] == ["дождь", "снег", "ветер"]
+    from slovotok.operators.inspection import debug_reports
+
+    docs = spark.createDataFrame([(1, ""), (2, None)], "doc_id int, text string")
+    assert [json.loads(r["report"])["counts"]["tokens"] for r in debug_reports(docs).collect()] == [0]
+
+
 def test_convert_command_and_round_trip(spark, tmp_path):
     source, target = tmp_path / "in.csv", str(tmp_path / "out")
     source.write_text("form,lemma,pos,grammemes\nмира,мир,NOUN,inan|masc|gent|sing,1,2,,\nмир,мир,NOUN,inan|masc|nomn|sing,1,2,,\nмир,мир,NOUN,inan|masc|nomn|sing,1,2,,\n", encoding="utf-8")
