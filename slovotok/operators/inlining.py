@@ -384,13 +384,16 @@ def flat_tables(records: DataFrame, key: str, fields: list[str], repeated: Itera
     return out
 
 
-def table_sizes(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(table_name, columns, n_rows, n_records) of the flat tables, from one pass."""
+def table_rows(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(table_name, key, path, parent, pos, kind, value, cells): every row of every flat table with its inlined columns, from one
+    walk; pos without its last number is the pos of the parent's row, cells holds (name, value) of each column of the table."""
     nodes, tables = graph_of(records, fields)
-    rows = filled(records, key, nodes, fields, {k: [] for k in range(len(tables))}).groupBy("table_").agg(F.count("*").alias("n_rows"), F.countDistinct("key").alias("n_records"))
-    named = records.sparkSession.createDataFrame([(k, t.name, ",".join(t.columns)) for k, t in enumerate(tables)], "table_ int, table_name string, columns string")
-    sizes = named.join(rows, "table_", "left")
-    return sizes.select("table_name", "columns", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_records", F.lit(0)).alias("n_records"))
+    rows = filled(records, key, nodes, fields, {k: list(t.columns.values()) for k, t in enumerate(tables)})
+    named = records.sparkSession.createDataFrame([(k, t.name, list(t.columns)) for k, t in enumerate(tables)], "table_ int, table_name string, names array<string>")
+    cell = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+    cells = F.zip_with("names", "cols", cell)
+    placed = rows.join(F.broadcast(named), "table_")
+    return placed.select("table_name", F.col("key").alias(key), F.col("path_").alias("path"), F.col("parent_").alias("parent"), "pos", F.col("kind_").alias("kind"), F.col("value_").alias("value"), cells.alias("cells"))
 
 
 #: The child objects of a correction record: name, path, reference among the columns, whether a bare text counts.

@@ -102,8 +102,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p2_tables")
 def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat tables that shared inlining makes of the JSON fields, with their sizes and columns."""
-    return inlining.table_sizes(table(spark, sf_dir, "gec_dataset_regressions"), "rec_no", ["edits", "metadata", "expectations"])
+    """Every row of the flat tables that shared inlining makes of the JSON fields, with its keys and its inlined columns."""
+    return inlining.table_rows(table(spark, sf_dir, "gec_dataset_regressions"), "rec_no", ["edits", "metadata", "expectations"])
 
 
 _UNPACK = r"""

@@ -87,3 +87,12 @@ def test_child_objects_come_from_the_flat_tables(spark, monkeypatch):
     rows = [(1, '{"id": "e", "spans": {"start": 1}, "alternatives": [{"votes": {"n": 1}}]}', "[{}]", '{"input_must_trigger": {"rule_id": "r", "spans": {"start": 2}}}', "x", 1)]
     got = {tuple(r) for r in inlining.child_objects(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert asked and got == {(1, "edit", 1, 0, 0, "e"), (1, "alternative", 1, 1, 0, ""), (1, "vote", 1, 1, 1, ""), (1, "trigger", 1, 0, 0, "r"), (1, "span", 1, 1, 0, "")}
+
+
+def test_rows_of_all_tables(spark):
+    records = spark.createDataFrame([(1, '[{"id": "a", "votes": [{"by": "x", "n": 1}, {"by": "y"}]}, {"id": "b"}]', '{"source": {"name": "s"}}')], "rec_no bigint, edits string, metadata string")
+    rows = {(r["table_name"], tuple(r["pos"])): {c["name"]: c["value"] for c in r["cells"]} for r in inlining.table_rows(records, "rec_no", ["edits", "metadata"]).collect()}
+    assert rows == {
+        ("edits", (1,)): {"id": "a"}, ("edits", (2,)): {"id": "b"}, ("edits_votes", (1, 1)): {"by": "x", "n": "1"}, ("edits_votes", (1, 2)): {"by": "y", "n": None},
+        ("metadata", (1,)): {"source_name": "s"},
+    }
