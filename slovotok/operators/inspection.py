@@ -103,6 +103,41 @@ def token_dump(readings: DataFrame, tokens: int = TOKENS, most: int = READINGS)
 FACTS = 256
 
 
+#: The layers of a report and the fields of a fact of each.
+LAYERS = {
+    "tokens": ("kind", "text", "start", "end"), "sentences": ("start", "end"), "zones": ("start", "end", "kind"), "islands": ("sentence", "start", "end", "kind"),
+    "clause_markers": ("start", "end", "marker", "kind", "confidence"), "coordination_groups": ("start", "end", "members", "connectors", "repeated"),
+    "slots": ("start", "end", "left", "right", "island", "marks", "expected", "forbidden", "strength", "blockers"),
+}
+#: Characters of texts whose reports go back together; a batch holds as many documents as it likes, and their reports much more than their texts.
+PART = 1 << 18
+
+
+def _facts(text: str) -> dict[str, list]:
+    """All facts of each layer of a text, as tuples of the fields of LAYERS."""
+    from slovotok.operators import coordination, links
+
+    around = sentences.zones(text)
+    spans = sentences.sentence_spans(text, around)
+    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in sentences._TOKEN.finditer(text)]
+    return dict(zip(LAYERS, (tokens, spans, around, document_islands(text, around, spans), sentences.clause_boundaries(text), coordination.groups(text), links.document_slots(text)), strict=True))
+
+
+def _parts(batches):
+    """(doc_ids, texts) of as many rows as have PART characters, one at least."""
+    for batch in batches:
+        ids, texts, held = [], [], 0
+        for d, t in zip(batch["doc_id"], batch["text"], strict=True):
+            if ids and held + len(t) > PART:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+            ids.append(d)
+            texts.append(t)
+            held += len(t)
+        if ids:
+            yield ids, texts
+
+
 def debug_reports(docs: DataFrame, tokens: int = TOKENS, facts: int = FACTS) -> DataFrame:
     """(doc_id, report): one JSON object a document: how many facts each layer has, and the first of each with their places. Made in
     one fold of the document; the limits say what is shown, all of it is counted."""
@@ -110,27 +145,26 @@ def debug_reports(docs: DataFrame, tokens: int = TOKENS, facts: int = FACTS) ->
 
     import pandas as pd
 
-    from slovotok.operators import coordination, links
-
     def report(text: str) -> str:
-        around = sentences.zones(text)
-        spans = sentences.sentence_spans(text, around)
-        layers = {
-            "tokens": [{"kind": m.lastgroup, "text": m.group(), "start": m.start(), "end": m.end()} for m in sentences._TOKEN.finditer(text)],
-            "sentences": [{"start": a, "end": b} for a, b in spans],
-            "zones": [{"start": a, "end": b, "kind": k} for a, b, k in around],
-            "islands": [{"sentence": n, "start": a, "end": b, "kind": k} for n, a, b, k in document_islands(text, around, spans)],
-            "clause_markers": [{"start": a, "end": b, "marker": m, "kind": k, "confidence": c} for a, b, m, k, c in sentences.clause_boundaries(text)],
-            "coordination_groups": [{"start": a, "end": b, "members": m, "connectors": c, "repeated": r} for a, b, m, c, r in coordination.groups(text)],
-            "slots": [dict(zip(("start", "end", "left", "right", "island", "marks", "expected", "forbidden", "strength", "blockers"), x, strict=True)) for x in links.document_slots(text)],
-        }
-        limit = {"tokens": tokens}
-        out = {"format": 1, "characters": len(text), "counts": {k: len(v) for k, v in layers.items()}} | {k: v[: limit.get(k, facts)] for k, v in layers.items()}
-        return json.dumps(out, ensure_ascii=False)
+        found, limit = _facts(text), {"tokens": tokens}
+        shown = {k: [dict(zip(LAYERS[k], x, strict=True)) for x in v[: limit.get(k, facts)]] for k, v in found.items()}
+        return json.dumps({"format": 1, "characters": len(text), "counts": {k: len(v) for k, v in found.items()}} | shown, ensure_ascii=False)
 
     def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "report": [report(t) for t in batch["text"]]})
+        for ids, texts in _parts(batches):
+            yield pd.DataFrame({"doc_id": ids, "report": [report(t) for t in texts]})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.filter("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, report string")
+
+
+def debug_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, characters, and how many facts each layer has) of debug_reports(), without what the reports show."""
+    import pandas as pd
+
+    def run(batches):
+        for ids, texts in _parts(batches):
+            yield pd.DataFrame([(d, len(t), *map(len, _facts(t).values())) for d, t in zip(ids, texts, strict=True)], columns=["doc_id", "characters", *LAYERS])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.filter("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, characters bigint, " + ", ".join(f"{c} bigint" for c in LAYERS))

@@ -148,3 +148,20 @@ def test_frames(spark):
     got = {(r["left_key"], r["right_key"]): r["result"] for r in unification.government_frames(docs, lex, {"без": ("genitive",), "к": ("dative",)}).collect()}
     assert got == {("без", "книги"): "match", ("к", "книги"): "conflict", ("к", "книге"): "match"}
     assert unification.agreement_edges(docs, lex).count() == 0
+
+
+def test_debug_counts_in_parts(spark, monkeypatch):
+    import json
+
+    import pandas as pd
+
+    from slovotok.operators import inspection
+
+    texts = ["", "Дом. Сад (и лес), потому что дождь.", "а" * 50, "Он сказал: «Да». Она ушла, и он ушёл."]
+    monkeypatch.setattr(inspection, "PART", 40)
+    batch = pd.DataFrame({"doc_id": range(4), "text": texts})
+    assert [ids for ids, _ in inspection._parts([batch, batch[:0], batch[3:]])] == [[0, 1], [2], [3], [3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    told = {r["doc_id"]: json.loads(r["report"]) for r in inspection.debug_reports(docs).collect()}
+    counted = {r["doc_id"]: r.asDict() for r in inspection.debug_counts(docs).collect()}
+    assert counted == {d: {"doc_id": d, "characters": r["characters"]} | r["counts"] for d, r in told.items()} and len(told) == 4
