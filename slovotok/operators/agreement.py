@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from slovotok.functions.morphology import preposition_cases
 from slovotok.functions.text import is_space, is_word, lookup_key, match_case, token_rows
-from slovotok.operators.disambiguation import disambiguated
+from slovotok.operators.disambiguation import disambiguated, eliminations, tagged
 from slovotok.operators.inspection import islands
 from slovotok.operators.morphology import negated_verbs
 from slovotok.operators.unpack import unpack
@@ -91,31 +91,49 @@ def government(table: DataFrame, key: str = "row_no") -> DataFrame:
     return rows.filter("verb <> ''").groupBy("verb").agg(direct.alias("direct"), pairs.alias("through"))
 
 
-def word_readings(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, idx, word, s, e, linked, r): the words of documents with their readings; linked tells whether a word follows
-    with nothing but space of one line between. Each distinct surface is looked up once."""
+def word_readings(documents: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, idx, word, s, e, linked) of the words of documents, and (word, r), the readings of each surface that is known; linked
+    tells whether a word follows with nothing but space of one line between. Each distinct surface is looked up once."""
     rows = token_rows(documents.filter("text <> ''").select("doc_id", "text"), ["doc_id", "text"], 0, 2).filter(is_word(F.col("t")))
     linked = is_space(F.col("n1")) & ~F.coalesce(F.col("n1").contains("\n"), F.lit(False)) & is_word(F.col("n2"))
     words = rows.select("doc_id", "idx", F.col("t").alias("word"), "s", "e", linked.alias("linked"))
     surfaces = checkpoint(words.select("word").distinct().join(lexicon_by_key(lexicon), lookup_key(F.col("word")) == F.col("key")).select("word", readings_of_fields(F.col("word"), F.col("readings")).alias("r")))
-    memo = F.broadcast(surfaces) if small_enough(surfaces.select(F.to_json("r").alias("j")), "j", 4 << 20) else surfaces
-    return words.join(memo, "word", "left")
+    return words, surfaces
+
+
+def _light(df: DataFrame, column: str) -> bool:
+    """Whether df may be broadcast."""
+    return small_enough(df.select(F.col(column).alias("j")), "j", 4 << 20)
+
+
+def ruled_out(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, idx, word, lemma, pos, case, constraint, evidence) of every reading that the context rules out."""
+    words, surfaces = word_readings(documents, lexicon)
+    tags = tagged(surfaces)
+    found = eliminations(words, tags, _light(tags, "tags"))
+    reading = F.element_at("r", F.col("at") + 1)
+    return found.join(surfaces, "word").select("doc_id", "idx", "word", reading["lemma"].alias("lemma"), reading["pos"].alias("pos"), reading["case"].alias("case"), "constraint", "evidence")
 
 
 def chains(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None, disambiguate: bool = True, clauses: bool = False) -> DataFrame:
     """One row a word: (doc_id, w0..wn), each w a struct of word, start, end and profile, null beyond the chain; `before` is the
     profile of the word before, whatever stands between. With clauses, `subject` is the w of the subject of the clause whose
     predicate w0 is, null for other words and where the clause is blocked. Profiles are made once per distinct word and set of readings."""
-    words = word_readings(documents, lexicon)
-    words = disambiguated(words) if disambiguate else words
-    words = words.withColumn("k", F.xxhash64("word", "r"))
-    distinct = checkpoint(words.filter("r is not null").groupBy("k").agg(F.first("word").alias("word"), F.first("r").alias("r")))
+    words, surfaces = word_readings(documents, lexicon)
+    tags = tagged(surfaces)
+    words = disambiguated(words, tags, _light(tags, "tags")) if disambiguate else words.withColumn("kept", F.lit(None).cast("array<int>"))
+    words = words.withColumn("k", F.xxhash64("word", "kept"))
+    met = words.groupBy("k").agg(F.first("word").alias("word"), F.first("kept").alias("kept")).join(surfaces, "word", "left")
+    # After disambiguation an unknown word has no readings; without it, it has no profile.
+    left = F.when(F.col("kept").isNull(), F.col("r")).otherwise(F.transform("kept", lambda i: F.get("r", i)))
+    none = F.array().cast(surfaces.schema["r"].dataType)
+    distinct = checkpoint(met.select("k", "word", F.coalesce(left, none).alias("r")) if disambiguate else met.filter("r is not null").select("k", "word", "r"))
     memo = distinct.select("k", profile(F.col("word"), F.col("r")).alias("p"))
     if verbs is not None:
         one = F.when(F.col("p.verb") & (F.size("p.lemmas") == 1), F.lower(F.element_at("p.lemmas", 1)))
         memo = memo.withColumn("verb", one).join(verbs, "verb", "left").withColumn("p", F.col("p").withField("direct", F.col("direct")).withField("through", F.col("through"))).select("k", "p")
     memo = F.broadcast(memo) if small_enough(distinct.select(F.to_json("r").alias("j")), "j", 4 << 20) else memo
-    placed = words.drop("r").join(memo, "k", "left").withColumn("w", F.struct("word", "s", "e", "p", "linked"))
+    placed = words.drop("kept").join(memo, "k", "left").withColumn("w", F.struct("word", "s", "e", "p", "linked"))
     order = Window.partitionBy("doc_id").orderBy("idx")
     subject = []
     if clauses:

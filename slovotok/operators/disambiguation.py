@@ -1,21 +1,28 @@
 """Contextual disambiguation: readings of neighbouring words rule each other out.
 
-The passes go left to right and change what later words see, so they are a fold over one document, run in Arrow batches over
-one row a document. A word never loses its last reading, and a pair in which nothing agrees is left alone, so that real errors
+The passes go left to right and change what later words see, so they are a fold over one document. It runs in Arrow batches over
+one row a word: with the words of a document in one row, a batch of documents did not fit into a worker. Readings travel as their tags;
+what is left of them is given by their places. A word never loses its last reading, and a pair in which nothing agrees is left alone, so that real errors
 stay visible. At most PASSES passes are made; a pass that removes nothing is the last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slovotok.functions.morphology import preposition_cases
 
 PASSES = 3
+#: The fields of a reading that the passes look at, and what stands between fields and between readings in a text of them.
+TAGS = ("pos", "case", "number", "gender", "adjective_form", "degree", "tense", "person", "verb_form")
+_FIELD, _READING = "\x1f", "\x1e"
+#: Rows of a batch that goes back.
+ROWS = 10_000
 
 
 def _modifier(r: dict) -> bool:
@@ -109,38 +116,100 @@ def prune(words: list[str], linked: list[bool], readings: list[list[dict]]) -> l
     return out
 
 
-def _per_document(words: DataFrame) -> DataFrame:
-    return words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "word", "s", "e", "linked", "r"))).alias("ws"))
-
-
-def disambiguated(words: DataFrame) -> DataFrame:
-    """words(doc_id, idx, word, s, e, linked, r) with the readings that are left."""
+def tagged(memo: DataFrame) -> DataFrame:
+    """(word, tags): what prune() looks at in the readings of memo(word, r), in their order, as one text."""
+    one = lambda r: F.concat_ws(_FIELD, *[F.coalesce(r[f], F.lit("")) for f in TAGS])
+    return memo.select("word", F.array_join(F.transform("r", one), _READING).alias("tags"))
+
+
+@lru_cache(maxsize=1 << 16)
+def _parsed(tags: str | None) -> list[dict]:
+    if tags is None:
+        return []
+    return [dict(zip(TAGS, (v or None for v in r.split(_FIELD)), strict=True)) | {"at": i} for i, r in enumerate(tags.split(_READING))]
+
+
+def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are in order of doc_id, as tables of whole documents: no more is held than a batch and the document at its end."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
+        if not ids:
+            continue
+        cut = len(ids)
+        while cut and ids[cut - 1] == ids[-1]:
+            cut -= 1
+        if held and (cut or last != ids[-1]):
+            if ids[0] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            if cut:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+        last = ids[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _in_order(words: DataFrame, memo: DataFrame, small: bool) -> DataFrame:
+    """The words of each document together and in order, one row a word, so that a batch is small whatever a document holds;
+    tags stand in for the readings. A small memo is broadcast, so that words stay in the order in which texts were cut."""
+    columns = ("doc_id", "idx", "word", "s", "e", "linked", "tags")
+    if small:
+        return words.join(F.broadcast(memo), "word", "left").select(*columns)
+    return words.join(memo, "word", "left").select(*columns).repartition("doc_id").sortWithinPartitions(*columns[:-1])
+
+
+def _pruned(part: pa.Table) -> Iterator[tuple[int, list[str], list[list[dict]], list[tuple[int, dict, str, int]]]]:
+    """(first row, words, readings left, removals) of each document of a table of documents_of()."""
+    ids, words, linked, tags = (part.column(c).to_pylist() for c in ("doc_id", "word", "linked", "tags"))
+    a = 0
+    while a < len(ids):
+        b = a + 1
+        while b < len(ids) and ids[b] == ids[a]:
+            b += 1
+        left = [_parsed(t) for t in tags[a:b]]
+        gone = prune(words[a:b], [bool(x) for x in linked[a:b]], left)
+        yield a, words[a:b], left, gone
+        a = b
+
+
+def disambiguated(words: DataFrame, memo: DataFrame, small: bool) -> DataFrame:
+    """words(doc_id, idx, word, s, e, linked), as token_rows() makes them, with `kept`: the places of the readings of memo(word, tags)
+    that are left, null where all are."""
     kind = words.schema["doc_id"].dataType.simpleString()
-    reading = words.schema["r"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, ws in zip(batch["doc_id"], batch["ws"], strict=True):
-                left = [list(w["r"]) if w["r"] is not None else [] for w in ws]
-                prune([w["word"] for w in ws], [bool(w["linked"]) for w in ws], left)
-                rows += [(doc, w["idx"], w["word"], w["s"], w["e"], w["linked"], r) for w, r in zip(ws, left, strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", "idx", "word", "s", "e", "linked", "r"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in documents_of(batches):
+            kept: list[list[int] | None] = [None] * part.num_rows
+            for at, _, left, gone in _pruned(part):
+                for i in {i for i, *_ in gone}:
+                    kept[at + i] = [r["at"] for r in left[i]]
+            made = part.drop_columns("tags").append_column("kept", pa.array(kept, pa.list_(pa.int32())))
+            yield from made.to_batches(max_chunksize=ROWS)
 
-    return _per_document(words).mapInPandas(run, f"doc_id {kind}, idx int, word string, s int, e int, linked boolean, r {reading}")
+    return _in_order(words, memo, small).mapInArrow(run, f"doc_id {kind}, idx int, word string, s int, e int, linked boolean, kept array<int>")
 
 
-def eliminations(words: DataFrame) -> DataFrame:
-    """(doc_id, idx, word, lemma, pos, case, constraint, evidence) of every reading that is ruled out."""
+def eliminations(words: DataFrame, memo: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, idx, word, at, constraint, evidence) of every reading that is ruled out, `at` its place in memo(word, tags)."""
     kind = words.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, ws in zip(batch["doc_id"], batch["ws"], strict=True):
-                left = [list(w["r"]) if w["r"] is not None else [] for w in ws]
-                gone = prune([w["word"] for w in ws], [bool(w["linked"]) for w in ws], left)
-                rows += [(doc, ws[i]["idx"], ws[i]["word"], r["lemma"], r["pos"], r["case"], why, ws[by]["word"]) for i, r, why, by in gone]
-            yield pd.DataFrame(rows, columns=["doc_id", "idx", "word", "lemma", "pos", "case", "constraint", "evidence"])
-
-    return _per_document(words).mapInPandas(run, f"doc_id {kind}, idx int, word string, lemma string, pos string, case string, constraint string, evidence string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in documents_of(batches):
+            rows, evidence, ats, why = [], [], [], []
+            for at, words_, _, gone in _pruned(part):
+                for i, r, reason, by in gone:
+                    rows.append(at + i)
+                    ats.append(r["at"])
+                    why.append(reason)
+                    evidence.append(words_[by])
+            made = part.select(["doc_id", "idx", "word"]).take(pa.array(rows, pa.int64()))
+            made = made.append_column("at", pa.array(ats, pa.int32())).append_column("constraint", pa.array(why, pa.string())).append_column("evidence", pa.array(evidence, pa.string()))
+            yield from made.to_batches(max_chunksize=ROWS)
+
+    return _in_order(words, memo, small).mapInArrow(run, f"doc_id {kind}, idx int, word string, at int, constraint string, evidence string")

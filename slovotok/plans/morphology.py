@@ -170,12 +170,11 @@ def word_formations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("eliminated_readings")
 def eliminated_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings that the context rules out in the learner sentences, by constraint and part of speech."""
-    from slovotok.operators.agreement import word_readings
-    from slovotok.operators.disambiguation import eliminations
+    from slovotok.operators.agreement import ruled_out
 
     latest = F.max_by("text", F.struct(F.coalesce(F.col("loaded_at").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     rows = table(spark, sf_dir, "sentences").groupBy(F.col("id").alias("doc_id")).agg(latest.alias("text"))
-    found = eliminations(word_readings(rows, _whole_lexicon(spark, sf_dir)))
+    found = ruled_out(rows, _whole_lexicon(spark, sf_dir))
     return found.groupBy("constraint", "pos").agg(F.count("*").alias("n"))
 
 
