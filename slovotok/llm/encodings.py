@@ -2,8 +2,12 @@
 
 States: clean text, one state per encoding pair (bytes of one encoding decoded as another, also twice), and lost text
 (letters that became question marks or replacement characters). Each state emits a character given the one before it; the
-probabilities are trained by garbling a sample of ordinary documents, and text made up from the alphabets of other languages
-and from signs, in each state's way. Viterbi labels characters, and each labelled span gets its state's inverse transform.
+probabilities are trained by garbling all ordinary documents, and text made up from the alphabets of other languages and from
+signs, in each state's way. Viterbi labels characters, and each labelled span gets its state's inverse transform.
+
+Ordinary documents are those of PLAIN characters only; each counts, as a whole. They need not be garbled one by one: every
+state writes each character in one way, so the pairs of characters of garbled text follow from the pairs of the text. Executors
+count those, and the pairs that arise where a state drops characters (Pairs); the driver gets sums alone.
 
 Most texts need no Viterbi: leaving and re-entering the clean state costs a fixed amount, so a path can only leave it where
 the summed gain of the best garbled state over the clean one exceeds that amount somewhere. That bound (a running sum less
@@ -11,14 +15,14 @@ its running minimum) is exact, covers every character of every text, and is comp
 runs on the stretches that pass it.
 
 Defined results: null and empty texts are clean; texts are handled whole, whatever their length; repeated rows each give a
-result; characters that were lost stay lost; other columns are ignored. The training sample is bounded by SAMPLE_DOCS.
+result; characters that were lost stay lost; other columns are ignored. The table is read twice, to train and to search.
 """
 
 from __future__ import annotations
 
 import codecs
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,17 +32,13 @@ from pyspark.sql import functions as F
 
 from slovotok.llm import plaintext
 
-#: Documents from which the character model is trained: the ones with the smallest hash of their id among plain ones.
-SAMPLE_DOCS = 300
-#: Characters of each of them that are used for training (the model, not the search, is bounded).
-SAMPLE_CHARS = 1500
 #: Nats that a path pays to leave the clean state, and to come back.
 ENTER, LEAVE = 9.0, 4.0
 #: The same for a state of a pair of encodings that is seldom met.
 ENTER_RARE = 17.0
 #: The same for a state whose garbled text is Cyrillic letters too, as a misspelling may look like it.
 ENTER_LETTERS = 13.0
-#: Characters of a slice in which the bound is computed.
+#: Characters of a slice in which pairs are counted and the bound is computed.
 SLICE = 1 << 19
 #: A span is mended in parts of fewer characters.
 PIECE = 400
@@ -55,12 +55,18 @@ PAIRS = {
 }
 TWICE = (("cp1251", "cp1251"), ("cp1252", "cp1252"), ("cp1251", "cp1252"), ("cp1252", "cp1251"), ("latin-1", "latin-1"), ("koi8-r", "koi8-r"), ("cp866", "cp866"))
 
-#: What the made text of one language, and of one kind of signs, weighs against the sample.
+#: Encodings of single bytes that text is garbled from.
+SINGLE = tuple(t for t in PAIRS if t != "utf-8")
+
+#: What the made text of one language, and of one kind of signs, weighs against the documents.
 LANGUAGE_SHARE, SIGNS_SHARE = 0.004, 0.03
 #: Every language's text is garbled with so many of its characters to train the garbled states.
 LANGUAGE_CHARS = 1_500
 _CAPITALS = "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"
-_PLAIN = r"^[\x{0410}-\x{044F}\x{0401}\x{0451}\n\x20-\x7E«»—–…№•→]+$"
+#: The characters of ordinary documents.
+PLAIN = "".join(map(chr, (10, *range(0x20, 0x7F), *range(0x410, 0x450)))) + "Ёё«»—–…№•→"
+#: What all documents weigh once more in capitals, with stress marks, and with look-alikes (one of three letters, all, one of three capitals).
+CAPITALS_SHARE, STRESSED_SHARE, ALIKE_SHARE, ALL_ALIKE_SHARE, ALIKE_CAPITALS_SHARE = 0.03, 0.03, 0.04, 0.01, 0.01
 
 
 @lru_cache(maxsize=32)
@@ -116,15 +122,17 @@ def enter_costs() -> list[float]:
 
 
 def _count(texts: list[tuple[str, float]], lookup: np.ndarray, size: int) -> np.ndarray:
-    m = np.zeros(size * size, np.float32)
+    m = np.zeros(size * size)
     for text, weight in texts:
         ids = lookup[np.frombuffer(("\n" + text).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-        m += np.bincount(ids[:-1] * size + ids[1:], minlength=size * size).astype(np.float32) * weight
+        m += np.bincount(ids[:-1] * size + ids[1:], minlength=size * size) * weight
     return m.reshape(size, size)
 
 
 _ASCII = frozenset(map(chr, range(127)))
 _WESTERN = _ASCII | set(_decoding("cp1252"))
+#: Characters are lost in a conversion to ASCII, or to the encoding of Western Europe, which has quotation marks and dashes.
+LOST = ((_ASCII, 0.7), (_WESTERN, 0.3))
 
 
 def _log_table(m: np.ndarray, floor: float) -> np.ndarray:
@@ -313,8 +321,18 @@ class Model:
         return "".join([*out, text[last:]])
 
 
+def _worn(name: str, text: str) -> list[tuple[Callable[[str], str], float]]:
+    """What happens on the way to text garbled in a state's way, with weights: nothing, or characters are lost or evened out."""
+    out: list[tuple[Callable[[str], str], float]] = [(lambda t: t, 1.0)]
+    if "latin-1" not in name and any("\x80" <= c <= "\x9f" for c in text):
+        out += [(lambda t: "".join("\ufffd" if "\x80" <= c <= "\x9f" else c for c in t), 0.2), (lambda t: "".join(c for c in t if not "\x80" <= c <= "\x9f"), 0.2)]
+    if "\xa0" in text:
+        out.append((lambda t: t.replace("\xa0", " ").replace("\xad", ""), 0.2))
+    return out
+
+
 def _spoil(texts: list[tuple[str, float]], name: str, steps: tuple[tuple[str, str], ...]) -> list[tuple[str, float]]:
-    """Training texts garbled in a state's way, also with characters lost or evened out on the way."""
+    """Made texts garbled in a state's way, also with characters lost or evened out on the way."""
     out = []
     for t, w in texts:
         if steps[0][0] != "utf-8":
@@ -325,14 +343,134 @@ def _spoil(texts: list[tuple[str, float]], name: str, steps: tuple[tuple[str, st
             t = kept
         for true, wrong in steps:
             t = garble(t, true, wrong)
-        out.append((t, w))
-        if "latin-1" not in name and any("\x80" <= c <= "\x9f" for c in t):
-            out += [("".join("\ufffd" if "\x80" <= c <= "\x9f" else c for c in t), 0.2 * w), ("".join(c for c in t if not "\x80" <= c <= "\x9f"), 0.2 * w)]
-        if "\xa0" in t:
-            out.append((t.replace("\xa0", " ").replace("\xad", ""), 0.2 * w))
+        out += [(f(t), share * w) for f, share in _worn(name, t)]
+    return out
+
+
+def _spoilt_characters(characters: str, case: Callable[[str], str], name: str, steps: tuple[tuple[str, str], ...]) -> list[tuple[list[str], float]]:
+    """What each of the characters, in a case, becomes in a state's way, with weights; empty where it is dropped."""
+    if name.startswith("lost:"):
+        return [(["".join(x if x in kept else name[-1] for x in case(c)) for c in characters], share) for kept, share in LOST]
+    out = []
+    for c in characters:
+        t = case(c)
+        if steps[0][0] != "utf-8":
+            t = "".join(x for x in t if x in _encoding(steps[0][0]))
+        for true, wrong in steps:
+            t = garble(t, true, wrong)
+        out.append(t)
+    return [([f(t) for t in out], share) for f, share in _worn(name, "".join(out))]
+
+
+@lru_cache(maxsize=4)
+def _drops(characters: str) -> dict[tuple[str, bytes], int]:
+    """The sets of characters that states drop, as (encoding, a byte for each character), numbered."""
+    out: dict[tuple[str, bytes], int] = {}
+    for name, steps in states():
+        if steps and steps[0][0] != "utf-8":
+            for case in (str, str.upper):
+                for images, _ in _spoilt_characters(characters, case, name, steps):
+                    if not all(images):
+                        out.setdefault((steps[0][0], bytes(not x for x in images)), len(out))
     return out
 
 
+class Pairs:
+    """How often one of the characters follows another in texts of nothing else, whole texts, each after a line break.
+
+    Texts are told apart by the encodings of single bytes that can write them (97 % of their characters, and some beyond ASCII).
+    For each set of characters that a state drops, the pairs that meet where it does are counted too."""
+
+    def __init__(self, characters: str) -> None:
+        self.characters, self.size = characters, len(characters) + 2
+        self.lookup = np.zeros(0x110000, np.uint8 if self.size < 256 else np.uint16)
+        self.lookup[[ord(c) for c in characters]] = np.arange(1, self.size - 1)
+        self.drops = _drops(characters)
+        self.counts = np.zeros(((1 << len(SINGLE)) + len(self.drops), self.size * self.size), np.int64)
+        flags = lambda values: np.array([0, *values, 0], np.int32)
+        self._beyond = flags(not c.isascii() for c in characters)
+        self._unknown = [flags(c not in _encoding(e) for c in characters) for e in SINGLE]
+        self._dropped = [(SINGLE.index(e), flags(d).astype(bool)) for e, d in self.drops]
+
+    def add(self, texts: list[str]) -> None:
+        """Counts the texts that have no other characters, some at a time."""
+        for at, to in slices(texts):
+            self._add(texts[at:to])
+
+    def _add(self, texts: list[str]) -> None:
+        # A sign before each text and after the last one, which no text contains, keeps them apart.
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+        ids = self.lookup[np.frombuffer("".join(["\0\n" + t for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.intp)
+        starts = np.cumsum(lengths) - lengths
+        ids[starts] = self.size - 1
+        ordinary = np.minimum.reduceat(ids, starts) > 0
+        if not ordinary.any():
+            return
+        if not ordinary.all():
+            ids, lengths = ids[np.repeat(ordinary, lengths)], lengths[ordinary]
+            starts = np.cumsum(lengths) - lengths
+        beyond, kinds = np.add.reduceat(self._beyond[ids], starts), np.zeros(len(starts), np.int64)
+        for bit, unknown in enumerate(self._unknown):
+            lacks = np.add.reduceat(unknown[ids], starts)
+            kinds |= ((lengths - 2 - lacks >= 0.97 * (lengths - 2)) & (beyond > lacks)).astype(np.int64) << bit
+        pair = ids * self.size
+        pair[:-1] += ids[1:]
+        pair[-1] += self.size - 1
+        present = np.unique(kinds)
+        for kind in present:
+            some = pair if len(present) == 1 else pair[np.repeat(kinds == kind, lengths)]
+            self.counts[kind] += np.bincount(some, minlength=self.size * self.size)
+        ids = np.append(ids, self.size - 1)
+        lengths[-1] += 1
+        for k, (bit, dropped) in enumerate(self._dropped, 1 << len(SINGLE)):
+            able = kinds >> bit & 1 > 0
+            if able.any():
+                out = dropped[ids] if able.all() else dropped[ids] & np.repeat(able, lengths)
+                edge = np.flatnonzero(out[1:] != out[:-1])
+                self.counts[k] += np.bincount(ids[edge[::2]] * self.size + ids[edge[1::2] + 1], minlength=self.size * self.size)
+
+    def between(self, encoding: str = "utf-8", images: list[str] | None = None) -> np.ndarray:
+        """Pairs in the texts that an encoding can write; of what is left where the images of characters are empty."""
+        kinds = 1 << len(SINGLE)
+        some = [k for k in range(kinds) if encoding == "utf-8" or k >> SINGLE.index(encoding) & 1]
+        m = self.counts[some].sum(0)
+        if images and not all(images):
+            dropped = bytes(not x for x in images)
+            at = np.array([False, *map(bool, dropped), False])
+            m = m.reshape(self.size, self.size)
+            m[at] = m[:, at] = 0
+            m = m.ravel() + self.counts[kinds + self.drops[encoding, dropped]]
+        return m.reshape(self.size, self.size)[1:-1, 1:-1]
+
+    def written(self, images: list[list[str]], lookup: np.ndarray, size: int, encoding: str = "utf-8") -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the text in which each character is written as its image: between characters, and within images. Of several
+        lists of images the next one holds for the next character, and each is where a text begins equally often."""
+        m = self.between(encoding, images[0])
+        a, b = np.nonzero(m)
+        n, often = m[a, b] / len(images), m.sum(0) / len(images)
+        ends = [np.array([[lookup[ord(x[k])] if x else 0 for x in some] for some in images], np.int64) for k in (0, -1)]
+        place = ends[1][:, a] * size + np.roll(ends[0], -1, 0)[:, b]
+        across = np.bincount(place.ravel(), np.tile(n, len(images)), size * size).reshape(size, size)
+        within = np.zeros((size, size))
+        for some in images:
+            for c, x in enumerate(some):
+                for y, z in zip(x, x[1:]):
+                    within[lookup[ord(y)], lookup[ord(z)]] += often[c]
+        return across, within
+
+
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(from, to) of texts that hold no more than SLICE characters together, or of a single one."""
+    at = 0
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (held == 0 or held + len(texts[to]) <= SLICE):
+            held += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
 def _grouped(tables: np.ndarray, base: np.ndarray) -> list[list[int]]:
     """Groups of states whose largest gain is clearly negative on ordinary text, so that one sum bounds them all."""
     often = base / max(base.sum(), 1)
@@ -349,70 +487,91 @@ def _grouped(tables: np.ndarray, base: np.ndarray) -> list[list[int]]:
     return groups
 
 
-def train(sample: list[str]) -> Model:
-    """Trains the model on ordinary texts; sorted, so that the result does not depend on their order."""
+def train(texts: list[str]) -> Model:
+    """Trains the model on ordinary texts of any characters."""
+    pairs = Pairs("".join(sorted(set("\n".join([*texts, ""])))))
+    pairs.add(texts)
+    return trained(pairs)
+
+
+def _typed(pairs: Pairs, lookup: np.ndarray, size: int) -> np.ndarray:
+    """Pairs of the documents as they are, and as others type."""
+    characters, upper = pairs.characters, [c.upper() for c in pairs.characters]
+    m = np.zeros((size, size))
+    for share, images in ((1.0, [list(characters)]), (CAPITALS_SHARE, [upper]), (STRESSED_SHARE, [[plaintext.stressed(c, i) for c in characters] for i in range(plaintext.STRESSED_PERIOD)])):
+        m += share * sum(pairs.written(images, lookup, size))
+    invisible = [lookup[ord(c)] for c in plaintext.INVISIBLE]
+    for share, some, every in ((ALIKE_SHARE, characters, 3), (ALL_ALIKE_SHARE, characters, 1), (ALIKE_CAPITALS_SHARE, upper, 3)):
+        across, within = pairs.written([["".join(plaintext.look_alike(x, i, every) for x in c) for c in some] for i in range(plaintext.ALIKE_PERIOD)], lookup, size)
+        m += share * (within + across * (1 - 1 / plaintext.INVISIBLE_EVERY))
+        for x in invisible:
+            each = share / plaintext.INVISIBLE_EVERY / len(invisible)
+            m[:, x] += each * across.sum(1)
+            m[x] += each * across.sum(0)
+    return m
+
+
+def trained(pairs: Pairs) -> Model:
+    """The model of the pairs of ordinary texts; of made texts, if there are none."""
     made = plaintext.languages()
-    sample = sorted(sample) or [t for _, t in made]
-    total = sum(map(len, sample))
+    total = int(pairs.between().sum())
+    if not total:
+        return train([t for _, t in made])
     capitals = " ".join(a + b + a for a in _CAPITALS for b in _CAPITALS)
-    upper = [(t.upper(), 0.15) for t in sample[::5]]
-    typed = [(f(t), 0.15) for t in sample[::5] for f in (plaintext.look_alikes, plaintext.stressed)]
-    for every in (1, 3):
-        russian = plaintext.look_alikes(dict(made)["Russian"], every)
-        typed += [(russian, LANGUAGE_SHARE * total / len(russian)), *((plaintext.look_alikes(t, every), 0.05) for t in sample[::5])]
-    others = [(t, LANGUAGE_SHARE * total / len(t)) for _, t in made] + [(t, SIGNS_SHARE * total / len(t)) for t in plaintext.drawings()]
-    typed += [(plaintext.look_alikes(t.upper()), 0.05) for t in sample[::5]]
-    clean = [*((t, 1.0) for t in sample), *upper, *typed, *others, (capitals, 0.005 * total / len(capitals))]
-    short = [*((t, 4.0) for t in sample[::4]), *upper, *((t[:LANGUAGE_CHARS], LANGUAGE_SHARE * total / LANGUAGE_CHARS) for _, t in made)]
+    russian = [plaintext.look_alikes(dict(made)["Russian"], every) for every in (1, 3)]
+    others = [(t, LANGUAGE_SHARE * total / len(t)) for t in (*russian, *(t for _, t in made))] + [(t, SIGNS_SHARE * total / len(t)) for t in plaintext.drawings()]
+    clean = [*others, (capitals, 0.005 * total / len(capitals))]
+    short = [(t[:LANGUAGE_CHARS], LANGUAGE_SHARE * total / LANGUAGE_CHARS) for _, t in made]
     # Only these characters can come from a wrong encoding; all others are alike.
-    alphabet = {c for name in WRONG for c in _decoding(name)} | {"\ufffd"}
-    spoilt: list[list[tuple[str, float]]] = []
-    for name, steps in states():
-        if name.startswith("lost:"):
-            # Lost in a conversion to ASCII, or to the encoding of Western Europe, which has quotation marks and dashes.
-            texts = [("".join(name[-1] if c not in kept else c for c in t), w * share) for kept, share in ((_ASCII, 0.7), (_WESTERN, 0.3)) for t, w in short]
-        else:
-            texts = _spoil(short, name, steps)
-        spoilt.append(texts)
-    letters = "".join(sorted(alphabet | set("".join(t for t, _ in clean if t.isascii()))))
+    letters = "".join(sorted({c for name in WRONG for c in _decoding(name)} | {"\ufffd"}))
     size = len(letters) + 1
     lookup = np.zeros(0x110000, np.uint16)
     lookup[[ord(c) for c in letters]] = np.arange(1, size)
-    base = _count(clean, lookup, size)
+    base = _count(clean, lookup, size) + _typed(pairs, lookup, size)
     tables = [_log_table(base, 1 / size)]
     tables[0][1:, 1:] = np.minimum(np.maximum(tables[0][1:, 1:], plaintext.typed_floor(letters)), plaintext.typed_ceiling(letters))
     tables[0][:, 0] = -7.0  # A character that no state knows is most likely typed as such.
-    for (name, steps), texts in zip(states(), spoilt, strict=True):
-        t = _log_table(_count(texts, lookup, size), 1 / size)
+    for name, steps in states():
+        texts = _spoil(short, name, steps) if steps else [("".join(c if c in kept else name[-1] for c in t), w * share) for kept, share in LOST for t, w in short]
+        m = _count(texts, lookup, size)
+        for case, weight in ((str, 1.0), (str.upper, CAPITALS_SHARE)):
+            for images, share in _spoilt_characters(pairs.characters, case, name, steps):
+                m += weight * share * sum(pairs.written([images], lookup, size, steps[0][0] if steps else "utf-8"))
+        t = _log_table(m, 1 / size)
         t[:, 0] = -14.0
         # What a state leaves as it is tells nothing about it.
         if steps:
             same = [i + 1 for i, c in enumerate(letters) if (steps[0][0] == "utf-8" and c.isascii()) or (steps[0][0] != "utf-8" and c in _encoding(steps[0][0]) and garble(c, *steps[0]) == c)]
         else:
             same = [i + 1 for i, c in enumerate(letters) if c.isascii() and c != name[-1]]
-        pairs = np.ix_([0, *same], [0, *same])
-        t[pairs] = np.minimum(t[pairs], tables[0][pairs]) - 0.1
+        at = np.ix_([0, *same], [0, *same])
+        t[at] = np.minimum(t[at], tables[0][at]) - 0.1
         tables.append(t)
     stacked = np.stack(tables).astype(np.float32)
     return Model(letters, stacked, _grouped(stacked, base))
 
 
-def sample_texts(documents: DataFrame) -> list[str]:
-    """The bounded training sample: plain documents with the smallest hashes of their ids. Of large tables only the share with
-    hashes small enough to hold about four samples is looked through, so that what tasks send does not grow with the table."""
-    hashed = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"), "text")
-    share = min(1.0, 4 * SAMPLE_DOCS / max(documents.count(), 1))
-    for most in (int(share * (1 << 31)), 1 << 31):
-        plain = hashed.filter((F.col("h") < most) & F.col("text").rlike(_PLAIN)).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        found = [r["text"] for r in plain.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
-        if len(found) == SAMPLE_DOCS or most == 1 << 31:
-            break
-    return found
+def counted(documents: DataFrame) -> Pairs:
+    """The pairs of characters of all ordinary documents, counted where they are; counts alone are sent and summed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = Pairs(PLAIN)
+        for batch in batches:
+            pairs.add(batch["text"].tolist())
+        counts = pairs.counts.ravel()
+        place = np.flatnonzero(counts)
+        yield pd.DataFrame({"place": place, "n": counts[place]})
+
+    rows = documents.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("text")
+    sums = rows.mapInPandas(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    pairs = Pairs(PLAIN)
+    pairs.counts.ravel()[sums["place"].to_numpy()] = sums["n"].to_numpy()
+    return pairs
 
 
 def garbled(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, encodings, n_garbled, restored) of each text with a garbled span."""
-    packed = (model or train(sample_texts(documents))).packed()
+    packed = (model or trained(counted(documents))).packed()
     shared = documents.sparkSession.sparkContext.broadcast(packed)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -421,12 +580,7 @@ def garbled(documents: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             found = []
             ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            at = 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (held == 0 or held + len(texts[to]) <= SLICE):
-                    held += len(texts[to])
-                    to += 1
+            for at, to in slices(texts):
                 some = texts[at:to]
                 starts = np.cumsum([0, *map(len, some[:-1])])
                 whole = "".join(some)
@@ -439,7 +593,6 @@ def garbled(documents: DataFrame, model: Model | None = None) -> DataFrame:
                     if spans:
                         names = sorted({m.names[s] for _, _, s in spans})
                         found.append((ids[at + i], names, sum(b - a for a, b, _ in spans), m.restored(some[i], spans)))
-                at = to
             yield pd.DataFrame(found, columns=["doc_id", "encodings", "n_garbled", "restored"])
 
     rows = documents.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text")

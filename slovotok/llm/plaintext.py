@@ -105,27 +105,38 @@ def signs(seed: int) -> str:
     return " ".join(out)
 
 
-def stressed(text: str) -> str:
-    """The text with stress marks, and with quotation marks of other kinds."""
-    out, k = [], 0
-    for i, c in enumerate(text):
-        if c in "«»":
-            c = _QUOTES[k % len(_QUOTES)][c == "»"]
-            k += c == "»"
-        out.append(c + _STRESS if i % 5 == 0 and c.lower() in "аеиоуыэюя" else c)
-    return "".join(out)
+#: After so many places, what is typed for a character is the same again.
+STRESSED_PERIOD, ALIKE_PERIOD = 5 * len(_QUOTES), 210
+
+
+def stressed(c: str, place: int) -> str:
+    """A character at a place with a stress mark, or as a quotation mark of another kind."""
+    if c in ("«", "»"):
+        return _QUOTES[place // 5 % len(_QUOTES)][c == "»"]
+    return c + _STRESS if place % 5 == 0 and c.lower() in "аеиоуыэюя" else c
+
+
+_SWAPS = {" ": " \xa0\u202f\u2009\u3000\u2002\u2007", "а": "аαa", "е": "еe", "о": "оοo", "с": "сc", "р": "рρp", "х": "хx", "у": "уy", "к": "кk", "А": "АΑA", "В": "ВΒB", "Е": "ЕΕE", "К": "КΚK", "М": "МΜM", "Н": "НΗH", "О": "ОΟO", "Р": "РΡP", "С": "СC", "Т": "ТΤT", "Х": "ХΧX",
+          ",": ",\uff0c", ".": ".\uff0e", "!": "!\uff01", "?": "?\uff1f", "-": "-\u2011\uff0d", "й": ("й", "и\u0306"), "ё": ("ё", "е\u0308", "ë")}
+#: Invisible characters, and how often there is one.
+INVISIBLE, INVISIBLE_EVERY = "\xad\u200b\u200c\u200d\u2060\ufeff\u200e", 23
+
+
+def look_alike(c: str, place: int, every: int) -> str:
+    """A character at a place as one of another alphabet, or as another space, hyphen or mark, that looks the same (one of `every`)."""
+    other = _SWAPS.get(c)
+    if not other or place % every:
+        return c
+    return other[-1 if every == 1 and c.isalpha() else (place * 7 // 5) % len(other)]
 
 
 def look_alikes(text: str, every: int = 3) -> str:
-    """The text with letters of other alphabets, spaces, hyphens and marks that look the same (one of `every`), and invisible characters."""
-    swaps = {" ": " \xa0\u202f\u2009\u3000\u2002\u2007", "а": "аαa", "е": "еe", "о": "оοo", "с": "сc", "р": "рρp", "х": "хx", "у": "уy", "к": "кk", "А": "АΑA", "В": "ВΒB", "Е": "ЕΕE", "К": "КΚK", "М": "МΜM", "Н": "НΗH", "О": "ОΟO", "Р": "РΡP", "С": "СC", "Т": "ТΤT", "Х": "ХΧX",
-             ",": ",\uff0c", ".": ".\uff0e", "!": "!\uff01", "?": "?\uff1f", "-": "-\u2011\uff0d", "й": ("й", "и\u0306"), "ё": ("ё", "е\u0308", "ë")}
-    extra, out = "\xad\u200b\u200c\u200d\u2060\ufeff\u200e", []
+    """The text with such characters, and invisible ones."""
+    out = []
     for i, c in enumerate(text):
-        other = swaps.get(c)
-        out.append(other[-1 if every == 1 and c.isalpha() else (i * 7 // 5) % len(other)] if other and i % every == 0 else c)
-        if i % 23 == 22:
-            out.append(extra[(i // 23) % len(extra)])
+        out.append(look_alike(c, i, every))
+        if i % INVISIBLE_EVERY == INVISIBLE_EVERY - 1:
+            out.append(INVISIBLE[(i // INVISIBLE_EVERY) % len(INVISIBLE)])
     return "".join(out)
 
 

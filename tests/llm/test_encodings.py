@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from slovotok.llm import encodings, plaintext
@@ -137,3 +138,47 @@ def test_long_spans_are_mended_as_short_ones(model):
     wrong = [encodings.garble(p + " ", "utf-8", w) for p, w in zip(parts, ("cp1252", "cp1251", "cp1252"))]
     got = model.restored("".join(wrong), [(0, len("".join(wrong)), state)])
     assert sum(w in got for w in parts[1].split()) > len(parts[1].split()) // 2
+
+
+def test_all_of_every_ordinary_document_trains_the_model(spark):
+    rng = random.Random(7)
+    # What is usual only after the first 1,500 characters is ordinary too.
+    late = ["".join(c.upper() if i % 2 else c for i, c in enumerate(text(rng, 6))) for _ in range(40)]
+    rows = [(i, text(rng, 20)[:1600] + " " + t) for i, t in enumerate(late)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert encodings.garbled(df).count() == 0
+    # Also of more than a few hundred documents, wherever they are; others do not count.
+    texts = [t for _, t in rows] + [f"{sentence(rng)}\n№ {i}" for i in range(900)]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None), (-2, ""), (-3, "naïve"), (-4, "a\0b")], "doc_id bigint, text string")
+    pairs = encodings.counted(df.repartition(3))
+    alone = encodings.Pairs(encodings.PLAIN)
+    for t in reversed(texts):
+        alone.add([t])
+    assert pairs.between().sum() == sum(map(len, texts)) and (pairs.counts == alone.counts).all()
+
+
+def test_pairs_of_garbled_texts_follow_from_pairs():
+    rng = random.Random(1)
+    some = (encodings.PLAIN, "абвгдеёАБВНПРЭЯШноя «»—–…№•→\n .,!?-", "абвгдеж нопрстуф А—", "abc —", "xyz")
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(1, 60))) for chars in some for _ in range(40)]
+    pairs = encodings.Pairs(encodings.PLAIN)
+    pairs.add(texts)
+    letters = sorted({c for name in encodings.WRONG for c in encodings._decoding(name)} | {"�"})
+    size = len(letters) + 1
+    lookup = np.zeros(0x110000, np.uint16)
+    lookup[[ord(c) for c in letters]] = np.arange(1, size)
+    for name, steps in encodings.states():
+        true = steps[0][0] if steps else "utf-8"
+        known = lambda t, true=true: "".join(c for c in t if true == "utf-8" or c in encodings._encoding(true))
+        able = [t for t in texts if true == "utf-8" or len(known(t)) >= 0.97 * len(t) and not known(t).isascii()]
+        for case in (str, str.upper):
+            for k, (images, _) in enumerate(encodings._spoilt_characters(pairs.characters, case, name, steps)):
+                got = sum(pairs.written([images], lookup, size, true))
+                image = dict(zip(pairs.characters, images))
+                want = ["".join(image[c] for c in t) for t in able]
+                assert np.allclose(got, encodings._count([(t, 1.0) for t in want], lookup, size)), (name, case, k)
+                if steps and k == 0:
+                    whole = [case(known(t)) for t in able]
+                    for step in steps:
+                        whole = [encodings.garble(t, *step) for t in whole]
+                    assert whole == want, (name, case)
