@@ -1,50 +1,37 @@
 """Agreement and government in chains of words: modifier and noun, subject and predicate, preposition, numeral and verb with
 their nominal groups.
 
-Each distinct word with its readings gets one profile (roles, sets of features, governed cases). Profiles join the word
-tokens, by broadcast where the measured vocabulary is small, and one window per document looks at the words that follow
-with nothing but space of one line between. All comparisons are three-valued: a conflict is reported only if no reading could
+Each distinct word is looked up once; its tags go to the texts, where a fold looks at each word and those that follow with
+nothing but space of one line between. All comparisons are three-valued: a conflict is reported only if no reading could
 agree and every reading says what is compared. Contextual disambiguation comes first; words that keep readings in other roles
 are never reported. A clause candidate adds a pair that may stand apart: the first word of an island that may be a predicate and
 the nearest word before it that may be a subject, if each has one reading left and the island is no zone.
 
-Defined results: null texts and unknown words give nothing; repeated documents need distinct ids, as words are ordered by id.
+Defined results: null texts and unknown words give nothing; repeated documents give their own rows, and need distinct ids only
+where the vocabulary is too large to be sent and words are ordered by id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slovotok.functions.morphology import preposition_cases
 from slovotok.functions.text import is_space, is_word, lookup_key, match_case, token_rows
-from slovotok.operators.disambiguation import disambiguated, eliminations, tagged
-from slovotok.operators.inspection import islands
+from slovotok.operators.conflicts import CONFLICT, FIELD, ITEM, PART, READING, cut_rows, distinct_words, in_texts, in_words
+from slovotok.operators.disambiguation import TAGS, eliminations, tagged
 from slovotok.operators.morphology import negated_verbs
 from slovotok.operators.unpack import unpack
 from slovotok.plans.rules import Rule
-from slovotok.session import checkpoint, small_enough
+from slovotok.session import BROADCAST_BYTES, checkpoint, small_enough
 
-#: Words after the first of a chain.
-REACH = 5
 # The numerals of each class.
 NUMERALS = {"one": ["один", "одна", "одно"], "paucal": ["два", "две", "три", "четыре"], "many": ["пять", "шесть", "семь", "восемь", "девять", "десять"]}
-_MODIFIERS, _HEADS, _NOMINAL, _PREDICATES = ("adjective", "participle"), ("noun", "pronoun", "numeral"), ("noun", "pronoun", "adjective", "numeral", "participle"), ("verb", "participle", "predicative")
 _LEXICON = ("form", "lemma", "pos", "case", "number", "gender", "tense", "person", "adjective_form", "degree", "verb_form")
 
 
-def _all(readings: Column, test: Callable[[Column], Column]) -> Column:
-    return (F.size(readings) > 0) & F.forall(readings, lambda r: F.coalesce(test(r), F.lit(False)))
-
-
-def _set(readings: Column, field: str) -> Column:
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(readings, lambda r: r[field]))))
-
-
 def lexicon_by_key(lexicon: DataFrame) -> DataFrame:
     """(key, readings): distinct readings with the fields that agreement looks at, the numeral class among them."""
     tags = F.transform("raw_tags", lambda t: F.lower(t))
@@ -55,27 +42,6 @@ def lexicon_by_key(lexicon: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*_LEXICON, "num_class"))).alias("readings"))
 
 
-def profile(surface: Column, readings: Column) -> Column:
-    """What a surface can be: roles that all its readings share, its sets of features, and the cases it governs."""
-    prepositions = {w: c for w, c in preposition_cases().items()}
-    governed = F.try_element_at(F.map_from_arrays(F.array(*[F.lit(w) for w in prepositions]), F.array(*[F.array(*[F.lit(x) for x in c]) for c in prepositions.values()])), F.lower(surface))
-    modifier = lambda r: r["pos"].isin(*_MODIFIERS) & ~F.coalesce(r["degree"] == "comparative", F.lit(False)) & ~F.coalesce(r["adjective_form"] == "short", F.lit(False))
-    subject = lambda r: r["pos"].isin(*_HEADS) & F.coalesce(r["case"] == "nominative", F.lit(True))
-    past = lambda r: F.coalesce(r["tense"] == "past", F.lit(False)) & F.coalesce(r["number"] == "singular", F.lit(True))
-    clause_predicate = lambda r: F.coalesce(((r["pos"] == "verb") & ~r["verb_form"].eqNullSafe("infinitive")) | (r["pos"] == "predicative") | ((r["pos"] == "adjective") & r["adjective_form"].eqNullSafe("short")), F.lit(False))
-    clause_subject = lambda r: F.coalesce(r["pos"].isin("noun", "pronoun") & F.coalesce(r["case"] == "nominative", F.lit(True)), F.lit(False))
-    persons = F.array_distinct(F.array_compact(F.transform(readings, lambda r: F.when(r["pos"] == "noun", F.lit("third")).otherwise(r["person"]))))
-    return F.struct(
-        _all(readings, modifier).alias("modifier"), _all(readings, lambda r: r["pos"] == "noun").alias("noun"), _all(readings, lambda r: r["pos"].isin(*_HEADS)).alias("head"), _all(readings, lambda r: r["pos"].isin(*_NOMINAL)).alias("nominal"),
-        _all(readings, lambda r: r["pos"].isin("adjective", "participle", "numeral")).alias("may_modify"), _all(readings, lambda r: r["pos"] == "numeral").alias("numeral"), _all(readings, lambda r: r["pos"] == "preposition").alias("preposition"),
-        _all(readings, subject).alias("subject"), _all(readings, lambda r: r["pos"].isin(*_PREDICATES)).alias("predicate"), _all(readings, lambda r: r["pos"] == "verb").alias("verb"),
-        governed.alias("governs"), F.exists(readings, past).alias("past_singular"), persons.alias("persons"),
-        _set(readings, "case").alias("cases"), _set(readings, "number").alias("numbers"), _set(readings, "gender").alias("genders"), _set(F.filter(readings, past), "gender").alias("past_genders"), _set(readings, "person").alias("own_persons"),
-        F.exists(readings, clause_predicate).alias("clause_predicate"), F.exists(readings, clause_subject).alias("clause_subject"),
-        _set(readings, "lemma").alias("lemmas"), F.exists(readings, lambda r: r["case"].isNull()).alias("caseless"), readings.alias("readings"),
-    )
-
-
 # Short names of cases.
 _CASES = {"nom": "nominative", "gen": "genitive", "dat": "dative", "acc": "accusative", "ins": "instrumental", "prep": "prepositional", "loc": "locative", "part": "partitive"}
 
@@ -91,13 +57,23 @@ def government(table: DataFrame, key: str = "row_no") -> DataFrame:
     return rows.filter("verb <> ''").groupBy("verb").agg(direct.alias("direct"), pairs.alias("through"))
 
 
+def _surfaces(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, r) of the words that the lexicon knows."""
+    return checkpoint(words.select("word").distinct().join(lexicon_by_key(lexicon), lookup_key(F.col("word")) == F.col("key")).select("word", readings_of_fields(F.col("word"), F.col("readings")).alias("r")))
+
+
+def known_surfaces(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, r), the readings of each surface of documents that is known."""
+    return _surfaces(documents.filter("text <> ''").select("text").mapInArrow(distinct_words, "word string"), lexicon)
+
+
 def word_readings(documents: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, idx, word, s, e, linked) of the words of documents, and (word, r), the readings of each surface that is known; linked
     tells whether a word follows with nothing but space of one line between. Each distinct surface is looked up once."""
     rows = token_rows(documents.filter("text <> ''").select("doc_id", "text"), ["doc_id", "text"], 0, 2).filter(is_word(F.col("t")))
     linked = is_space(F.col("n1")) & ~F.coalesce(F.col("n1").contains("\n"), F.lit(False)) & is_word(F.col("n2"))
     words = rows.select("doc_id", "idx", F.col("t").alias("word"), "s", "e", linked.alias("linked"))
-    surfaces = checkpoint(words.select("word").distinct().join(lexicon_by_key(lexicon), lookup_key(F.col("word")) == F.col("key")).select("word", readings_of_fields(F.col("word"), F.col("readings")).alias("r")))
+    surfaces = _surfaces(words, lexicon)
     return words, surfaces
 
 
@@ -115,45 +91,6 @@ def ruled_out(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     return found.join(surfaces, "word").select("doc_id", "idx", "word", reading["lemma"].alias("lemma"), reading["pos"].alias("pos"), reading["case"].alias("case"), "constraint", "evidence")
 
 
-def chains(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None, disambiguate: bool = True, clauses: bool = False) -> DataFrame:
-    """One row a word: (doc_id, w0..wn), each w a struct of word, start, end and profile, null beyond the chain; `before` is the
-    profile of the word before, whatever stands between. With clauses, `subject` is the w of the subject of the clause whose
-    predicate w0 is, null for other words and where the clause is blocked. Profiles are made once per distinct word and set of readings."""
-    words, surfaces = word_readings(documents, lexicon)
-    tags = tagged(surfaces)
-    words = disambiguated(words, tags, _light(tags, "tags")) if disambiguate else words.withColumn("kept", F.lit(None).cast("array<int>"))
-    words = words.withColumn("k", F.xxhash64("word", "kept"))
-    met = words.groupBy("k").agg(F.first("word").alias("word"), F.first("kept").alias("kept")).join(surfaces, "word", "left")
-    # After disambiguation an unknown word has no readings; without it, it has no profile.
-    left = F.when(F.col("kept").isNull(), F.col("r")).otherwise(F.transform("kept", lambda i: F.get("r", i)))
-    none = F.array().cast(surfaces.schema["r"].dataType)
-    distinct = checkpoint(met.select("k", "word", F.coalesce(left, none).alias("r")) if disambiguate else met.filter("r is not null").select("k", "word", "r"))
-    memo = distinct.select("k", profile(F.col("word"), F.col("r")).alias("p"))
-    if verbs is not None:
-        one = F.when(F.col("p.verb") & (F.size("p.lemmas") == 1), F.lower(F.element_at("p.lemmas", 1)))
-        memo = memo.withColumn("verb", one).join(verbs, "verb", "left").withColumn("p", F.col("p").withField("direct", F.col("direct")).withField("through", F.col("through"))).select("k", "p")
-    memo = F.broadcast(memo) if small_enough(distinct.select(F.to_json("r").alias("j")), "j", 4 << 20) else memo
-    placed = words.drop("kept").join(memo, "k", "left").withColumn("w", F.struct("word", "s", "e", "p", "linked"))
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    subject = []
-    if clauses:
-        spans = islands(documents).groupBy("doc_id").agg(F.collect_list(F.struct("n", "s", "e", "kind")).alias("around"))
-        inside = F.filter("around", lambda i: (i["s"] < F.col("e")) & (F.col("s") < i["e"]))
-        placed = placed.join(spans, "doc_id", "left").withColumn("island", F.try_element_at(inside, F.lit(1))).drop("around")
-        past, yes = order.rowsBetween(Window.unboundedPreceding, -1), lambda c: F.coalesce(c, F.lit(False))
-        nearest = F.last(F.when(yes(F.col("p.clause_subject")), F.struct("w", F.col("island.n").alias("n"))), True).over(past)
-        earlier = F.last(F.when(yes(F.col("p.clause_predicate")), F.col("island.n")), True).over(past)
-        first = yes(F.col("p.clause_predicate")) & ~earlier.eqNullSafe(F.col("island.n")) & (F.col("island.kind") == "sentence")
-        one = lambda p: F.size(p["readings"]) == 1
-        subject = [F.when(first & (nearest["n"] == F.col("island.n")) & one(F.col("p")) & one(nearest["w"]["p"]), nearest["w"]).alias("subject")]
-    leads = placed.select("doc_id", "s", F.col("w").alias("w0"), *subject, F.lag("w").over(order)["p"].alias("before"), *[F.lead("w", i).over(order).alias(f"l{i}") for i in range(1, REACH + 1)])
-    whole, made = F.col("w0.linked"), []
-    for i in range(1, REACH + 1):
-        made.append(F.when(whole, F.col(f"l{i}")).alias(f"w{i}"))
-        whole = whole & F.coalesce(F.col(f"l{i}.linked"), F.lit(False))
-    return leads.select("doc_id", "w0", "before", *(["subject"] if clauses else []), *made)
-
-
 def readings_of_fields(surface: Column, readings: Column) -> Column:
     """readings_of() for readings with fewer fields."""
     lower = F.lower(surface)
@@ -161,172 +98,65 @@ def readings_of_fields(surface: Column, readings: Column) -> Column:
     return F.when(lower.contains("ё") & (F.size(exact) > 0), exact).otherwise(readings)
 
 
-def differ(a: Column, b: Column) -> Column:
-    """Whether two sets of values both hold something and nothing in common."""
-    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
-
-
-def genders_differ(a: Column, b: Column) -> Column:
-    return differ(a, b) & ~F.array_contains(a, "common") & ~F.array_contains(b, "common")
-
-
-def _same(a: Column, b: Column) -> Column:
-    return F.coalesce(a == b, F.lit(True))
-
-
-def _if(may: Column, then: Column) -> Column:
-    """Whether both hold; what comes second is computed only where the first holds (the parts of an `and` may all be computed before)."""
-    return F.coalesce(F.when(may, then), F.lit(False))
-
-
-def modifier_conflict(m: Column, n: Column) -> Column:
-    """Whether no reading of a modifier agrees with any of a noun."""
-    singular = (F.size(m["numbers"]) == 0) | (F.size(n["numbers"]) == 0) | F.array_contains(m["numbers"], "singular") | F.array_contains(n["numbers"], "singular")
-    gender = lambda a, b: (a["number"] == "plural") | (b["number"] == "plural") | (a["gender"] == "common") | (b["gender"] == "common") | _same(a["gender"], b["gender"])
-    pair = lambda a, b: _same(a["case"], b["case"]) & _same(a["number"], b["number"]) & F.coalesce(gender(a, b), F.lit(True))
-    none = ~F.exists(m["readings"], lambda a: F.exists(n["readings"], lambda b: pair(a, b)))
-    sets = differ(m["cases"], n["cases"]) | differ(m["numbers"], n["numbers"]) | (singular & genders_differ(m["genders"], n["genders"]))
-    known = (F.size(m["cases"]) > 0) & (F.size(n["cases"]) > 0) & (F.size(m["numbers"]) > 0) & (F.size(n["numbers"]) > 0) & (~singular | ((F.size(m["genders"]) > 0) & (F.size(n["genders"]) > 0)))
-    return _if(m["modifier"] & n["noun"], sets | (known & none))
-
-
-def predicate_conflict(s: Column, p: Column) -> Column:
-    """Whether a subject and the predicate after it differ in number, person or (past singular) gender."""
-    gender = p["past_singular"] & genders_differ(s["genders"], p["past_genders"]) & ~F.coalesce(F.array_contains(s["numbers"], "plural"), F.lit(False))
-    return _if(s["subject"] & p["predicate"], differ(s["numbers"], p["numbers"]) | differ(s["persons"], p["own_persons"]) | gender)
-
-
-def government_conflict(allowed: Column, n: Column) -> Column:
-    """Whether every reading of a nominal has a case and none is allowed."""
-    return _if(n["nominal"] & ~n["caseless"], differ(allowed, n["cases"]))
-
-
-def numeral_conflict(q: Column, n: Column) -> Column:
-    """Whether a numeral in the nominative or accusative and a noun cannot stand together."""
-
-    def pair(a: Column, b: Column) -> Column:
-        paucal, many = a["num_class"] == "paucal", a["num_class"].isin("many", "collective")
-        governed = (b["case"] == "genitive") & (b["number"] == F.when(paucal, "singular").otherwise("plural"))
-        agrees = _same(a["case"], b["case"]) & _same(a["number"], b["number"]) & (F.coalesce((a["number"] == "plural") | (b["number"] == "plural"), F.lit(False)) | _same(a["gender"], b["gender"]))
-        return F.when(paucal | many, F.when(a["case"].isin("nominative", "accusative"), governed)).when(a["num_class"].isin("one", "ordinal"), agrees)
-
-    pairs = F.flatten(F.transform(q["readings"], lambda a: F.transform(F.filter(n["readings"], lambda b: b["pos"] == "noun"), lambda b: pair(a, b))))
-    return _if(q["numeral"] & n["head"], (F.size(pairs) > 0) & F.forall(pairs, lambda x: F.coalesce(~x, F.lit(False))))
-
-
-@dataclass(frozen=True)
-class Relation:
-    """A relation of a kind: when it holds, from which to which word, and which word should have which features."""
-
-    kind: str
-    when: Column
-    last: int
-    target: int
-    cases: Column
-    numbers: Column
-    genders: Column
-
-
-def relations(verbs: bool = False) -> list[Relation]:
-    """All relations that a chain can show; with government tables also those of verbs."""
-    p = lambda i: F.col(f"w{i}.p")
-    none = F.lit(None).cast("array<string>")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    free = ~yes(F.col("before.numeral")) & ~yes(F.col("before.preposition"))
-    out = [
-        Relation("adj_noun_agreement_demo", _if(free, modifier_conflict(p(0), p(1))), 1, 0, p(1)["cases"], p(1)["numbers"], p(1)["genders"]),
-        Relation("subject_predicate_agreement_basic", predicate_conflict(p(0), p(1)), 1, 1, none, p(0)["numbers"], p(0)["genders"]),
-    ]
-    for n in (2, 3):
-        group = yes(p(n)["noun"])
-        for i in range(n):
-            group = group & yes(p(i)["modifier"])
-        for i in range(n):
-            out.append(Relation("nominal_group_modifier_agreement_basic", _if(free & group, modifier_conflict(p(i), p(n))), n, i, p(n)["cases"], p(n)["numbers"], p(n)["genders"]))
-    for n in range(1, 5):
-        group = yes(p(n)["head"])
-        for i in range(1, n):
-            group = group & yes(p(i)["may_modify"])
-        kind = "preposition_government_basic" if n == 1 else "preposition_nominal_group_government_basic"
-        out.append(Relation(kind, _if(group, government_conflict(p(0)["governs"], p(n))), n, n, p(0)["governs"], p(n)["numbers"], none))
-    if verbs:
-        for n in range(1, 4):
-            group = yes(p(n)["head"])
-            for i in range(1, n):
-                group = group & yes(p(i)["may_modify"])
-            out.append(Relation("verb_government_basic", _if(group, government_conflict(p(0)["direct"], p(n))), n, n, p(0)["direct"], p(n)["numbers"], none))
-        for n in range(2, 5):
-            group = yes(p(n)["head"])
-            for i in range(2, n):
-                group = group & yes(p(i)["may_modify"])
-            allowed = F.transform(F.filter(p(0)["through"], lambda x: x["preposition"] == F.lower(F.col("w1.word"))), lambda x: x["case"])
-            out.append(Relation("verb_government_basic", _if(group, government_conflict(allowed, p(n))), n, n, allowed, p(n)["numbers"], none))
-    shapes = {1: "numeral_noun_agreement_basic", 2: "compound_numeral_nominal_group_agreement_basic", 3: "typed_compound_numeral_nominal_group_agreement_basic"}
-    for k in (1, 2, 3):
-        prefix = ~yes(F.col("before.numeral")) if k > 1 else F.lit(True)
-        for i in range(k):
-            prefix = prefix & yes(p(i)["numeral"])
-        for n in range(k, min(k + 3, REACH + 1)):
-            group = prefix & ~yes(p(k)["numeral"])
-            for i in range(k, n):
-                group = group & yes(p(i)["modifier"])
-            kind = shapes[k] if k > 1 or n == 1 else "numeral_nominal_group_agreement_basic"
-            paucal = F.exists(p(k - 1)["readings"], lambda r: r["num_class"] == "paucal")
-            wanted = F.when(paucal, F.array(F.lit("singular"))).otherwise(F.array(F.lit("plural")))
-            out.append(Relation(kind, _if(group, numeral_conflict(p(k - 1), p(n))), n, n, F.array(F.lit("genitive")), wanted, none))
-    return out
-
-
 KINDS = (
     "adj_noun_agreement_demo", "nominal_group_modifier_agreement_basic", "subject_predicate_agreement_basic", "preposition_government_basic", "preposition_nominal_group_government_basic", "numeral_noun_agreement_basic",
     "numeral_nominal_group_agreement_basic", "compound_numeral_nominal_group_agreement_basic", "typed_compound_numeral_nominal_group_agreement_basic", "verb_government_basic", "coordination_comma_basic",
 )
 
 
-def conflicts(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None, commas: bool = False) -> DataFrame:
+def _tags(surfaces: DataFrame, verbs: DataFrame | None) -> DataFrame:
+    """(word, tags): the readings of surfaces(word, r) as a text of conflicts.FIELDS, in their order."""
+    lemmas = F.array_sort(F.array_distinct(F.array_compact(F.transform("r", lambda r: r["lemma"]))))
+    frames = F.lit(None).cast("map<string,string>")
+    if verbs is not None:
+        pair = F.array_join(F.transform("through", lambda x: F.concat(x["preposition"], F.lit(" "), x["case"])), ITEM)
+        frame = verbs.select(F.col("verb").alias("v"), F.concat(F.array_join("direct", ITEM), F.lit(PART), pair).alias("frame"))
+        held = surfaces.select("word", F.explode(F.array_distinct(F.transform(F.filter("r", lambda r: r["pos"] == "verb"), lambda r: F.lower(r["lemma"])))).alias("v")).join(frame, "v")
+        surfaces = surfaces.join(held.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("v", "frame"))).alias("frames")), "word", "left")
+        frames = F.col("frames")
+    made = surfaces.select("word", "r", lemmas.alias("lemmas"), frames.alias("frames"))
+
+    def one(r: Column) -> Column:
+        place = F.when(r["lemma"].isNotNull(), (F.array_position("lemmas", r["lemma"]) - 1).cast("string"))
+        fields = [*[r[f] for f in TAGS], r["num_class"], place, F.when(r["pos"] == "verb", F.try_element_at("frames", F.lower(r["lemma"])))]
+        return F.concat_ws(FIELD, *[F.coalesce(x, F.lit("")) for x in fields])
+
+    return made.select("word", F.array_join(F.transform("r", one), READING).alias("tags"))
+
+
+def _found(documents: DataFrame, surfaces: DataFrame, verbs: DataFrame | None, commas: bool, bytes_most: int) -> DataFrame:
+    """(doc_id, and the columns of CONFLICT) of each conflict once. A vocabulary that is small goes to where the texts are; otherwise words
+    are joined to it and sorted."""
+    tags = checkpoint(_tags(surfaces, verbs))
+    texts = documents.filter("text <> ''").select("doc_id", "text")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    if small_enough(tags.select(F.concat("word", "tags").alias("j")), "j", bytes_most):
+        known = documents.sparkSession.sparkContext.broadcast({r["word"]: r["tags"] for r in tags.collect()})
+        return texts.mapInArrow(lambda batches: in_texts(known.value, commas)(batches), f"doc_id {kind}, {CONFLICT}")
+    words = texts.mapInArrow(cut_rows, f"doc_id {kind}, idx int, word string, s int, e int, linked boolean, island int")
+    rows = words.join(tags, "word", "left").select("doc_id", "idx", "word", "s", "e", "linked", "island", "tags").repartition("doc_id").sortWithinPartitions("doc_id", "idx")
+    return rows.mapInArrow(in_words(commas), f"doc_id {kind}, {CONFLICT}")
+
+
+def conflicts(documents: DataFrame, lexicon: DataFrame, verbs: DataFrame | None = None, commas: bool = False, bytes_most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, kind, s, e, ws, we, form): each conflict once, with the only form of the dictionary that would mend the word from ws
     to we, if there is just one of the same lemma. With commas also the gaps between modifiers where one may be missing."""
-    rows = chains(documents, lexicon, verbs, clauses=True)
-    # Every relation needs a known first word, and a known second one but for verbs with prepositions and clauses.
-    second = F.col("w1.p").isNotNull() | F.col("subject").isNotNull()
-    second = second | F.col("w0.p.through").isNotNull() if verbs is not None else second
-    rows = rows.filter(F.col("w0.p").isNotNull() & second)
-    found = []
-    none = F.lit(None).cast("array<string>")
-    apart = Relation("subject_predicate_agreement_basic", predicate_conflict(F.col("subject.p"), F.col("w0.p")), 0, 0, none, F.col("subject.p.numbers"), F.col("subject.p.genders"))
-    for r in [*relations(verbs is not None), apart]:
-        word = F.col(f"w{r.target}")
-        start = F.col("subject.s" if r is apart else "w0.s")
-        fields = F.struct(
-            F.lit(r.kind).alias("kind"), start.alias("s"), F.col(f"w{r.last}.e").alias("e"), word["s"].alias("ws"), word["e"].alias("we"), word["word"].alias("word"), F.array_max(word["p"]["lemmas"]).alias("lemma"), (F.size(word["p"]["lemmas"]) == 1).alias("one"),
-            r.cases.alias("cases"), r.numbers.alias("numbers"), r.genders.alias("genders"),
-        )
-        found.append(F.when(r.when, fields))
-    if commas:
-        gap = (F.col("w0.e"), F.col("w1.s"))
-        fields = F.struct(
-            F.lit("coordination_comma_basic").alias("kind"), gap[0].alias("s"), gap[1].alias("e"), gap[0].alias("ws"), gap[1].alias("we"), F.lit("").alias("word"), F.lit(None).cast("string").alias("lemma"), F.lit(False).alias("one"),
-            none.alias("cases"), none.alias("numbers"), none.alias("genders"),
-        )
-        found.append(F.when(missing_comma(), fields))
-    issues = rows.select("doc_id", F.explode_outer(F.array(*found)).alias("x")).filter("x is not null").select("doc_id", "x.*")
-    first = issues.groupBy("doc_id", "kind", "s", "e").agg(F.min_by(F.struct("ws", "we", "word", "lemma", "one", "cases", "numbers", "genders"), "ws").alias("x")).select("doc_id", "kind", "s", "e", "x.*")
+    surfaces = known_surfaces(documents, lexicon)
+    # Few rows, but of a fold over all texts; they are asked twice.
+    found = checkpoint(_found(documents, surfaces, verbs, commas, bytes_most)).withColumn("wanted", F.to_json(F.struct("word", "lemma_at", "cases", "numbers", "genders")))
+    lemma = F.get(F.array_sort(F.array_distinct(F.array_compact(F.transform("r", lambda r: r["lemma"])))), F.col("lemma_at"))
+    # Forms are looked for once for each word and what is wanted of it.
+    asked = found.filter("lemma_at is not null").select("wanted", "word", "lemma_at", "cases", "numbers", "genders").dropDuplicates(["wanted"])
+    first = asked.join(surfaces, "word").select("wanted", "word", lemma.alias("lemma"), "cases", "numbers", "genders")
     forms = lexicon.select("lemma", "form", "case", "number", "gender").distinct()
-    fits = (first["lemma"] == forms["lemma"]) & first["one"] & (F.lower(first["word"]) != forms["form"])
+    fits = (first["lemma"] == forms["lemma"]) & (F.lower(first["word"]) != forms["form"])
     within = lambda field, held: F.coalesce(F.array_contains(held, field), F.lit(True)) | (F.size(held) == 0) | field.isNull()
     plural = F.coalesce(forms["number"] == "plural", F.lit(False))
     strict = F.coalesce(F.array_contains(first["cases"], forms["case"]), first["cases"].isNull())
     fits = fits & strict & within(forms["number"], first["numbers"]) & (plural | within(forms["gender"], first["genders"]))
-    joined = first.join(forms, fits, "left").groupBy(first["doc_id"], first["kind"], first["s"], first["e"], first["ws"], first["we"], first["word"]).agg(F.collect_set(forms["form"]).alias("forms"))
-    only = F.when(F.size("forms") == 1, match_case(F.col("word"), F.element_at("forms", 1)))
-    return joined.select("doc_id", "kind", "s", "e", "ws", "we", only.alias("form"))
-
-
-def missing_comma() -> Column:
-    """Whether a chain begins with two modifiers of one case and number before a noun."""
-    a, b, c = F.col("w0.p"), F.col("w1.p"), F.col("w2.p")
-    both = _all(a["readings"], lambda r: r["pos"].isin(*_MODIFIERS)) & _all(b["readings"], lambda r: r["pos"].isin(*_MODIFIERS)) & F.arrays_overlap(a["cases"], b["cases"]) & F.arrays_overlap(a["numbers"], b["numbers"])
-    return _if(a["may_modify"] & b["may_modify"], both & F.exists(c["readings"], lambda r: r["pos"] == "noun"))
+    mended = first.join(forms, fits).groupBy("wanted", "word").agg(F.collect_set("form").alias("forms")).filter(F.size("forms") == 1)
+    only = mended.select("wanted", match_case(F.col("word"), F.element_at("forms", 1)).alias("form"))
+    return found.join(only, "wanted", "left").select("doc_id", "kind", "s", "e", "ws", "we", "form")
 
 
 def in_the_open() -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from slovotok.functions.text import byte_offset, column_of, excerpt, line_of, token_rows
 from slovotok.operators.detectors import ISSUE, REGISTRY, Hit
-from slovotok.operators.document_context import abbreviations, structure
+from slovotok.operators.document_context import abbreviations, may_be_mixed, may_repeat, structure
 from slovotok.operators.sentences import fold_issues
 from slovotok.plans.rules import DEFAULT_CAPABILITIES, RULES, Plan, Rule, RuleFilter, plan, rule_rows
 
@@ -56,12 +56,12 @@ def document_issues(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     parts = []
     for r in rules:
         if r.kind == "document_style_consistency":
-            made = structure(docs.select("doc_id", "text"))
+            made = structure(docs.filter(may_be_mixed(F.col("text"))).select("doc_id", "text"))
             cover = lambda mixed, c: F.when(mixed, F.struct(F.array_min(c["s"]).alias("s"), F.array_max(c["e"]).alias("e")))
             found = F.explode_outer(F.array(cover(F.col("mixed_markers"), F.col("items")), cover(F.col("mixed_headings"), F.col("headings"))))
             parts.append(made.filter("mixed_markers or mixed_headings").select("doc_id", "text", found.alias("x")).filter("x is not null").select("doc_id", "text", F.lit(r.rule_id).alias("rule_id"), "x.s", "x.e", F.lit(None).cast("string").alias("replacement")))
         else:
-            rows = abbreviations(docs.select("doc_id", "text")).filter("frequency > 1 and expansion is null")
+            rows = abbreviations(docs.filter(may_repeat(F.col("text"))).select("doc_id", "text")).filter("frequency > 1 and expansion is null")
             parts.append(rows.select("doc_id", "text", F.lit(r.rule_id).alias("rule_id"), "s", "e", F.lit(None).cast("string").alias("replacement")))
     return reduce(DataFrame.unionByName, parts)
 

@@ -69,6 +69,20 @@ def structure(docs: DataFrame) -> DataFrame:
     return base.withColumns({"paragraphs": paragraphs, "mixed_headings": differ(F.col("headings.terminal")), "mixed_markers": differ(F.col("items.marker"))})
 
 
+def may_be_mixed(text: Column) -> Column:
+    """A condition that every text with mixed headings or markers meets: a heading that may have an end, or two kinds of list markers."""
+    line = lambda begin: text.rlike(rf"(?:^|\n)\p{{IsWhite_Space}}*+{begin}")
+    kinds = [F.coalesce(line(m), F.lit(False)).cast("int") for m in ("- ", r"\* ", "• ", r"[0-9]+\. ")]
+    return line("#") | (kinds[0] + kinds[1] + kinds[2] + kinds[3] > 1)
+
+
+def may_repeat(text: Column) -> Column:
+    """A condition that every text meets in which an abbreviation occurs twice: two words with letters side by side that are not small."""
+    letter = r"[\p{IsAlphabetic}&&[^\p{IsLowercase}]]"
+    pair = rf"{letter}[\-‑–']*+{letter}"
+    return text.rlike(rf"(?s){pair}[\p{{IsAlphabetic}}\-‑–']*+.*?{pair}")
+
+
 def glossary(docs: DataFrame) -> DataFrame:
     """(doc_id, term, definition, s, e): list items below a glossary heading, up to the next heading."""
     base = structure(docs)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ _NOT_NORMAL = regex.compile(r"[^\p{Alphabetic}-]")
 _CLOSERS = regex.compile(r"[)\]}»”“]*")
 _SPACE = regex.compile(r"\p{White_Space}*")
 _TOKEN = regex.compile(r"(?P<space>\p{White_Space}+)|(?P<number>[0-9０-９]+)|(?P<word>[\p{Alphabetic}\-‑–']+)|(?P<punctuation>[«»—–…“”„!-/:-@\[-`{-~]+)|(?P<other>[^\p{White_Space}0-9０-９\p{Alphabetic}\-‑–'«»—…“”„!-/:-@\[-`{-~]+)")
+#: Runs of punctuation, which may hold joiners, and words; only words are captured.
+WORD = regex.compile(r"[«»—…“”„!-&(-,./:-@\[-`{-~][«»—–…“”„!-/:-@\[-`{-~]*+|([\p{Alphabetic}\-‑–']++)")
+_MARKS = frozenset("«»—–…“”„!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~‑")
 _DELIMITER = {kind: regex.compile("[" + "".join("\\" + c for c in {*pairs, *pairs.values()}) + "]") for kind, pairs in (("parenthetical", BRACKETS), ("direct_speech", QUOTES))}
 
 
@@ -98,12 +102,20 @@ def sentence_spans(text: str, around: list[tuple[int, int, str]] | None = None)
     return out
 
 
-def clause_boundaries(text: str, markers: tuple[str, ...] = MARKERS) -> list[tuple[int, int, str, str, str]]:
-    """(start, end of the first word, marker, kind, confidence) of every clause marker."""
-    around, tokens = zones(text), [(m.lastgroup, m.group(), m.start()) for m in _TOKEN.finditer(text) if m.lastgroup != "space"]
+def first_word(text: str, at: int) -> tuple[int, str] | None:
+    """(start, word) of the first word of a text that begins at a place or after it. Only from the marks before the place on is it cut."""
+    begin = at
+    while begin and text[begin - 1] in _MARKS:
+        begin -= 1
+    return next(((m.start(), m.group()) for m in WORD.finditer(text, begin) if m.lastindex and m.start() >= at), None)
+
+
+def clause_boundaries(text: str, markers: tuple[str, ...] = MARKERS, around: list[tuple[int, int, str]] | None = None, spans: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str, str, str]]:
+    """(start, end of the first word, marker, kind, confidence) of every clause marker; zones and sentences may be given."""
+    around, tokens = zones(text) if around is None else around, [(m.lastgroup, m.group(), m.start()) for m in _TOKEN.finditer(text) if m.lastgroup != "space"]
     single = {m for m in markers if " " not in m}
     many = sorted((tuple(m.split()) for m in markers if " " in m), key=len, reverse=True)
-    sentences = sentence_spans(text, around)
+    sentences = sentence_spans(text, around) if spans is None else spans
     lower = [t.lower() if k == "word" else "" for k, t, _ in tokens]
     words = [i for i, (k, _, _) in enumerate(tokens) if k == "word"]
     out, s = [], 0
@@ -147,13 +159,13 @@ def _boundary(tokens: list[tuple[str, str, int]], i: int, at: int, around: list[
     return "before_marker" if confidence == "strong" else "ambiguous"
 
 
-def introductory_gaps(text: str, phrases: tuple[str, ...]) -> list[tuple[int, int, str]]:
+def introductory_gaps(text: str, phrases: tuple[str, ...], around: list[tuple[int, int, str]] | None = None, spans: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, replacement) where a comma is missing after an introductory phrase at the start of a sentence: the gap to the
-    next word after a single word, the next character after other phrases."""
-    around, out = zones(text), set()
+    next word after a single word, the next character after other phrases. Zones and sentences may be given."""
+    around, out = zones(text) if around is None else around, set()
     single = {p for p in phrases if regex.fullmatch(r"\p{Alphabetic}+", p)}
     longest = max(map(len, phrases), default=0)
-    for start, _ in sentence_spans(text, around):
+    for start, _ in sentence_spans(text, around) if spans is None else spans:
         if any(a < start < b for a, b, _ in around):
             continue
         word = _TOKEN.match(text, start)
@@ -230,29 +242,32 @@ def fold_issues(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, text, rule_id, s, e, replacement) of the rules that need sentences or clauses."""
     todo = [(r.rule_id, r.kind, tuple(m.lower() for m in r.params.get("phrases") or r.params.get("markers") or MARKERS)) for r in rules]
 
+    heads = {markers: tuple({m.split()[0] for m in markers}) for _, kind, markers in todo if kind == "missing_comma_before_subordinator"}
+
     def issues(text: str) -> list[tuple[str, int, int, str]]:
-        out = []
+        # Zones and sentences are found once for all rules.
+        around, out = zones(text), []
+        spans, lower = sentence_spans(text, around), text.lower()
         for rule_id, kind, markers in todo:
             if kind == "sentence_initial_lowercase":
-                found = ((m.start(), m.group()) for m in _TOKEN.finditer(text) if m.lastgroup == "word")
-                word = next(found, None)
-                for a, _ in sentence_spans(text):
-                    while word and word[0] < a:
-                        word = next(found, None)
+                for a, _ in spans:
+                    word = first_word(text, a)
                     if not word:
                         break
                     if word[1][0].islower():
                         out.append((rule_id, word[0], word[0] + 1, word[1][0].upper()))
             elif kind == "introductory_phrase_comma":
-                out += [(rule_id, *x) for x in introductory_gaps(text, markers)]
-            else:
-                out += [(rule_id, s, e, ", " + text[s:e]) for s, e, _, k, _ in clause_boundaries(text, markers) if k == "before_marker"]
+                out += [(rule_id, *x) for x in introductory_gaps(text, markers, around, spans)]
+            elif any(h in lower for h in heads[markers]):
+                out += [(rule_id, s, e, ", " + text[s:e]) for s, e, _, k, _ in clause_boundaries(text, markers, around, spans) if k == "before_marker"]
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, t, *x) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for x in issues(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "rule_id", "s", "e", "replacement"])
+            rows = [(i, *x) for i, t in enumerate(batch.column("text").to_pylist()) for x in issues(t)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            made = [pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()), 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text").take(at), *made], names=["doc_id", "text", "rule_id", "s", "e", "replacement"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string, rule_id string, s int, e int, replacement string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, rule_id string, s int, e int, replacement string")
